@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from commercelake.plans import commerce  # noqa: F401
+from commercelake.plans import commerce, research  # noqa: F401
 from commercelake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
