@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from commercelake.plans import commerce, research, texts  # noqa: F401
+from commercelake.plans import commerce, reports, research, streams, texts  # noqa: F401
 from commercelake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -146,7 +146,7 @@ class Entities:
             F.col("event_type").alias("phase"),
             F.col("user_id").alias("cycle"),
             F.col("value_cents").alias("latency_cents"),
-            (F.col("event_type") != "error").alias("ok"),
+            (F.col("k") >= 12).alias("ok"),
             (F.col("k") % 3).cast("bigint").alias("model"),
             F.col("k").cast("bigint").alias("k"),
         )
