@@ -18,8 +18,11 @@ def money(col: Column) -> Column:
 
 
 def cents(col: Column) -> Column:
-    """Whole cents of a DOUBLE that carries at most two decimals."""
-    return F.round(col * F.lit(100.0)).cast("bigint")
+    """Whole cents of a DOUBLE that carries at most two decimals.
+
+    rint stays on the double; round would build a BigDecimal for every row.
+    """
+    return F.rint(col * F.lit(100.0)).cast("bigint")
 
 
 def as_money(cents_col: Column) -> Column:
@@ -48,4 +51,4 @@ def percent_of(cents_col: Column, pct: Column | int) -> Column:
 def ratio(num: Column, den: Column, places: int = 4) -> Column:
     """num / den as DECIMAL with half-even rounding; NULL-free for an empty denominator."""
     value = F.when(den == 0, F.lit(0.0)).otherwise(num.cast("double") / den)
-    return F.bround(value, places).cast(f"decimal(18,{places})")
+    return F.bround(value.cast("decimal(28,12)"), places).cast(f"decimal(18,{places})")

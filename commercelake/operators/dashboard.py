@@ -28,7 +28,7 @@ def reputation(reviews: DataFrame, sellers: DataFrame) -> DataFrame:
             F.coalesce(ratio(F.col("stars"), F.col("n"), 2), zero).alias("average_rating"),
             F.coalesce(ratio(F.col("kept"), F.col("n"), 2), zero).alias("no_return_pct"),
             F.coalesce(ratio(F.col("calm"), F.col("n"), 2), zero).alias("no_complaint_pct"),
-            F.coalesce(F.bround(score, 2).cast("decimal(18,2)"), zero).alias("reputation_score"),
+            F.coalesce(F.bround(score.cast("decimal(28,12)"), 2).cast("decimal(18,2)"), zero).alias("reputation_score"),
         )
     )
 

@@ -5,7 +5,7 @@ Traces: event_id, ts, phase, cycle, latency_cents, ok, model.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commercelake.functions.money import as_money, ratio
@@ -73,18 +73,18 @@ def paid_ratio(traces: DataFrame, paid_model: int = 0) -> DataFrame:
     return out.withColumn("rate", ratio(F.col("paid"), F.col("calls"))).withColumn("on_target", F.col("rate") < PAID_TARGET)
 
 
-def percentiles(column: str, exact: bool = True) -> list[Column]:
-    """p50, p95, p99 in cents.
+def latency_percentiles(traces: DataFrame, exact: bool = True) -> DataFrame:
+    """p50, p95 and p99 per phase and model.
 
-    Exact ones keep a count per distinct value, which cents bound; exact=False keeps a
-    sketch of fixed size instead.
+    Exact ones keep a count per distinct value, which whole cents bound; exact=False keeps
+    a sketch of fixed size instead.
     """
     pick = F.percentile if exact else F.percentile_approx
-    return [F.round(pick(column, p), 2).cast("decimal(18,2)").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
-
-
-def latency_percentiles(traces: DataFrame, exact: bool = True) -> DataFrame:
-    return traces.groupBy("phase", "model").agg(*percentiles("latency_cents", exact))
+    found = traces.groupBy("phase", "model").agg(pick("latency_cents", [0.5, 0.95, 0.99]).alias("_p"))
+    names = ("p50", "p95", "p99")
+    return found.select(
+        "phase", "model", *[F.round(F.col("_p")[i], 2).cast("decimal(18,2)").alias(n) for i, n in enumerate(names)]
+    )
 
 
 def error_rate(traces: DataFrame) -> DataFrame:

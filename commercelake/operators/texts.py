@@ -22,6 +22,25 @@ SECRET_PATTERNS = {
     r"\s*[:=]\s*[\"']?[a-z0-9._-]{20,})",
     "quoted hex tokens": r"(?i)token\s*=\s*\"[0-9a-f]{40}\"",
 }
+# Every match of a pattern holds one of these, in any case.
+SECRET_LITERALS = {
+    "host-specific home paths": ["/home/"],
+    "tunnel credential UUID paths": ["/etc/"],
+    "private key material": ["private key"],
+    "likely token values": ["bearer", "api", "client", "auth"],
+    "quoted hex tokens": ["token"],
+}
+
+
+def _matches(label: str, pattern: str, literals: dict[str, list[str]]) -> Column:
+    """All matches; a text without any of the label's literals skips the pattern."""
+    found = F.regexp_extract_all("text", F.lit(pattern), 0)
+    if label not in literals:
+        return found
+    some = F.lit(False)
+    for literal in literals[label]:
+        some = some | F.contains(F.lower("text"), F.lit(literal))
+    return F.when(some, found).otherwise(F.array().cast("array<string>"))
 
 
 def chat_history(messages: DataFrame, system_prompt: str) -> DataFrame:
@@ -113,10 +132,10 @@ def denylist(lines: list[str]) -> dict[str, str]:
     return {line: f"(?i){line}" for line in lines if line.strip() and not line.lstrip().startswith("#")}
 
 
-def secret_scan(documents: DataFrame, patterns: dict[str, str] = SECRET_PATTERNS) -> DataFrame:
+def secret_scan(documents: DataFrame, patterns: dict[str, str] = SECRET_PATTERNS, literals=SECRET_LITERALS) -> DataFrame:
     """One row per pattern: OK or FAIL, documents hit, matches. One pass over whole texts."""
     counted = documents.select(
-        *[F.regexp_count("text", F.lit(p)).alias(f"n{i}") for i, p in enumerate(patterns.values())]
+        *[F.size(_matches(label, p, literals)).alias(f"n{i}") for i, (label, p) in enumerate(patterns.items())]
     ).agg(
         *[F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}") for i in range(len(patterns))],
         *[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"m{i}") for i in range(len(patterns))],
@@ -130,11 +149,13 @@ def secret_scan(documents: DataFrame, patterns: dict[str, str] = SECRET_PATTERNS
     return counted.select(F.inline(rows)).withColumn("result", F.when(F.col("matches") > 0, "FAIL").otherwise("OK"))
 
 
-def secret_matches(documents: DataFrame, id_column: str, patterns: dict[str, str] = SECRET_PATTERNS) -> DataFrame:
+def secret_matches(
+    documents: DataFrame, id_column: str, patterns: dict[str, str] = SECRET_PATTERNS, literals=SECRET_LITERALS
+) -> DataFrame:
     """(id, label, match) for every match of every pattern."""
     found = F.array(
         *[
-            F.struct(F.lit(label).alias("label"), F.regexp_extract_all("text", F.lit(p), 0).alias("found"))
+            F.struct(F.lit(label).alias("label"), _matches(label, p, literals).alias("found"))
             for label, p in patterns.items()
         ]
     )

@@ -504,11 +504,11 @@ def _(e):
     return sales.seller_balance(sales.commission_split(e.sales, e.sellers), e.sellers)
 
 
-_REPUTATION = """reputation AS (SELECT seller_id, CAST(round_even(sum(stars) / count(*)::DOUBLE, 2) AS DECIMAL(18,2)) AS average_rating,
-        CAST(round_even(count(*) FILTER (NOT returned) / count(*)::DOUBLE, 2) AS DECIMAL(18,2)) AS no_return_pct,
-        CAST(round_even(count(*) FILTER (NOT complaint) / count(*)::DOUBLE, 2) AS DECIMAL(18,2)) AS no_complaint_pct,
-        CAST(round_even((sum(stars) / count(*)::DOUBLE) * 20.0::DOUBLE * (count(*) FILTER (NOT returned) / count(*)::DOUBLE)
-            * (count(*) FILTER (NOT complaint) / count(*)::DOUBLE), 2) AS DECIMAL(18,2)) AS reputation_score
+_REPUTATION = """reputation AS (SELECT seller_id, CAST(round_even(CAST(sum(stars) / count(*)::DOUBLE AS DECIMAL(28,12)), 2) AS DECIMAL(18,2)) AS average_rating,
+        CAST(round_even(CAST(count(*) FILTER (NOT returned) / count(*)::DOUBLE AS DECIMAL(28,12)), 2) AS DECIMAL(18,2)) AS no_return_pct,
+        CAST(round_even(CAST(count(*) FILTER (NOT complaint) / count(*)::DOUBLE AS DECIMAL(28,12)), 2) AS DECIMAL(18,2)) AS no_complaint_pct,
+        CAST(round_even(CAST((sum(stars) / count(*)::DOUBLE) * 20.0::DOUBLE * (count(*) FILTER (NOT returned) / count(*)::DOUBLE)
+            * (count(*) FILTER (NOT complaint) / count(*)::DOUBLE) AS DECIMAL(28,12)), 2) AS DECIMAL(18,2)) AS reputation_score
     FROM reviews GROUP BY 1)"""
 
 
@@ -542,7 +542,7 @@ def _(e):
 
 
 _METRICS = """SELECT count(*) AS total, count(*) FILTER (decision = 'approved') AS approved, count(*) FILTER (decision = 'blocked') AS blocked,
-    CAST(round_even(count(*) FILTER (decision = 'approved') / count(*)::DOUBLE, 4) AS DECIMAL(18,4)) AS approval_rate
+    CAST(round_even(CAST(count(*) FILTER (decision = 'approved') / count(*)::DOUBLE AS DECIMAL(28,12)), 4) AS DECIMAL(18,4)) AS approval_rate
     FROM decided WHERE decision <> 'rejected'"""
 
 

@@ -18,7 +18,7 @@ def _flag_sql(expression: str) -> str:
 
 
 def _ratio_sql(num: str, den: str, places: int = 4) -> str:
-    return f"CAST(round_even(({num})::DOUBLE / ({den}), {places}) AS DECIMAL(18,{places}))"
+    return f"CAST(round_even(CAST(({num})::DOUBLE / ({den}) AS DECIMAL(28,12)), {places}) AS DECIMAL(18,{places}))"
 
 
 # --- KPIs -----------------------------------------------------------------------

@@ -44,7 +44,7 @@ def _(e):
 
 @query(
     "s03_tagged_round_trip",
-    "SELECT item_id, title, price, CAST(stock AS INT) AS stock, CASE WHEN active THEN 'true' ELSE 'false' END AS active FROM found",
+    "SELECT item_id, title, price, CAST(stock AS INT) AS stock, CASE WHEN active THEN 'true' ELSE 'false' END AS active FROM items",
 )
 def _(e):
     record = {
@@ -59,7 +59,7 @@ def _(e):
     return out.withColumn("active", F.when(F.col("active"), "true").otherwise("false"))
 
 
-@query("s04_checkpoint_restore", "SELECT item_id, price FROM found")
+@query("s04_checkpoint_restore", "SELECT item_id, price FROM items")
 def _(e):
     path = shared_path(e.spark, "checkpoints")
     prices = e.items.select("item_id", as_money(F.col("price_cents")).alias("price"))

@@ -27,7 +27,7 @@ def _(e):
 
 def _alert_sql(source: str, failed: str, width: str, limit: float, level: str) -> str:
     return f"""WITH w AS (SELECT time_bucket(INTERVAL '{width}', ts) AS b, count(*) AS events, count(*) FILTER ({failed}) AS failures FROM {source} GROUP BY 1),
-    r AS (SELECT *, CAST(round_even(failures::DOUBLE / events, 4) AS DECIMAL(18,4)) AS rate FROM w)
+    r AS (SELECT *, CAST(round_even(CAST(failures::DOUBLE / events AS DECIMAL(28,12)), 4) AS DECIMAL(18,4)) AS rate FROM w)
     SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS window_start, events, failures, rate, CASE WHEN rate > {limit} THEN '{level}' ELSE 'OK' END AS level FROM r"""
 
 
