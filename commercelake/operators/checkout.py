@@ -138,8 +138,7 @@ def reconcile(payments: DataFrame, log: DataFrame) -> DataFrame:
 def savings(orders: DataFrame, buyers: DataFrame, carriers=CARRIERS) -> DataFrame:
     """Shipping waived per member, at the cheapest eligible carrier."""
     cheapest = min(rate for _, enabled, healthy, rate, _ in carriers if enabled and healthy)
-    waived = loyalty(orders, buyers).where("shipping_free")
-    return waived.groupBy("buyer_id").agg(
-        F.count("*").alias("free_shipments"),
-        as_money(F.sum(shipping_price(F.col("total_cents"), F.lit(cheapest).cast("bigint")))).alias("saved"),
-    )
+    price = shipping_price(F.col("total_cents"), F.lit(cheapest).cast("bigint"))
+    large_enough = orders.where(F.col("total_cents") > FREE_SHIPPING_OVER)
+    waived = large_enough.groupBy("buyer_id").agg(F.count("*").alias("free_shipments"), as_money(F.sum(price)).alias("saved"))
+    return waived.join(buyers.where("is_prime").select("buyer_id"), "buyer_id", "left_semi")

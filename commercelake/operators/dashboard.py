@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from commercelake.functions.money import as_money, ratio
 from commercelake.operators.ordered import dense_rank_by
+from commercelake.operators.sales import seller_totals, with_commission
 
 
 def reputation(reviews: DataFrame, sellers: DataFrame) -> DataFrame:
@@ -43,36 +44,32 @@ def reputation_stars(reviews: DataFrame) -> DataFrame:
     return counted.select("seller_id", score.alias("score"), (score < 3.5).alias("penalised"))
 
 
-def seller_central(sellers: DataFrame, items: DataFrame, splits: DataFrame, returns: DataFrame, reviews: DataFrame) -> DataFrame:
+def seller_central(sellers: DataFrame, items: DataFrame, sales: DataFrame, returns: DataFrame, reviews: DataFrame) -> DataFrame:
     """One row per seller. Each fact is reduced to one row per seller before any join."""
     listed = items.groupBy("seller_id").agg(
         F.count_if(F.coalesce("active", F.lit(False))).alias("active"), F.count("*").alias("listed")
     )
-    sold = splits.groupBy("seller_id").agg(
-        F.count("*").alias("sales"),
-        F.sum("amount_cents").alias("gross"),
-        F.sum("commission_cents").alias("commission"),
-    )
+    sold = with_commission(seller_totals(sales), sellers, "right")
     returned = returns.groupBy("seller_id").agg(F.count("*").alias("returns"))
     score = reputation(reviews, sellers).select("seller_id", "reputation_score")
     joined = sellers.select("seller_id")
     for fact in (listed, sold, returned, score):
         joined = joined.join(fact, "seller_id", "left")
     filled = joined.fillna(0, ["active", "listed", "sales", "gross", "commission", "returns"])
-    active, sales = F.col("active"), F.col("sales")
+    active, sold_count = F.col("active"), F.col("sales")
     return filled.select(
         "seller_id",
         active.alias("active_items"),
         (F.col("listed") - active).alias("paused_items"),
-        (active * 10 + sales * 5).alias("impressions"),
-        (active * 3 + sales * 2).alias("clicks"),
-        sales.alias("sales_count"),
+        (active * 10 + sold_count * 5).alias("impressions"),
+        (active * 3 + sold_count * 2).alias("clicks"),
+        sold_count.alias("sales_count"),
         as_money(F.col("gross")).alias("gross_revenue"),
         as_money(F.col("commission")).alias("commission_retained"),
         F.col("returns").alias("returns_count"),
         "reputation_score",
-        F.when(sales > 0, F.array(F.lit("starter-seller"))).otherwise(F.array().cast("array<string>")).alias("badges"),
-        F.greatest(F.lit(1).cast("bigint"), F.lit(100) - sales * 3).alias("sales_ranking"),
+        F.when(sold_count > 0, F.array(F.lit("starter-seller"))).otherwise(F.array().cast("array<string>")).alias("badges"),
+        F.greatest(F.lit(1).cast("bigint"), F.lit(100) - sold_count * 3).alias("sales_ranking"),
     )
 
 

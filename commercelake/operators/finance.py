@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from commercelake.functions.money import as_money, ratio
 from commercelake.operators.checkout import loyalty
 from commercelake.operators.ordered import numbered, running
+from commercelake.operators.sales import seller_totals, with_commission
+from commercelake.operators.skew import salted_join
 
 HOLD_DAYS = 8
 CASHBACK_DAYS = 7
@@ -47,12 +49,12 @@ def funnel(events: DataFrame, stages: list[str]) -> DataFrame:
     return counts.select("*", *steps)
 
 
-def seller_finance(splits: DataFrame) -> DataFrame:
+def seller_finance(sales: DataFrame, sellers: DataFrame) -> DataFrame:
     """Gross, net, order count and average ticket per seller."""
-    orders = F.count_distinct("order_id")
-    out = splits.groupBy("seller_id").agg(
-        F.sum("amount_cents").alias("gross"), F.sum("net_cents").alias("net"), orders.alias("orders")
+    per_order = seller_totals(sales, "order_id").groupBy("seller_id").agg(
+        *[F.sum(c).alias(c) for c in ("gross", "at_ads", "at_standard")], F.count("*").alias("orders")
     )
+    out = with_commission(per_order, sellers).withColumn("net", F.col("gross") - F.col("commission"))
     return out.select(
         "seller_id",
         as_money(F.col("gross")).alias("gross"),
@@ -65,7 +67,8 @@ def seller_finance(splits: DataFrame) -> DataFrame:
 def escrow_status(splits: DataFrame, orders: DataFrame, open_returns: DataFrame, as_of: Column) -> DataFrame:
     """Add escrow: frozen with an open return, held less than 8 days after delivery, else available."""
     frozen = open_returns.select("order_id", F.lit(True).alias("_frozen")).distinct()
-    joined = splits.join(orders.select("order_id", "delivered_on"), "order_id").join(frozen, "order_id", "left")
+    state = orders.select("order_id", "delivered_on").join(frozen, "order_id", "left")
+    joined = salted_join(splits, state, ["order_id"])
     status = (
         F.when(F.col("_frozen"), "frozen")
         .when(F.datediff(as_of, "delivered_on") < HOLD_DAYS, "held")
@@ -146,7 +149,7 @@ def recommendations(navigation: DataFrame, items: DataFrame, n: int = 5) -> Data
     per_category = Window.partitionBy("category").orderBy("item_id")
     offered = items.where("active").select("category", "item_id", F.row_number().over(per_category).alias("_i")).where(F.col("_i") <= n)
     per_buyer = Window.partitionBy("buyer_id").orderBy(F.desc("views"), "category", "item_id")
-    ranked = browsed.join(offered.drop("_i"), "category").withColumn("position", F.row_number().over(per_buyer))
+    ranked = salted_join(browsed, offered.drop("_i"), ["category"]).withColumn("position", F.row_number().over(per_buyer))
     return ranked.where(F.col("position") <= n).select("buyer_id", "position", "item_id", "category")
 
 

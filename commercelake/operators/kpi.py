@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from commercelake.functions.money import as_money, ratio
 from commercelake.operators.ordered import numbered
+from commercelake.operators.skew import salted_join
 
 # Documented targets.
 CYCLE_TARGET = 0.80
@@ -172,13 +173,13 @@ def ice_score(opportunities: DataFrame) -> DataFrame:
 
 def route_opportunity(opportunities: DataFrame, group: str) -> DataFrame:
     """Add next: a critical bug sends its whole group to the spec phase at once."""
-    critical = opportunities.groupBy(group).agg(F.bool_or(F.col("kind") == "critical_bug").alias("_critical"))
+    critical = opportunities.where("kind = 'critical_bug'").select(group, F.lit(True).alias("_critical")).distinct()
     target = (
         F.when(F.col("_critical"), "spec")
         .when(F.col("kind").isin("critical_bug", "bug"), "spec")
         .otherwise("discovery")
     )
-    return opportunities.join(critical, group).withColumn("next", target).drop("_critical")
+    return salted_join(opportunities, critical, [group], "left").withColumn("next", target).drop("_critical")
 
 
 def recurring_errors(errors: DataFrame, last: int = 50) -> DataFrame:

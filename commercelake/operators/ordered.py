@@ -8,41 +8,66 @@ to windows that never span more than one range.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_RANGES = 2048
+_SUB = 2**32
 
 
-def range_cuts(df: DataFrame, order: str, ranges: int | None = None) -> list[int]:
-    """At most MAX_RANGES cut points of a BIGINT column, from one mergeable sketch.
+def range_id(df: DataFrame, order: list[str], ranges: int) -> Column:
+    """Number of the range a row falls in, ascending in the order columns (BIGINT, non-null).
 
-    They are fetched once and used as constants, so a task that is run again after an
-    executor is lost puts its rows into the same ranges.
+    Cut points come from one mergeable sketch of the first column. A value that fills more
+    than one range by itself is cut further by the second column. Cut points are fetched
+    once and used as constants, at most `ranges` of each kind, so a task that is run again
+    after an executor is lost puts its rows into the same ranges.
     """
-    if ranges is None:
-        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(ranges, MAX_RANGES))
-    if ranges == 1:
-        return []
+    if ranges <= 1:
+        return F.lit(0).cast("bigint")
     steps = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(order, steps, 10 * ranges).alias("c")).first()["c"]
-    return sorted(set(cuts or []))
+    found = df.agg(F.percentile_approx(order[0], steps, 10 * ranges).alias("c")).first()["c"] or []
+    cuts = sorted(set(found))
+    if not cuts:
+        return F.lit(0).cast("bigint")
+    position = _position(order[0], cuts)
+    repeats = {value: n for value, n in Counter(found).items() if n > 1}
+    if not repeats or len(order) < 2:
+        return position * F.lit(_SUB)
+    ties = _tie_cuts(df, order, repeats)
+    # A row's position is that of the first cut not below it: a tied value finds its own
+    # cuts there.
+    own = F.get(F.array(*[_longs(ties.get(cut, [])) for cut in cuts]), position)
+    inside = F.size(F.filter(own, lambda c: c < F.col(order[1]))) + 1
+    tied = F.coalesce(F.get(_longs(cuts), position) == F.col(order[0]), F.lit(False))
+    return position * F.lit(_SUB) + F.when(tied, inside).otherwise(0)
+
+
+def _tie_cuts(df: DataFrame, order: list[str], repeats: dict[int, int]) -> dict[int, list[int]]:
+    """For values that fill n ranges or more, about n cut points of the second column."""
+    most = max(repeats.values()) + 1
+    steps = [i / most for i in range(1, most)]
+    rows = (
+        df.where(F.col(order[0]).isin(*repeats))
+        .groupBy(F.col(order[0]).alias("v"))
+        .agg(F.percentile_approx(order[1], steps, 10 * most).alias("c"))
+        .collect()
+    )
+    return {row["v"]: sorted(set(row["c"][:: max(1, most // (repeats[row["v"]] + 1))])) for row in rows}
 
 
-def range_index(order: str, cuts: list[int]) -> Column:
-    """Number of cuts below the value, found in two steps of about sqrt(n) comparisons."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, int(len(cuts) ** 0.5))
-    coarse = cuts[step - 1 :: step]
-    passed = F.size(F.filter(F.array(*map(_long, coarse)), lambda c: c < F.col(order)))
-    rest = F.slice(F.array(*map(_long, cuts)), passed * step + 1, F.lit(step))
-    return (passed * step + F.size(F.filter(rest, lambda c: c < F.col(order)))).cast("int")
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("bigint") for v in values]).cast("array<bigint>")
 
 
-def _long(value: int) -> Column:
-    return F.lit(value).cast("bigint")
+def _position(column: str, cuts: list[int]) -> Column:
+    """How many cuts are below the value, in two steps of about sqrt(n) comparisons."""
+    step = max(1, int(len(cuts) ** 0.5))
+    passed = F.size(F.filter(_longs(cuts[step - 1 :: step]), lambda c: c < F.col(column))) * step
+    rest = F.slice(_longs(cuts), passed + 1, F.lit(step))
+    return passed + F.size(F.filter(rest, lambda c: c < F.col(column)))
 
 
 def running(
@@ -55,11 +80,13 @@ def running(
     """Add running aggregates over (keys, order), the current row included.
 
     totals maps a new column to ("sum" | "max" | "count", value). The first order column
-    must be a non-null BIGINT and the order total, so that ties cannot change a result.
+    must be a non-null BIGINT (the second too, if there is one) and the order total, so that
+    ties cannot change a result.
     """
-    cuts = range_cuts(df, order[0], ranges)
+    if ranges is None:
+        ranges = min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     whole = {"sum": F.sum, "max": F.max, "count": F.count}
-    cut = df.withColumn("_range", range_index(order[0], cuts))
+    cut = df.withColumn("_range", range_id(df, order, ranges))
     within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = cut.select("*", *[whole[fn](v).over(within).alias(f"_in_{n}") for n, (fn, v) in totals.items()])
 

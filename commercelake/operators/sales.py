@@ -36,16 +36,36 @@ def commission_split(sales: DataFrame, sellers: DataFrame) -> DataFrame:
     )
 
 
-def seller_balance(splits: DataFrame, sellers: DataFrame) -> DataFrame:
-    """Net earned per seller; sellers without sales have 0.00."""
-    earned = splits.groupBy("seller_id").agg(F.sum("net_cents").alias("net_cents"))
-    return (
-        sellers.select("seller_id")
-        .join(earned, "seller_id", "left")
-        .select("seller_id", as_money(F.coalesce("net_cents", F.lit(0))).alias("seller_net"))
+def seller_totals(sales: DataFrame, *more_keys: str) -> DataFrame:
+    """Sales per seller, with the commission at either rate.
+
+    Both commissions are summed so that sales are reduced to a row per seller before they
+    meet the sellers: the facts are never joined, and a seller with very many sales is
+    combined where the rows are read.
+    """
+    amount = F.col("amount_cents")
+    return sales.groupBy("seller_id", *more_keys).agg(
+        F.count("*").alias("sales"),
+        F.sum(amount).alias("gross"),
+        F.sum(percent_of(amount, ADS_PCT)).alias("at_ads"),
+        F.sum(percent_of(amount, STANDARD_PCT)).alias("at_standard"),
+        F.sum(half_even_div(amount, 100)).alias("cashback"),
     )
 
 
+def with_commission(totals: DataFrame, sellers: DataFrame, how: str = "inner") -> DataFrame:
+    """Pick each seller's commission; with how="right" sellers without sales stay, at 0."""
+    joined = totals.join(sellers.select("seller_id", "ads_contracted"), "seller_id", how)
+    picked = F.when(F.coalesce("ads_contracted", F.lit(False)), F.col("at_ads")).otherwise(F.col("at_standard"))
+    return joined.withColumn("commission", picked).drop("ads_contracted", "at_ads", "at_standard").fillna(0)
+
+
+def seller_balance(sales: DataFrame, sellers: DataFrame) -> DataFrame:
+    """Net earned per seller; sellers without sales have 0.00."""
+    totals = with_commission(seller_totals(sales), sellers, "right")
+    return totals.select("seller_id", as_money(F.col("gross") - F.col("commission")).alias("seller_net"))
+
+
 def cart_totals(lines: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted carts with total_cents, carts refused for a missing item).
 
@@ -155,13 +175,24 @@ def returned_in_window(returns: DataFrame, orders: DataFrame, days: int = 7) ->
     return returns.join(orders.select("order_id", "delivered_on"), "order_id").where(age.between(0, days))
 
 
+def _postings(commission: Column, net: Column, cashback: Column) -> Column:
+    """Day 0 commission and hold, day 8 release to seller and buyer."""
+    rows = [(0, "commission", commission), (0, "escrow_hold", net), (8, "seller_release", net), (8, "buyer_cashback", cashback)]
+    return F.inline(
+        F.array(*[F.struct(F.lit(d).alias("day"), F.lit(p).alias("posting"), c.alias("cents")) for d, p, c in rows])
+    )
+
+
 def money_timeline(splits: DataFrame) -> DataFrame:
-    """Postings of each sale: day 0 commission and hold, day 8 release to seller and buyer."""
+    """The four postings of each sale."""
     cashback = half_even_div(F.col("amount_cents"), 100)
-    postings = F.array(
-        F.struct(F.lit(0).alias("day"), F.lit("commission").alias("posting"), F.col("commission_cents").alias("cents")),
-        F.struct(F.lit(0).alias("day"), F.lit("escrow_hold").alias("posting"), F.col("net_cents").alias("cents")),
-        F.struct(F.lit(8).alias("day"), F.lit("seller_release").alias("posting"), F.col("net_cents").alias("cents")),
-        F.struct(F.lit(8).alias("day"), F.lit("buyer_cashback").alias("posting"), cashback.alias("cents")),
+    return splits.select(
+        "seller_id", "amount_cents", _postings(F.col("commission_cents"), F.col("net_cents"), cashback)
     )
-    return splits.select("seller_id", "amount_cents", F.inline(postings))
+
+
+def money_timeline_totals(sales: DataFrame, sellers: DataFrame) -> DataFrame:
+    """The postings of all sales summed per seller, from the sellers' totals."""
+    totals = with_commission(seller_totals(sales), sellers)
+    net = F.col("gross") - F.col("commission")
+    return totals.select("seller_id", _postings(F.col("commission"), net, F.col("cashback")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from commercelake.functions.text import file_header, first_line, line_count, replace_first, strip
 from commercelake.operators.ordered import running
+from commercelake.operators.skew import salted_join
 
 # Markers and names of the text formats.
 SPEC_START = "---SPEC-START---"
@@ -221,10 +222,10 @@ def infer_filename(outputs: DataFrame, known: DataFrame, id_column: str, run: st
     open_ = outputs.where(nameless).select(id_column, run, "content")
     names = known.select(run, F.col("filename").alias("_name")).distinct()
     headers = F.array_distinct(F.regexp_extract_all("content", F.lit(r"# FILE: ([^\s]*?\.py)"), 1))
-    by_header = open_.select(id_column, run, F.explode(headers).alias("_name")).join(names, [run, "_name"])
+    by_header = salted_join(open_.select(id_column, run, F.explode(headers).alias("_name")), names, [run, "_name"])
     first_route = names.where(F.contains("_name", F.lit("routes"))).groupBy(run).agg(F.min("_name").alias("_name"))
     routers = open_.where(F.contains("content", F.lit("router = APIRouter"))).select(id_column, run)
-    by_route = routers.join(first_route, run).select(id_column, run, "_name")
+    by_route = salted_join(routers, first_route, [run]).select(id_column, run, "_name")
     inferred = (
         by_header.select(id_column, run, "_name").unionByName(by_route).groupBy(id_column).agg(F.min("_name").alias("_name"))
     )
@@ -234,4 +235,4 @@ def infer_filename(outputs: DataFrame, known: DataFrame, id_column: str, run: st
 
 def discard_unknown_targets(outputs: DataFrame, known: DataFrame, run: str) -> DataFrame:
     """Keep outputs whose file already exists in the run."""
-    return outputs.join(known.select(run, "filename"), [run, "filename"], "left_semi")
+    return salted_join(outputs, known.select(run, "filename").distinct(), [run, "filename"], "left_semi")

@@ -23,24 +23,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commercelake.functions.money import as_money
-from commercelake.operators.ordered import MAX_RANGES, range_cuts, range_index, running
+from commercelake.operators.ordered import range_id, running
+from commercelake.operators.skew import salted_join
 from commercelake.session import cut_lineage
 
 SLICE_ROWS = 2_000_000
+MAX_SLICES = 65_536
 
 
 def wallet_slices(ledger: DataFrame, limit: int = SLICE_ROWS) -> tuple[DataFrame, bool]:
     """Add _slice to (buyer_id, at, event_id, amount_cents); True if some buyer has several."""
     counts = ledger.groupBy("buyer_id").agg(F.count("*").alias("_rows"))
     hot = counts.where(F.col("_rows") > limit)
-    biggest = hot.agg(F.max("_rows")).first()[0]
-    if biggest is None:
-        return ledger.withColumn("_slice", F.lit(0)), False
-    hot_rows = ledger.join(hot.select("buyer_id"), "buyer_id", "left_semi")
-    total = hot_rows.count()
-    cuts = range_cuts(hot_rows, "at", min(MAX_RANGES, -(-total // limit)))
-    marked = ledger.join(hot, "buyer_id", "left")
-    index = F.when(F.col("_rows").isNull(), 0).otherwise(range_index("at", cuts))
+    total = hot.agg(F.sum("_rows")).first()[0]
+    if total is None:
+        return ledger.withColumn("_slice", F.lit(0).cast("bigint")), False
+    hot_rows = salted_join(ledger, hot.select("buyer_id"), ["buyer_id"], "left_semi")
+    index = range_id(hot_rows, ["at", "event_id"], min(MAX_SLICES, -(-total // limit)))
+    marked = salted_join(ledger, hot, ["buyer_id"], "left")
+    index = F.when(F.col("_rows").isNull(), F.lit(0).cast("bigint")).otherwise(index)
     return marked.withColumn("_slice", index).drop("_rows"), True
 
 
@@ -92,7 +93,7 @@ def _chain(slices: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("_slice", "total", "low", "assumed", "closing"))).alias("s")
     )
     zero = F.lit(0).cast("bigint")
-    empty = F.array().cast("array<struct<_slice:int,opening:bigint>>")
+    empty = F.array().cast("array<struct<_slice:bigint,opening:bigint>>")
     start = F.struct(zero.alias("balance"), empty.alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -501,7 +501,7 @@ def _(e):
     FROM sellers x LEFT JOIN splits s ON s.seller_id = x.seller_id GROUP BY 1""",
 )
 def _(e):
-    return sales.seller_balance(sales.commission_split(e.sales, e.sellers), e.sellers)
+    return sales.seller_balance(e.sales, e.sellers)
 
 
 _REPUTATION = """reputation AS (SELECT seller_id, CAST(round_even(CAST(sum(stars) / count(*)::DOUBLE AS DECIMAL(28,12)), 2) AS DECIMAL(18,2)) AS average_rating,
@@ -526,8 +526,7 @@ _REPUTATION = """reputation AS (SELECT seller_id, CAST(round_even(CAST(sum(stars
     FROM sellers x LEFT JOIN i USING (seller_id) LEFT JOIN s USING (seller_id) LEFT JOIN r USING (seller_id) LEFT JOIN reputation USING (seller_id)""",
 )
 def seller_central_query(e):
-    splits = sales.commission_split(e.sales, e.sellers)
-    out = dashboard.seller_central(e.sellers, e.items, splits, e.returns, e.reviews)
+    out = dashboard.seller_central(e.sellers, e.items, e.sales, e.returns, e.reviews)
     return out.withColumn("badges", F.array_join("badges", ","))
 
 

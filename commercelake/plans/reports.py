@@ -321,7 +321,7 @@ def _(e):
         count(DISTINCT order_id) AS orders, {_ratio_sql('sum(amount) * 100', 'count(DISTINCT order_id) * 100', 2)} AS average_ticket FROM splits GROUP BY 1""",
 )
 def _(e):
-    return finance.seller_finance(sales.commission_split(e.sales, e.sellers))
+    return finance.seller_finance(e.sales, e.sellers)
 
 
 @query(
@@ -413,7 +413,7 @@ def _(e):
     SELECT seller_id, day, posting, CAST(sum(amount) AS DECIMAL(18,2)) AS amount FROM p GROUP BY 1, 2, 3""",
 )
 def _(e):
-    postings = sales.money_timeline(sales.commission_split(e.sales, e.sellers))
+    postings = sales.money_timeline_totals(e.sales, e.sellers)
     return postings.groupBy("seller_id", "day", "posting").agg(as_money(F.sum("cents")).alias("amount"))
 
 

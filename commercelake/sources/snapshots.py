@@ -54,7 +54,8 @@ def append_once(batch: DataFrame, path: str) -> None:
     spark = batch.sparkSession
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
     held = load_or_empty(spark, path, schema).select("run_date").distinct()
-    fresh = batch.join(held, "run_date", "left_anti")
+    # One row per day on record: a list that is always small enough to broadcast.
+    fresh = batch.join(F.broadcast(held), "run_date", "left_anti")
     fresh.write.mode("append").partitionBy("run_date").parquet(path)
 
 
