@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from commercelake.functions.text import strip
 from commercelake.operators.ordered import numbered
 
+# Roles and why a registration is refused.
 ROLES = ("buyer", "seller", "admin")
+NO_CREDENTIALS = "Email and password are required"
+BAD_ROLE = "Invalid role"
 
 
 def assign_ids(df: DataFrame, prefix: str, natural_key: str, start: int = 1) -> DataFrame:
@@ -33,8 +36,8 @@ def check_registration(df: DataFrame) -> DataFrame:
     )
     return clean.withColumn(
         "error",
-        F.when((F.col("email") == "") | (F.coalesce("password", F.lit("")) == ""), "Email and password are required").when(
-            ~F.col("role").isin(*ROLES), "Invalid role"
+        F.when((F.col("email") == "") | (F.coalesce("password", F.lit("")) == ""), NO_CREDENTIALS).when(
+            ~F.col("role").isin(*ROLES), BAD_ROLE
         ),
     )
 

@@ -10,6 +10,16 @@ from commercelake.functions.text import strip
 MAX_DEPTH = 3
 MAX_PHOTOS = 10
 
+# Why a listing is refused.
+NO_TITLE = "Title is required"
+NO_DESCRIPTION = "Description is required"
+NO_CATEGORY = "Category is required"
+DEEP_CATEGORY = "Category depth exceeds 3 levels"
+BAD_PHOTOS = "Photos must contain between 1 and 10 images"
+BAD_PRICE = "Price must be greater than zero"
+BAD_STOCK = "Stock must be non-negative"
+NO_SKU = "SKU is required"
+
 
 def category_path(raw: Column) -> Column:
     """'a > b > c' to its trimmed, non-blank levels."""
@@ -22,7 +32,7 @@ def normalize_category(df: DataFrame, raw: str = "category") -> DataFrame:
     depth = F.size("path")
     return path.withColumn(
         "category_error",
-        F.when(depth == 0, "Category is required").when(depth > MAX_DEPTH, "Category depth exceeds 3 levels"),
+        F.when(depth == 0, NO_CATEGORY).when(depth > MAX_DEPTH, DEEP_CATEGORY),
     )
 
 
@@ -38,14 +48,14 @@ def validate_listing(df: DataFrame, present: str | None = None) -> DataFrame:
     depth = F.size(category_path(F.coalesce(F.col("category"), F.lit(""))))
     photos = F.coalesce(F.size("photos"), F.lit(0))
     rules = [
-        ("title", blank("title"), "Title is required"),
-        ("description", blank("description"), "Description is required"),
-        ("category", depth == 0, "Category is required"),
-        ("category", depth > MAX_DEPTH, "Category depth exceeds 3 levels"),
-        ("photos", ~photos.between(1, MAX_PHOTOS), "Photos must contain between 1 and 10 images"),
-        ("price", F.coalesce(F.col("price_cents"), F.lit(0)) <= 0, "Price must be greater than zero"),
-        ("stock", F.coalesce(F.col("stock"), F.lit(-1)) < 0, "Stock must be non-negative"),
-        ("sku", blank("sku"), "SKU is required"),
+        ("title", blank("title"), NO_TITLE),
+        ("description", blank("description"), NO_DESCRIPTION),
+        ("category", depth == 0, NO_CATEGORY),
+        ("category", depth > MAX_DEPTH, DEEP_CATEGORY),
+        ("photos", ~photos.between(1, MAX_PHOTOS), BAD_PHOTOS),
+        ("price", F.coalesce(F.col("price_cents"), F.lit(0)) <= 0, BAD_PRICE),
+        ("stock", F.coalesce(F.col("stock"), F.lit(-1)) < 0, BAD_STOCK),
+        ("sku", blank("sku"), NO_SKU),
     ]
 
     def applies(field: str, broken: Column) -> Column:

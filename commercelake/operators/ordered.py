@@ -13,6 +13,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from commercelake.operators.skew import salted_join
+
 MAX_RANGES = 2048
 _SUB = 2**32
 
@@ -127,4 +129,4 @@ def dense_rank_by(df: DataFrame, measure: str, name: str = "rank") -> DataFrame:
     to N there are at most about sqrt(2 N) of them.
     """
     ranks = df.select(measure).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(F.desc(measure))).cast("bigint"))
-    return df.join(ranks, measure)
+    return salted_join(df, ranks, [measure])

@@ -15,6 +15,18 @@ KNOWN_NAMES = 60
 REPORT_SOURCES = 20
 DIGEST_CHARS = 120
 
+# The wording of items, digest and report.
+ITEM_TYPE = "- **Tipo:** "
+ITEM_RELEVANCE = "- **Relevancia SDLC:** "
+ITEM_VIABILITY = "- **Viabilidade HW:** "
+ITEM_DESCRIPTION = "- **Descricao:** "
+ITEM_SOURCE = "- **Fonte:** "
+DIGEST_EMPTY = "Nenhum item novo encontrado esta semana."
+DIGEST_COUNT = " novo(s) item(ns) encontrado(s):"
+REPORT_QUERIES = "Queries executadas"
+REPORT_RESULTS = "Resultados brutos coletados"
+REPORT_ITEMS = "Novos itens identificados"
+
 
 def first_nonempty_source(results: DataFrame) -> DataFrame:
     """Per query keep the rows of the best source that returned any.
@@ -147,11 +159,11 @@ def render_item() -> Column:
     return F.concat_ws(
         "\n",
         F.concat(F.lit("### "), F.coalesce("name", F.lit("Unknown"))),
-        F.concat(F.lit("- **Tipo:** "), F.coalesce("type", F.lit("-"))),
-        F.concat(F.lit("- **Relevancia SDLC:** "), F.coalesce(F.col("relevance").cast("string"), F.lit("-")), F.lit("/5")),
-        F.concat(F.lit("- **Viabilidade HW:** "), F.coalesce(F.col("viability").cast("string"), F.lit("-")), F.lit("/5")),
-        F.concat(F.lit("- **Descricao:** "), F.coalesce("description", F.lit(""))),
-        F.when(F.coalesce("source_url", F.lit("")) != "", F.concat(F.lit("- **Fonte:** "), "source_url")),
+        F.concat(F.lit(ITEM_TYPE), F.coalesce("type", F.lit("-"))),
+        F.concat(F.lit(ITEM_RELEVANCE), F.coalesce(F.col("relevance").cast("string"), F.lit("-")), F.lit("/5")),
+        F.concat(F.lit(ITEM_VIABILITY), F.coalesce(F.col("viability").cast("string"), F.lit("-")), F.lit("/5")),
+        F.concat(F.lit(ITEM_DESCRIPTION), F.coalesce("description", F.lit(""))),
+        F.when(F.coalesce("source_url", F.lit("")) != "", F.concat(F.lit(ITEM_SOURCE), "source_url")),
     )
 
 
@@ -200,8 +212,8 @@ def digest_message(items: DataFrame, order: str, title: str, footer: str) -> Dat
     count = items.agg(F.count("*").alias("n"))
     header = count.select(
         F.lit(0).cast("bigint").alias("position"),
-        F.when(F.col("n") == 0, F.lit(f"{title}\n\nNenhum item novo encontrado esta semana."))
-        .otherwise(F.concat(F.lit(f"{title}\n\n"), F.col("n").cast("string"), F.lit(" novo(s) item(ns) encontrado(s):\n")))
+        F.when(F.col("n") == 0, F.lit(f"{title}\n\n{DIGEST_EMPTY}"))
+        .otherwise(F.concat(F.lit(f"{title}\n\n"), F.col("n").cast("string"), F.lit(f"{DIGEST_COUNT}\n")))
         .alias("entry"),
     )
     end = count.where("n > 0").select((F.col("n") + 1).alias("position"), F.lit(f"\n{footer}").alias("entry"))
@@ -224,9 +236,9 @@ def report(items: DataFrame, order: str, results: DataFrame, queries: DataFrame,
         return df.agg(F.count("*").alias("n")).select(F.lit(0).alias("section"), F.lit(position).alias("position"), text.alias("line"))
 
     header = union_all(
-        counted(queries, 1, "Queries executadas"),
-        counted(results, 2, "Resultados brutos coletados"),
-        counted(items, 3, "Novos itens identificados"),
+        counted(queries, 1, REPORT_QUERIES),
+        counted(results, 2, REPORT_RESULTS),
+        counted(items, 3, REPORT_ITEMS),
     )
     listed = numbered(items, [order]).select(F.lit(2).alias("section"), "position", render_item().alias("line"))
     asked = queries.select(F.lit(1).alias("section"), "position", F.concat(F.lit("- `"), "query", F.lit("`")).alias("line"))

@@ -57,7 +57,8 @@ def with_commission(totals: DataFrame, sellers: DataFrame, how: str = "inner") -
     """Pick each seller's commission; with how="right" sellers without sales stay, at 0."""
     joined = totals.join(sellers.select("seller_id", "ads_contracted"), "seller_id", how)
     picked = F.when(F.coalesce("ads_contracted", F.lit(False)), F.col("at_ads")).otherwise(F.col("at_standard"))
-    return joined.withColumn("commission", picked).drop("ads_contracted", "at_ads", "at_standard").fillna(0)
+    out = joined.withColumn("commission", picked).drop("ads_contracted", "at_ads", "at_standard")
+    return out.fillna(0, [c for c in out.columns if c != "seller_id"])
 
 
 def seller_balance(sales: DataFrame, sellers: DataFrame) -> DataFrame:

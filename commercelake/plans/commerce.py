@@ -1,4 +1,4 @@
-"""Marketplace queries: listings, accounts, sales, checkout, wallet, shipping, dashboard."""
+"""Commerce queries: listings, accounts, sales, checkout, wallet, shipping, dashboard."""
 
 from __future__ import annotations
 

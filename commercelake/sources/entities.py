@@ -1,4 +1,4 @@
-"""Marketplace entities as deterministic views over the base tables."""
+"""Commerce entities as deterministic views over the base tables."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Golden numbers and invariants of the marketplace operators."""
+"""Golden numbers and invariants of the commerce operators."""
 
 from decimal import Decimal
 
