@@ -1,9 +1,11 @@
 """Wallet ledgers in which a debit larger than the balance is refused.
 
 Whether a debit is accepted depends on every earlier decision, so the balance is a fold
-and not a window sum. Buyers with few movements are folded in one go. A buyer with more
-than `limit` movements is cut into time slices of about `limit` rows that are folded in
-parallel, each from an assumed opening balance. The slices' results are then chained:
+and not a window sum. Spark brings a buyer's movements together in order (shuffle and
+sort, which spill) and the fold reads them as a stream of batches with one balance in
+memory. A buyer with more than `limit` movements is cut into time slices of about `limit`
+rows that are folded in parallel, each from an assumed opening balance. The slices'
+results are then chained:
 
 * a slice whose lowest running sum does not take the opening balance below zero refuses
   nothing, so its closing balance is opening + total, whatever the opening is;
@@ -17,6 +19,8 @@ after a few refusals, so few rounds are needed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,71 +34,87 @@ from commercelake.session import cut_lineage
 SLICE_ROWS = 2_000_000
 MAX_SLICES = 65_536
 
+_KEYS = ["buyer_id", "_slice"]
+
 
 def wallet_slices(ledger: DataFrame, limit: int = SLICE_ROWS) -> tuple[DataFrame, bool]:
-    """Add _slice to (buyer_id, at, event_id, amount_cents); True if some buyer has several."""
+    """(buyer_id, at, event_id, amount_cents, _slice, _hot), and whether any buyer is hot."""
     counts = ledger.groupBy("buyer_id").agg(F.count("*").alias("_rows"))
-    hot = counts.where(F.col("_rows") > limit)
+    hot = counts.where(F.col("_rows") > limit).select("buyer_id", "_rows", F.lit(True).alias("_hot"))
     total = hot.agg(F.sum("_rows")).first()[0]
     if total is None:
-        return ledger.withColumn("_slice", F.lit(0).cast("bigint")), False
-    hot_rows = salted_join(ledger, hot.select("buyer_id"), ["buyer_id"], "left_semi")
-    index = range_id(hot_rows, ["at", "event_id"], min(MAX_SLICES, -(-total // limit)))
-    marked = salted_join(ledger, hot, ["buyer_id"], "left")
-    index = F.when(F.col("_rows").isNull(), F.lit(0).cast("bigint")).otherwise(index)
-    return marked.withColumn("_slice", index).drop("_rows"), True
-
-
-def _movements() -> Column:
-    """A slice's amounts in order; slices are bounded, so the array is too."""
-    rows = F.array_sort(F.collect_list(F.struct("at", "event_id", "amount_cents")))
-    return F.transform(rows, lambda r: r["amount_cents"])
-
-
-def _fold(opening: Column, amounts: Column) -> Column:
-    """Closing balance and counts of a slice, from its opening balance."""
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(
-        opening.cast("bigint").alias("balance"),
-        zero.alias("accepted"),
-        zero.alias("refused"),
-        zero.alias("refused_cents"),
-    )
-
-    def step(acc: Column, amount: Column) -> Column:
-        ok = acc["balance"] + amount >= 0
-        return F.struct(
-            F.when(ok, acc["balance"] + amount).otherwise(acc["balance"]).alias("balance"),
-            (acc["accepted"] + ok.cast("bigint")).alias("accepted"),
-            (acc["refused"] + (~ok).cast("bigint")).alias("refused"),
-            F.when(ok, acc["refused_cents"]).otherwise(acc["refused_cents"] - amount).alias("refused_cents"),
-        )
-
-    return F.aggregate(amounts, start, step)
-
-
-def _lowest(amounts: Column) -> Column:
-    """Lowest running sum of a slice (0 if it never goes below its start)."""
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("run"), zero.alias("low"))
-    return F.aggregate(
-        amounts,
-        start,
-        lambda acc, a: F.struct((acc["run"] + a).alias("run"), F.least(acc["low"], acc["run"] + a).alias("low")),
-    )
+        return ledger.withColumns({"_slice": F.lit(0).cast("bigint"), "_hot": F.lit(False)}), False
+    marked = salted_join(ledger, hot.drop("_rows"), ["buyer_id"], "left").fillna(False, ["_hot"])
+    index = range_id(marked.where("_hot"), ["at", "event_id"], min(MAX_SLICES, -(-total // limit)))
+    return marked.withColumn("_slice", F.when(F.col("_hot"), index).otherwise(0)), True
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "at", "event_id")
+
+
+def _pieces(pdf: pd.DataFrame) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of rows of one slice."""
+    buyer, part = pdf["buyer_id"].to_numpy(), pdf["_slice"].to_numpy()
+    change = np.flatnonzero((buyer[1:] != buyer[:-1]) | (part[1:] != part[:-1])) + 1
+    edges = [0, *change.tolist(), len(pdf)]
+    return zip(edges, edges[1:])
+
+
+FOLD_SCHEMA = (
+    "buyer_id bigint, _slice bigint, assumed bigint, closing bigint, accepted bigint, refused bigint, "
+    "refused_cents bigint, total bigint, low bigint"
+)
+
+
+def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per slice from its rows in order; low is its lowest running sum."""
+    names = [field.split()[0] for field in FOLD_SCHEMA.split(", ")]
+    key, state = None, None
+    for pdf in frames:
+        done = []
+        amounts, openings = pdf["amount_cents"].tolist(), pdf["opening"].tolist()
+        buyers, parts = pdf["buyer_id"].tolist(), pdf["_slice"].tolist()
+        for a, b in _pieces(pdf):
+            if key != (buyers[a], parts[a]):
+                if key is not None:
+                    done.append((*key, *state))
+                key, opening = (buyers[a], parts[a]), openings[a]
+                assumed, balance, accepted, refused, refused_cents, total, low = opening, opening, 0, 0, 0, 0, 0
+            else:
+                assumed, balance, accepted, refused, refused_cents, total, low = state
+            for amount in amounts[a:b]:
+                total += amount
+                if total < low:
+                    low = total
+                after = balance + amount
+                if after >= 0:
+                    balance = after
+                    accepted += 1
+                else:
+                    refused += 1
+                    refused_cents -= amount
+            state = (assumed, balance, accepted, refused, refused_cents, total, low)
+        if done:
+            yield pd.DataFrame(done, columns=names)
+    if key is not None:
+        yield pd.DataFrame([(*key, *state)], columns=names)
+
+
+def _fold_slices(rows: DataFrame) -> DataFrame:
+    return _in_order(rows.select(*_KEYS, "at", "event_id", "amount_cents", "opening")).mapInPandas(_fold, FOLD_SCHEMA)
 
 
 def _chain(slices: DataFrame) -> DataFrame:
-    """Openings implied by the current closings, and whether each slice must be refolded.
+    """The opening of each slice that the slices before it imply.
 
-    One row per slice comes in, so a buyer's list has (rows / limit) short entries.
+    One short entry per slice comes in, so a buyer's list has (rows / limit) of them.
     """
     listed = slices.groupBy("buyer_id").agg(
-        F.array_sort(F.collect_list(F.struct("_slice", "total", "low", "assumed", "closing"))).alias("s")
+        F.array_sort(F.collect_list(F.struct("_slice", "total", "low", "closing"))).alias("s")
     )
-    zero = F.lit(0).cast("bigint")
     empty = F.array().cast("array<struct<_slice:bigint,opening:bigint>>")
-    start = F.struct(zero.alias("balance"), empty.alias("out"))
+    start = F.struct(F.lit(0).cast("bigint").alias("balance"), empty.alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         free = acc["balance"] + s["low"] >= 0
@@ -107,86 +127,77 @@ def _chain(slices: DataFrame) -> DataFrame:
     return listed.select("buyer_id", F.inline(F.aggregate("s", start, step, lambda acc: acc["out"])))
 
 
-def opening_balances(sliced: DataFrame) -> DataFrame:
-    """Exact opening balance of every (buyer_id, _slice)."""
-    rows = cut_lineage(sliced.groupBy("buyer_id", "_slice").agg(_movements().alias("amounts")))
-    base = rows.select(
-        "buyer_id",
-        "_slice",
-        _lowest(F.col("amounts")).alias("p"),
-        _fold(F.lit(0), F.col("amounts"))["balance"].alias("closing"),
-    )
+def opening_balances(hot_rows: DataFrame) -> DataFrame:
+    """Exact opening balance of every slice of the hot buyers."""
+    rows = cut_lineage(hot_rows.select(*_KEYS, "at", "event_id", "amount_cents"))
     state = cut_lineage(
-        base.select(
-            "buyer_id",
-            "_slice",
-            F.col("p.run").alias("total"),
-            F.col("p.low").alias("low"),
-            F.lit(0).cast("bigint").alias("assumed"),
-            "closing",
-        )
+        _fold_slices(rows.withColumn("opening", F.lit(0).cast("bigint"))).select(*_KEYS, "assumed", "closing", "total", "low")
     )
     while True:
-        chained = state.join(_chain(state), ["buyer_id", "_slice"])
-        stale = (F.col("opening") + F.col("low") < 0) & (F.col("opening") != F.col("assumed"))
-        wrong = cut_lineage(chained.where(stale).select("buyer_id", "_slice", "opening"))
-        if wrong.isEmpty():
-            return chained.select("buyer_id", "_slice", "opening")
-        refolded = rows.join(wrong, ["buyer_id", "_slice"]).select(
-            "buyer_id", "_slice", "opening", _fold(F.col("opening"), F.col("amounts"))["balance"].alias("refolded")
+        chained = cut_lineage(state.join(_chain(state), _KEYS))
+        stale = chained.where("opening + low < 0 AND opening <> assumed").select(*_KEYS, "opening")
+        if stale.isEmpty():
+            return chained.select(*_KEYS, "opening")
+        again = _fold_slices(rows.join(stale, _KEYS)).select(
+            *_KEYS, F.col("assumed").alias("_assumed"), F.col("closing").alias("_closing")
         )
         state = cut_lineage(
-            state.join(refolded, ["buyer_id", "_slice"], "left").select(
-                "buyer_id",
-                "_slice",
+            state.join(again, _KEYS, "left").select(
+                *_KEYS,
+                F.coalesce("_assumed", "assumed").alias("assumed"),
+                F.coalesce("_closing", "closing").alias("closing"),
                 "total",
                 "low",
-                F.coalesce("opening", "assumed").alias("assumed"),
-                F.coalesce("refolded", "closing").alias("closing"),
             )
         )
 
 
+def _with_openings(ledger: DataFrame, limit: int) -> DataFrame:
+    rows, several = wallet_slices(ledger, limit)
+    zero = F.lit(0).cast("bigint")
+    if not several:
+        return rows.withColumn("opening", zero)
+    openings = opening_balances(rows.where("_hot"))
+    return rows.join(openings, _KEYS, "left").withColumn("opening", F.coalesce("opening", zero))
+
+
 def wallet_fold(ledger: DataFrame, limit: int = SLICE_ROWS) -> DataFrame:
     """Balance, accepted and refused movements per buyer."""
-    sliced, several = wallet_slices(ledger, limit)
-    slices = sliced.groupBy("buyer_id", "_slice").agg(_movements().alias("amounts"))
-    if several:
-        slices = slices.join(opening_balances(sliced), ["buyer_id", "_slice"])
-    else:
-        slices = slices.withColumn("opening", F.lit(0))
-    folded = slices.select("buyer_id", "_slice", _fold(F.col("opening"), F.col("amounts")).alias("f"))
+    folded = _fold_slices(_with_openings(ledger, limit))
     return folded.groupBy("buyer_id").agg(
-        as_money(F.max_by("f.balance", "_slice")).alias("balance"),
-        F.sum("f.accepted").alias("accepted"),
-        F.sum("f.refused").alias("refused"),
-        as_money(F.sum("f.refused_cents")).alias("refused_amount"),
+        as_money(F.max_by("closing", "_slice")).alias("balance"),
+        F.sum("accepted").alias("accepted"),
+        F.sum("refused").alias("refused"),
+        as_money(F.sum("refused_cents")).alias("refused_amount"),
     )
 
 
-def wallet_statement(ledger: DataFrame, limit: int = SLICE_ROWS) -> DataFrame:
-    """Every movement with its outcome and the balance after it."""
-    sliced, several = wallet_slices(ledger, limit)
-    if several:
-        sliced = sliced.join(opening_balances(sliced), ["buyer_id", "_slice"])
-    else:
-        sliced = sliced.withColumn("opening", F.lit(0).cast("bigint"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event_id"])
-        balance = int(pdf["opening"].iloc[0])
+STATEMENT_SCHEMA = "buyer_id bigint, event_id bigint, amount_cents bigint, accepted boolean, balance_cents bigint"
+
+
+def _statement(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    key, balance = None, 0
+    for pdf in frames:
         balances = np.empty(len(pdf), dtype=np.int64)
         accepted = np.empty(len(pdf), dtype=bool)
-        for i, amount in enumerate(pdf["amount_cents"].tolist()):
-            accepted[i] = balance + amount >= 0
-            if accepted[i]:
-                balance += amount
-            balances[i] = balance
-        return pdf[["buyer_id", "event_id", "amount_cents"]].assign(accepted=accepted, balance_cents=balances)
-
-    return sliced.groupBy("buyer_id", "_slice").applyInPandas(
-        walk, "buyer_id bigint, event_id bigint, amount_cents bigint, accepted boolean, balance_cents bigint"
-    )
+        amounts, openings = pdf["amount_cents"].tolist(), pdf["opening"].tolist()
+        buyers, parts = pdf["buyer_id"].tolist(), pdf["_slice"].tolist()
+        for a, b in _pieces(pdf):
+            if key != (buyers[a], parts[a]):
+                key, balance = (buyers[a], parts[a]), openings[a]
+            for i in range(a, b):
+                after = balance + amounts[i]
+                accepted[i] = after >= 0
+                if after >= 0:
+                    balance = after
+                balances[i] = balance
+        yield pdf[["buyer_id", "event_id", "amount_cents"]].assign(accepted=accepted, balance_cents=balances)
+
+
+def wallet_statement(ledger: DataFrame, limit: int = SLICE_ROWS) -> DataFrame:
+    """Every movement with its outcome and the balance after it."""
+    rows = _with_openings(ledger, limit).select(*_KEYS, "at", "event_id", "amount_cents", "opening")
+    return _in_order(rows).mapInPandas(_statement, STATEMENT_SCHEMA)
 
 
 def running_balance(ledger: DataFrame, ranges: int | None = None) -> DataFrame:
