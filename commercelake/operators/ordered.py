@@ -1,9 +1,9 @@
 """Running totals and numbering that survive one hot key.
 
-A plain window puts every row of a key into one task. Here each key's rows are first cut
-into ranges of the order column with about equal row counts. Ranges are summed up
-separately, the small table of range totals is carried forward, and the totals are added
-to windows that never span more than one range.
+A plain window puts every row of a key into one task. Here the rows of large keys are
+first cut into ranges of the order column with about equal row counts. Ranges are summed
+up separately, the small table of range totals is carried forward, and the totals are
+added to windows that never span more than one range.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from commercelake.operators.skew import salted_join
 
-MAX_RANGES = 2048
+HOT_ROWS = 1_000_000
+MAX_RANGES = 16_384
 _SUB = 2**32
 
 
@@ -72,33 +73,40 @@ def _position(column: str, cuts: list[int]) -> Column:
     return passed + F.size(F.filter(rest, lambda c: c < F.col(column)))
 
 
+_WHOLE = {"sum": F.sum, "max": F.max, "count": F.count}
+_MERGE = {"sum": F.sum, "max": F.max, "count": F.sum}
+
+
 def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     totals: dict[str, tuple[str, Column]],
     ranges: int | None = None,
+    limit: int = HOT_ROWS,
 ) -> DataFrame:
     """Add running aggregates over (keys, order), the current row included.
 
     totals maps a new column to ("sum" | "max" | "count", value). The first order column
     must be a non-null BIGINT (the second too, if there is one) and the order total, so that
-    ties cannot change a result.
+    ties cannot change a result. Keys of at most `limit` rows use a plain window; only the
+    rows of larger ones are cut into ranges. `ranges` cuts all rows into that many.
     """
-    if ranges is None:
-        ranges = min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    whole = {"sum": F.sum, "max": F.max, "count": F.count}
-    cut = df.withColumn("_range", range_id(df, order, ranges))
+    cut, several = _cut(df, keys, order, ranges, limit)
     within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = cut.select("*", *[whole[fn](v).over(within).alias(f"_in_{n}") for n, (fn, v) in totals.items()])
+    if not several:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[_WHOLE[fn](v).over(whole).alias(n) for n, (fn, v) in totals.items()])
+    rows = cut.select("*", *[_WHOLE[fn](v).over(within).alias(f"_in_{n}") for n, (fn, v) in totals.items()])
 
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    merge = {"sum": F.sum, "max": F.max, "count": F.sum}
-    per_range = cut.groupBy(*keys, "_range").agg(*[whole[fn](v).alias(n) for n, (fn, v) in totals.items()])
+    per_range = (
+        cut.where("_hot").groupBy(*keys, "_range").agg(*[_WHOLE[fn](v).alias(n) for n, (fn, v) in totals.items()])
+    )
     carried = per_range.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_range").alias("_k_range"),
-        *[merge[fn](n).over(before).alias(f"_before_{n}") for n, (fn, _) in totals.items()],
+        *[_MERGE[fn](n).over(before).alias(f"_before_{n}") for n, (fn, _) in totals.items()],
     )
     same = F.col("_range") == F.col("_k_range")
     for k in keys:
@@ -115,6 +123,28 @@ def running(
     )
 
 
+def _cut(df: DataFrame, keys: list[str], order: list[str], ranges: int | None, limit: int) -> tuple[DataFrame, bool]:
+    """Rows with _range and _hot, and whether any key needs more than one range."""
+    marked = df.withColumn("_hot", F.lit(True))
+    if ranges is None and keys:
+        # Hot keys are known by a hash: it takes NULL keys too, and a key that shares one
+        # with a hot key is merely cut as well.
+        hashed = df.withColumn("_key", F.xxhash64(*keys))
+        hot = hashed.groupBy("_key").agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit)
+        total = hot.agg(F.sum("_rows")).first()[0]
+        if total is None:
+            return df, False
+        known = hot.select("_key", F.lit(True).alias("_hot"))
+        marked = salted_join(hashed, known, ["_key"], "left").fillna(False, ["_hot"]).drop("_key")
+        ranges = -(-total // limit)
+    elif ranges is None:
+        ranges = -(-df.count() // limit)
+        if ranges <= 1:
+            return df, False
+    index = range_id(marked.where("_hot"), order, min(MAX_RANGES, ranges))
+    return marked.withColumn("_range", F.when(F.col("_hot"), index).otherwise(0)), True
+
+
 def numbered(
     df: DataFrame, order: list[str], keys: list[str] | None = None, name: str = "position", ranges: int | None = None
 ) -> DataFrame:

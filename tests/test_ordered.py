@@ -35,6 +35,14 @@ def test_running_matches_a_plain_loop(spark, ranges, times):
     assert {r["id"]: (r["s"], r["n"], r["m"]) for r in out.collect()} == expected(data)
 
 
+@pytest.mark.parametrize("limit", [50, 150, 10_000])
+def test_only_large_keys_are_cut(spark, limit):
+    data = rows(limit, 600, ["a", "b", None], list(range(1000)))
+    df = spark.createDataFrame(data, "k string, at bigint, id bigint, v bigint").repartition(5)
+    out = running(df, ["k"], ["at", "id"], {"s": ("sum", F.col("v")), "n": ("count", F.lit(1)), "m": ("max", F.col("v"))}, limit=limit)
+    assert {r["id"]: (r["s"], r["n"], r["m"]) for r in out.collect()} == expected(data)
+
+
 def test_running_keeps_null_keys_and_skips_null_values(spark):
     data = [(None, 1, 1, None), (None, 2, 2, 4), (None, 3, 3, None), ("x", 1, 4, 7)]
     df = spark.createDataFrame(data, "k string, at bigint, id bigint, v bigint")
