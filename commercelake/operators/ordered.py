@@ -13,9 +13,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commercelake.operators.skew import salted_join
+from commercelake.operators.skew import HOT_ROWS, hot_keys, key_hash, salted_join
 
-HOT_ROWS = 1_000_000
 MAX_RANGES = 16_384
 _SUB = 2**32
 
@@ -127,16 +126,12 @@ def _cut(df: DataFrame, keys: list[str], order: list[str], ranges: int | None, l
     """Rows with _range and _hot, and whether any key needs more than one range."""
     marked = df.withColumn("_hot", F.lit(True))
     if ranges is None and keys:
-        # Hot keys are known by a hash: it takes NULL keys too, and a key that shares one
-        # with a hot key is merely cut as well.
-        hashed = df.withColumn("_key", F.xxhash64(*keys))
-        hot = hashed.groupBy("_key").agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit)
-        total = hot.agg(F.sum("_rows")).first()[0]
-        if total is None:
+        hot = hot_keys(df, keys, limit)
+        if not hot:
             return df, False
-        known = hot.select("_key", F.lit(True).alias("_hot"))
-        marked = salted_join(hashed, known, ["_key"], "left").fillna(False, ["_hot"]).drop("_key")
-        ranges = -(-total // limit)
+        # A key that shares its hash with a hot key is merely cut as well.
+        marked = df.withColumn("_hot", key_hash(df, keys).isin(*hot))
+        ranges = -(-sum(hot.values()) // limit)
     elif ranges is None:
         ranges = -(-df.count() // limit)
         if ranges <= 1:

@@ -1,25 +1,57 @@
-"""Joins against a reduced side when one key may hold a large share of the rows.
+"""Hot keys, and joins in which one key may hold a large share of the rows.
 
 Adaptive execution splits a skewed join partition only if both inputs come straight from a
 shuffle. A side that was just aggregated on the join key does not, so a hot key would end
-in one task. Here the large side is spread over salts and the reduced side, which has one
-row per key, is repeated once per salt.
+in one task. Here the rows of hot keys are spread over salts, and the few rows of those
+keys on the reduced side, which has one row per key, are repeated once per salt.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+HOT_ROWS = 1_000_000
+MAX_HOT = 8192
 SALTS = 32
 
 
-def salted_join(large: DataFrame, reduced: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+def key_hash(df: DataFrame, keys: list[str], like: DataFrame | None = None) -> Column:
+    """Hash of the keys, NULLs included; `like` gives the types, on which a hash depends."""
+    types = (like or df).schema
+    return F.xxhash64(*[F.col(k).cast(types[k].dataType) for k in keys])
+
+
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> dict[int, int]:
+    """Rows per key hash of the largest keys above min_rows.
+
+    At most MAX_HOT come to the driver. Any other key holds less than 1 / MAX_HOT of the
+    rows, which one task can take.
+    """
+    counts = df.groupBy(key_hash(df, keys).alias("h")).agg(F.count("*").alias("n"))
+    top = counts.where(F.col("n") > min_rows).orderBy(F.desc("n")).limit(MAX_HOT).collect()
+    return {row["h"]: row["n"] for row in top}
+
+
+def salted_join(
+    large: DataFrame, reduced: DataFrame, keys: list[str], how: str = "inner", min_rows: int = HOT_ROWS, salts: int = SALTS
+) -> DataFrame:
     """Join on keys; how is inner, left, left_semi or left_anti.
 
     The salt is the number of the large side's input partition: a task that runs again
     sends its rows to the same place, and copies of one row still get different salts.
     """
-    spread = large.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    repeated = reduced.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = hot_keys(large, keys, min_rows)
+    if not hot:
+        return large.join(reduced, keys, how)
+    one = F.lit(0)
+    spread = large.withColumn(
+        "_salt", F.when(key_hash(large, keys).isin(*hot), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(one)
+    )
+    repeated = reduced.withColumn(
+        "_salt",
+        F.explode(
+            F.when(key_hash(reduced, keys, large).isin(*hot), F.sequence(one, F.lit(salts - 1))).otherwise(F.array(one))
+        ),
+    )
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")

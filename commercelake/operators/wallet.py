@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from commercelake.functions.money import as_money
 from commercelake.operators.ordered import range_id, running
-from commercelake.operators.skew import salted_join
+from commercelake.operators.skew import hot_keys, key_hash
 from commercelake.session import cut_lineage
 
 SLICE_ROWS = 2_000_000
@@ -39,13 +39,12 @@ _KEYS = ["buyer_id", "_slice"]
 
 def wallet_slices(ledger: DataFrame, limit: int = SLICE_ROWS) -> tuple[DataFrame, bool]:
     """(buyer_id, at, event_id, amount_cents, _slice, _hot), and whether any buyer is hot."""
-    counts = ledger.groupBy("buyer_id").agg(F.count("*").alias("_rows"))
-    hot = counts.where(F.col("_rows") > limit).select("buyer_id", "_rows", F.lit(True).alias("_hot"))
-    total = hot.agg(F.sum("_rows")).first()[0]
-    if total is None:
+    hot = hot_keys(ledger, ["buyer_id"], limit)
+    if not hot:
         return ledger.withColumns({"_slice": F.lit(0).cast("bigint"), "_hot": F.lit(False)}), False
-    marked = salted_join(ledger, hot.drop("_rows"), ["buyer_id"], "left").fillna(False, ["_hot"])
-    index = range_id(marked.where("_hot"), ["at", "event_id"], min(MAX_SLICES, -(-total // limit)))
+    marked = ledger.withColumn("_hot", key_hash(ledger, ["buyer_id"]).isin(*hot))
+    slices = min(MAX_SLICES, -(-sum(hot.values()) // limit))
+    index = range_id(marked.where("_hot"), ["at", "event_id"], slices)
     return marked.withColumn("_slice", F.when(F.col("_hot"), index).otherwise(0)), True
 
 

@@ -71,9 +71,10 @@ def test_dense_rank(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_join(spark, how):
+@pytest.mark.parametrize("min_rows", [20, 90, 10_000])
+def test_salted_join_equals_join(spark, how, min_rows):
     large = spark.range(300).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 11)).alias("k"), "id").repartition(6)
-    small = spark.createDataFrame([(0, "z"), (4, "f"), (99, "n")], "k bigint, name string")
-    got = sorted(map(tuple, salted_join(large, small, ["k"], how, salts=5).collect()), key=str)
+    small = spark.createDataFrame([(0, "z"), (4, "f"), (99, "n")], "k int, name string")
+    got = sorted(map(tuple, salted_join(large, small, ["k"], how, min_rows, salts=5).collect()), key=str)
     want = sorted(map(tuple, large.join(small, "k", how).collect()), key=str)
     assert got == want
