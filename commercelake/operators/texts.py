@@ -66,23 +66,27 @@ def extract_spec(replies: DataFrame) -> DataFrame:
     )
 
 
-def split_files(replies: DataFrame, id_column: str) -> DataFrame:
-    """(id, pos, filename, content): blocks between separators, blank ones dropped; the name
-    stands in a block's first line."""
+def split_files(replies: DataFrame, *keep: str) -> DataFrame:
+    """(kept columns, pos, filename, content): blocks between separators, blank ones dropped;
+    the name stands in a block's first line."""
     blocks = F.filter(F.transform(F.split("reply", FILE_SEPARATOR), strip), lambda b: b != "")
     name = strip(F.regexp_extract(first_line(F.col("content")), r"# FILE: ([^\n]+)", 1))
-    return replies.select(id_column, F.posexplode(blocks).alias("pos", "content")).withColumn(
+    return replies.select(*keep, F.posexplode(blocks).alias("pos", "content")).withColumn(
         "filename", F.when(name == "", UNKNOWN_FILE).otherwise(name)
     )
 
 
-def clean_generated(outputs: DataFrame) -> DataFrame:
-    """Add content (first opening and first closing fence removed, trimmed), filename and lines."""
+def clean_generated(outputs: DataFrame, requested: str | None = None) -> DataFrame:
+    """Add content (first opening and first closing fence removed, trimmed), filename and lines.
+
+    Without a header in the content the name is that of the requested column, if given.
+    """
     opened = replace_first(F.col("raw"), r"(?md:^)```\w*\n?")
     closed = replace_first(opened, r"\n?```(?md:$)")
     out = outputs.withColumn("content", strip(closed))
     name = file_header(F.col("content"))
-    return out.withColumn("filename", F.when(name == "", UNKNOWN_FILE).otherwise(name)).withColumn(
+    asked = F.coalesce(F.nullif(F.col(requested), F.lit("")), F.lit(UNKNOWN_FILE)) if requested else F.lit(UNKNOWN_FILE)
+    return out.withColumn("filename", F.when(name == "", asked).otherwise(name)).withColumn(
         "lines", line_count(F.col("content"))
     )
 

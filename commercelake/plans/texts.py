@@ -71,8 +71,7 @@ def _generated(e):
 
 
 def _files(e):
-    blocks = texts.split_files(_generated(e), "doc_id")
-    return blocks.join(e.documents.select("doc_id", "source"), "doc_id")
+    return texts.split_files(_generated(e), "doc_id", "source")
 
 
 @query("t03_split_files", f"WITH {_FILES_SQL} SELECT doc_id, pos, filename, content FROM files")

@@ -33,10 +33,11 @@ class StreamEntities(Entities):
         return reader.parquet(f"{self.folder}/{name}.parque[t]")
 
 
-def _run(stream: DataFrame, mode: str) -> DataFrame:
+def _run(stream: DataFrame, mode: str, table: str | None) -> DataFrame:
     spark = stream.sparkSession
-    out, state = shared_path(spark, "stream"), shared_path(spark, "stream-state")
-    # State partitions are fixed for the life of a checkpoint, so they follow the session's setting.
+    table = table or shared_path(spark, "stream")
+    out = f"{table}/rows"
+    # The number of state partitions is that of the first run and stays with the state.
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -45,23 +46,27 @@ def _run(stream: DataFrame, mode: str) -> DataFrame:
     running = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(write)
-        .option("checkpointLocation", state)
+        .option("checkpointLocation", f"{table}/state")
         .trigger(availableNow=True)
         .start()
     )
     running.awaitTermination()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
-    return load_or_empty(spark, out, f"{schema}, batch INT")
+    return load_or_empty(spark, out, f"{schema}, batch BIGINT")
 
 
-def appended(stream: DataFrame) -> DataFrame:
-    """All rows the stream emits."""
-    return _run(stream, "append").drop("batch")
+def appended(stream: DataFrame, table: str | None = None) -> DataFrame:
+    """All rows the stream has emitted.
 
+    table is a folder in shared storage that holds rows and state; a later run with the same
+    folder goes on where the last one ended. Without it the run starts afresh.
+    """
+    return _run(stream, "append", table).drop("batch")
 
-def updated(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """The last version of each key the stream emits."""
-    rows = _run(stream, "update")
+
+def updated(stream: DataFrame, keys: list[str], table: str | None = None) -> DataFrame:
+    """The last version of each key the stream has emitted; table as for appended."""
+    rows = _run(stream, "update", table)
     values = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
     return last.select(*keys, "_last.*")

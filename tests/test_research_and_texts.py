@@ -75,6 +75,8 @@ def test_files(spark):
     raw = spark.createDataFrame([("```python\n# FILE: a.py\nx\n```",), ("x\n```\ny\n```\nz",), ("plain",)], "raw string")
     got = [(r["content"], r["filename"], r["lines"]) for r in texts.clean_generated(raw).collect()]
     assert got == [("# FILE: a.py\nx", "a.py", 2), ("x\ny\nz", "unknown.py", 3), ("plain", "unknown.py", 1)]
+    named = spark.createDataFrame([("x", "asked.py"), ("# FILE: own.py", "asked.py"), ("y", None)], "raw string, asked string")
+    assert [r["filename"] for r in texts.clean_generated(named, "asked").collect()] == ["asked.py", "own.py", "unknown.py"]
     header = spark.createDataFrame([("# FILE: a\nb\nc",), ("# FILE: only",), ("x\ny",)], "c string")
     assert [r[0] for r in header.select(texts.strip_header(header["c"])).collect()] == ["b\nc", "", "x\ny"]
 

@@ -66,6 +66,19 @@ def test_attribution(live, con):
     assert compare(out, con, oracle_sql()["st09_live_attribution"]) is None
 
 
+def test_a_second_run_goes_on_where_the_first_ended(spark):
+    folder, table = shared_path(spark, "growing"), shared_path(spark, "wallets")
+    spent = []
+    for part, (kind, value) in enumerate([("signup", 50.0), ("purchase", 30.0), ("purchase", 30.0)]):
+        row = spark.createDataFrame([(part, 7, kind, value)], "event_id bigint, user_id bigint, event_type string, value double")
+        ts = F.lit(f"2024-01-0{part + 1} 00:00:00").cast("timestamp_ntz")
+        row = row.select("event_id", ts.alias("ts"), "user_id", "event_type", "value", F.lit('{"k": 1}').alias("props"))
+        row.coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+        out = updated(jobs.live_wallet(StreamEntities(spark, folder).ledger), ["buyer_id"], table).first()
+        spent.append((out["balance_cents"], out["accepted"], out["refused"]))
+    assert spent == [(5000, 1, 0), (2000, 2, 0), (2000, 2, 1)]
+
+
 def test_rows_later_than_the_retention_are_dropped(spark):
     folder = shared_path(spark, "late")
     for ts, event_id in (("2024-06-01 00:00:00", 1), ("2024-06-02 00:00:00", 2), ("2024-04-01 00:00:00", 3), ("2024-01-01 00:00:00", 4)):
