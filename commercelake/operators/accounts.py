@@ -12,6 +12,7 @@ from commercelake.operators.ordered import numbered
 ROLES = ("buyer", "seller", "admin")
 NO_CREDENTIALS = "Email and password are required"
 BAD_ROLE = "Invalid role"
+MEMBER_PROGRAM = "Prime-like"
 
 
 def assign_ids(df: DataFrame, prefix: str, natural_key: str, start: int = 1) -> DataFrame:
@@ -83,6 +84,18 @@ def new_registrations(incoming: DataFrame, registered: DataFrame) -> tuple[DataF
     return mails.join(firsts, ["email", "seq"], "left_semi"), mails.join(firsts, ["email", "seq"], "left_anti")
 
 
+def apply_subscriptions(buyers: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Membership after a subscription log (buyer_id, seq, program): a buyer's last program
+    decides, buyers without an entry keep their flag."""
+    last = subscriptions.groupBy("buyer_id").agg(F.max_by("program", "seq").alias("_program"), F.lit(True).alias("_logged"))
+    member = F.coalesce(F.col("_program") == MEMBER_PROGRAM, F.lit(False))
+    return (
+        buyers.join(last, "buyer_id", "left")
+        .withColumn("is_prime", F.when(F.col("_logged"), member).otherwise(F.col("is_prime")))
+        .drop("_program", "_logged")
+    )
+
+
 def summary(**tables: DataFrame) -> DataFrame:
     """One row with the row count of each table."""
     parts = [df.select(F.lit(name).alias("entity")) for name, df in tables.items()]

@@ -9,6 +9,20 @@ from commercelake.functions.money import as_money, ratio
 from commercelake.operators.ordered import dense_rank_by
 from commercelake.operators.sales import seller_totals, with_commission
 
+# Why a review is refused.
+NO_SELLER = "Seller not found"
+BAD_STARS = "Stars must be between 1 and 5"
+
+
+def check_reviews(reviews: DataFrame, sellers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with a reason): the seller must exist, stars go from 1 to 5."""
+    known = sellers.select("seller_id", F.lit(True).alias("_known"))
+    checked = reviews.join(known, "seller_id", "left").withColumn(
+        "reason",
+        F.when(F.col("_known").isNull(), NO_SELLER).when(~F.coalesce("stars", F.lit(0)).between(1, 5), BAD_STARS),
+    )
+    return checked.where("reason IS NULL").drop("_known", "reason"), checked.where("reason IS NOT NULL").drop("_known")
+
 
 def reputation(reviews: DataFrame, sellers: DataFrame) -> DataFrame:
     """Average stars x 20, times the shares without return and without complaint."""

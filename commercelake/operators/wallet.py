@@ -204,6 +204,12 @@ def running_balance(ledger: DataFrame, ranges: int | None = None) -> DataFrame:
     return running(ledger, ["buyer_id"], ["at", "event_id"], {"balance_cents": ("sum", F.col("amount_cents"))}, ranges)
 
 
+def check_credits(credits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): a credit must be greater than zero."""
+    good = F.coalesce(F.col("amount_cents") > 0, F.lit(False))
+    return credits.where(good), credits.where(~good)
+
+
 def signed_balance(*movements: DataFrame) -> DataFrame:
     """Credits less debits per buyer over any number of (buyer_id, amount_cents) tables."""
     total = movements[0].select("buyer_id", "amount_cents")

@@ -656,3 +656,43 @@ def _(e):
 )
 def _(e):
     return checkout.logged(checkout.classify(e.checkouts)).select("event_id", "decision", "log")
+
+
+# --- input checks ---------------------------------------------------------------
+
+
+@query(
+    "c09_membership",
+    """WITH s AS (SELECT user_id AS buyer_id, arg_max(CASE WHEN k % 2 = 0 THEN 'Prime-like' ELSE 'none' END, event_id) AS program
+        FROM activity WHERE event_type = 'signup' GROUP BY 1)
+    SELECT buyer_id, CASE WHEN coalesce(program = 'Prime-like', is_prime) THEN 'true' ELSE 'false' END AS is_prime FROM buyers LEFT JOIN s USING (buyer_id)""",
+)
+def _(e):
+    log = e.activity.where("event_type = 'signup'").select(
+        F.col("user_id").alias("buyer_id"),
+        F.col("event_id").alias("seq"),
+        F.when(F.col("k") % 2 == 0, accounts.MEMBER_PROGRAM).otherwise("none").alias("program"),
+    )
+    return accounts.apply_subscriptions(e.buyers, log).select("buyer_id", _text(F.col("is_prime")).alias("is_prime"))
+
+
+@query(
+    "g04_review_rejects",
+    """SELECT CASE WHEN seller_id % 3 <> 0 THEN 'Seller not found' WHEN line - 1 NOT BETWEEN 1 AND 5 THEN 'Stars must be between 1 and 5' ELSE 'accepted' END AS result,
+        seller_id, count(*) AS reviews FROM sales GROUP BY 1, 2""",
+)
+def _(e):
+    reviews = e.sales.select("seller_id", (F.col("line") - 1).alias("stars"))
+    good, bad = dashboard.check_reviews(reviews, e.sellers.where("ads_contracted"))
+    both = good.select("seller_id", F.lit("accepted").alias("result")).unionByName(bad.select("seller_id", F.col("reason").alias("result")))
+    return both.groupBy("result", "seller_id").agg(F.count("*").alias("reviews"))
+
+
+@query(
+    "w01_credit_rejects",
+    """SELECT buyer_id, count(*) FILTER (amount > 0) AS accepted, count(*) FILTER (amount <= 0) AS rejected FROM ledger GROUP BY 1""",
+)
+def _(e):
+    good, bad = wallet.check_credits(e.ledger)
+    both = good.select("buyer_id", F.lit(True).alias("ok")).unionByName(bad.select("buyer_id", F.lit(False).alias("ok")))
+    return both.groupBy("buyer_id").agg(F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("rejected"))

@@ -157,3 +157,17 @@ def test_rate_in_force_takes_the_latest_campaign(spark):
     campaigns = campaigns.select("seller_id", F.to_date("day").alias("starts_on"), "rate_pct")
     out = {(r["seller_id"], str(r["sold_on"])): r["rate_pct"] for r in sales.with_rate_in_force(sold, campaigns).collect()}
     assert out == {(1, "2020-01-01"): 10, (1, "2020-06-01"): 8, (1, "2023-03-05"): 5, (2, "2020-06-01"): 10}
+
+
+def test_membership_follows_the_last_program(spark):
+    buyers = spark.createDataFrame([(1, False), (2, True), (3, True)], "buyer_id bigint, is_prime boolean")
+    log = spark.createDataFrame([(1, 1, "none"), (1, 2, "Prime-like"), (2, 3, None)], "buyer_id bigint, seq int, program string")
+    out = {r["buyer_id"]: r["is_prime"] for r in accounts.apply_subscriptions(buyers, log).collect()}
+    assert out == {1: True, 2: False, 3: True}
+
+
+def test_review_checks(spark):
+    reviews = spark.createDataFrame([(7, 5), (7, 0), (7, None), (9, 3)], "seller_id bigint, stars int")
+    good, bad = dashboard.check_reviews(reviews, spark.createDataFrame([(7,)], "seller_id bigint"))
+    assert [tuple(r) for r in good.collect()] == [(7, 5)]
+    assert sorted(r["reason"] for r in bad.collect()) == ["Seller not found", *["Stars must be between 1 and 5"] * 2]
