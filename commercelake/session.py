@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +27,23 @@ def build_session(cpus: int | str = 8, app: str = "commercelake") -> SparkSessio
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application.
+
+    They import it by name, and elsewhere than in the repository they would not find it. The
+    archive is served by the driver; executors need no shared folder for it.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        home = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="commercelake-code-")) / "commercelake"
+        spark.sparkContext.addPyFile(shutil.make_archive(str(target), "zip", home.parent, home.name))
+        _SHIPPED.add(app)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 

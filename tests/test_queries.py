@@ -2,7 +2,8 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from commercelake.plans.catalog import ORACLES, QUERIES
 from tests.oracle import TESTDATA, compare, connect
 
 FOLDER = f"{TESTDATA}/sf0.001"
@@ -14,13 +15,13 @@ def con():
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, con, key):
-    assert compare(queries()[key](spark, FOLDER), con, oracle_sql()[key]) is None
+    assert compare(QUERIES[key](spark, FOLDER), con, ORACLES[key]) is None
