@@ -93,4 +93,4 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", ranges: int | None = No
 def keep_one(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The rows of docs that stay, all columns; a repeated row stays once."""
     found = exact_dedup(docs, keep).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi")

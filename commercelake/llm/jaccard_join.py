@@ -401,4 +401,4 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose identifier is the least of their component, all columns."""
     stays = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stays, docs["doc_id"] == F.col("_id"), "left_semi")
+    return docs.join(stays, docs["doc_id"] == stays["_id"], "left_semi")

@@ -105,5 +105,7 @@ def mix_counts(
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; identifiers must be unique."""
     times = mix_counts(docs, **how).where("epochs > 0").select(F.col("doc_id").alias("_id"), "epochs")
-    joined = docs.join(times, docs["doc_id"] == F.col("_id"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))).select(*docs.columns)
+    joined = docs.join(times, docs["doc_id"] == times["_id"])
+    own = [docs[c] for c in docs.columns]
+    repeated = joined.select(F.explode(F.array_repeat(F.struct(*own), times["epochs"].cast("int"))).alias("row"))
+    return repeated.select("row.*")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from commercelake.llm.tokens import Encoder, with_end
+from commercelake.llm.tokens import encoder, with_end
 from commercelake.session import cut_lineage
 
 CAPACITY = 4096
@@ -94,9 +94,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
     """doc_id, copy, start, length, ids_crc32 and doc_tokens of each piece, without the ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        known = encoder(tokenizer)
         for b in batches:
-            ids, offsets = with_end(*encoder.encode(b.column(2)), end_id)
+            ids, offsets = with_end(*known.encode(b.column(2)), end_id)
             row, start, length, crc = [], [], [], []
             view = memoryview(ids.astype("<u4", copy=False)).cast("B")
             for i in range(b.num_rows):

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from commercelake.llm.tokens import Encoder, with_end
+from commercelake.llm.tokens import encoder, with_end
 from commercelake.llm.words import mix
 
 SHARD_IDS = 1 << 20
@@ -109,7 +109,7 @@ class Shard:
         asked = keys.astype(np.int64).view(np.uint64)
         slot = find_slots(asked, self.levels, self.bits, self._rank)
         known = (slot >= 0) & (self.slots[slot, 0] == _fingerprint(asked))
-        return np.where(known, self.slots[slot, 1], -1).astype(np.int64)
+        return np.where(known, self.slots[slot, 1].astype(np.int64), -1)
 
     def ids(self, record: int) -> np.ndarray:
         return self.payload[self.offsets[record] : self.offsets[record + 1]]
@@ -142,7 +142,7 @@ def write_index(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sha
     """Encode every document and write the shards to path, in ascending order of identifiers."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        known, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -152,7 +152,7 @@ def write_index(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sha
         for b in batches:
             keys = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             null = np.asarray(b.column(0).is_null())
-            ids, offsets = with_end(*encoder.encode(b.column(1)), end_id)
+            ids, offsets = with_end(*known.encode(b.column(1)), end_id)
             first = 0
             while first < len(keys):
                 room = shard_ids - sum(len(h[2]) for h in held)

@@ -8,6 +8,7 @@ texts become gathers from that table. Only for tokenizers with this property: wo
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -35,7 +36,7 @@ class Encoder:
         self._used = 0
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self._tokenizer.encode_batch(words, add_special_tokens=False)]
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         while self._used + len(ids) > len(self._pool):
@@ -94,3 +95,9 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndar
     inner[ends] = False
     out[ends], out[inner] = end_id, ids
     return out, offsets + np.arange(rows + 1)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder per Python worker, whose table of words serves all its tasks."""
+    return Encoder(path)

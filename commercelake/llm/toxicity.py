@@ -1,12 +1,14 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Tokens are words cut to their first six or four bytes, A-Z folded. From labelled texts each
-token gets the log-odds of toxic against clean texts with an informative Dirichlet prior; those
-whose z-score passes Z count with their log-odds, all other words with -DRIFT. The linear scan of
-all maximal-scoring segments finds passages; a segment's score S in a text of n words has
+A word has three tokens, A-Z folded: the whole word without punctuation at its end, its first six
+and its first four bytes. From labelled texts, copies once, each token gets the log-odds of toxic
+against clean texts with an informative Dirichlet prior; those whose z-score passes Z count. A
+word scores its best token's log-odds, any other word -DRIFT. The linear scan of all
+maximal-scoring segments finds passages; a segment's score S in a text of n words has
 E = n exp(-lambda S), with lambda from the clean texts' score distribution, and is significant
-if E <= 0.05. The evidence of a text, sum of -ln E over its significant segments, becomes a
-probability by a logistic curve fitted to the labelled texts.
+if E <= 0.05. The evidence of a text is -ln of the least probability of the sum of its r best
+segments, over all r, by the sum statistics of extreme values; it becomes a probability by a
+logistic curve fitted to the labelled texts.
 
 The model is fitted on at most about MAX_LABELLED labelled rows, chosen by hash; its size is
 bounded by theirs, so it is collected and sent to the tasks.
@@ -19,6 +21,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,22 +30,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commercelake.llm.words import chunks, text_bytes, word_spans
+from commercelake.llm.words import chunks, text_bytes, word_hashes, word_spans
+from commercelake.session import cut_lineage
 
 MAX_LABELLED = 200_000
 #: The prior's weight, as a share of the labelled texts that hold a token.
 PRIOR = 0.1
-Z = 3.0
+Z = 2.5
 LEAST_TOXIC = 4
 DRIFT = 0.5
 SIGNIFICANT_E = 0.05
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_BINS = 50
+_BINS = 80
+_EDGE = np.zeros(256, bool)
+_EDGE[[ord(c) for c in ".,;:!?)]}\"'#*$%&|"]] = True
 
 
-def tokens_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The six-byte and the four-byte token of each word, as numbers that tell them apart."""
+def tokens_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The whole, six-byte and four-byte token of each word, as numbers that tell them apart."""
+    for _ in range(2 if len(data) else 0):
+        ends = ends - ((ends - 1 > starts) & _EDGE[data[np.maximum(ends - 1, 0)]])
+    whole = (word_hashes(data, starts, ends, fold=True) | np.uint64(1 << 63)).view(np.int64)
     long_, short = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
     for k in range(6):
         at = starts + k
@@ -51,7 +60,7 @@ def tokens_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
         long_ = long_ << 8 | byte
         if k < 4:
             short = short << 8 | byte
-    return long_ | 1 << 56, short
+    return whole, long_ | 1 << 56, short
 
 
 @dataclass
@@ -69,19 +78,21 @@ class Model:
         out = np.zeros(len(starts))
         if not len(self.tokens):
             return out
-        long_, short = tokens_of(data, starts, ends)
-        for found in (short, long_):
+        for found in tokens_of(data, starts, ends):
             at = np.minimum(np.searchsorted(self.tokens, found), len(self.tokens) - 1)
-            out = np.where(self.tokens[at] == found, self.odds[at], out)
+            out = np.where(self.tokens[at] == found, np.maximum(out, self.odds[at]), out)
         return out
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> tuple[float, list[tuple[int, int, float, float]]]:
-        significant = []
-        for first, last, s in segments:
-            log_e = np.log(max(n, 1)) - self.rate * s
-            if log_e <= np.log(SIGNIFICANT_E):
-                significant.append((first, last, s, float(np.exp(log_e))))
-        return float(sum(-np.log(max(e, 1e-300)) for *_, e in significant)), significant
+        """-ln of the least probability of a sum of segments, and the significant segments with their E."""
+        size, best, total, log_r = math.log(max(n, 1)), 0.0, 0.0, 0.0
+        for r, s in enumerate(sorted((s for *_, s in segments), reverse=True), 1):
+            total, log_r = total + self.rate * s - size, log_r + math.log(r)
+            t = total + log_r
+            if t > r:
+                best = max(best, t - (r - 1) * math.log(t) + 2 * log_r - math.log(r))
+        found = ((first, last, s, math.exp(max(-600.0, size - self.rate * s))) for first, last, s in segments)
+        return best, [x for x in found if x[3] <= SIGNIFICANT_E]
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.base + self.slope * np.log1p(evidence), -30, 30)))
@@ -135,7 +146,11 @@ def _sample(docs: DataFrame, labelled: DataFrame, max_labelled: int) -> DataFram
     labels = labelled.select(F.col("doc_id").alias("_id"), F.col("label").cast("int").alias("label")).where("label is not null")
     share = min(1.0, max_labelled / max(1, labels.count()))
     labels = labels.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(labels), F.col("doc_id") == F.col("_id")).select("text", "label")
+    texts = docs.select("doc_id", F.col("text").cast("string"))
+    # Of equal texts with one label the first counts; only hashes are shuffled.
+    hashed = texts.select("doc_id", F.xxhash64("text").alias("_h")).join(F.broadcast(labels), F.col("doc_id") == F.col("_id"))
+    once = cut_lineage(hashed.groupBy("_h", "label").agg(F.min("_id").alias("_id")).select("_id", "label"))
+    return texts.join(F.broadcast(once), F.col("doc_id") == F.col("_id")).select("text", "label")
 
 
 def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
@@ -153,7 +168,7 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED)
                 row = np.repeat(np.arange(z - a), np.diff(at))
                 # Token 0 counts the texts.
                 code = np.concatenate([*tokens_of(raw, starts, ends), np.zeros(z - a, np.int64)])
-                row = np.concatenate([row, row, np.arange(z - a)])
+                row = np.concatenate([row, row, row, np.arange(z - a)])
                 names, back = np.unique(code, return_inverse=True)
                 pairs = np.unique(row * len(names) + back)
                 toxic = label[a:z][pairs // len(names)] == 1
@@ -187,11 +202,11 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED)
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [model.evidence(found, n)[0] for n, found, _, _ in _segments(model, b.column(0))]
-            bins = np.minimum(_BINS - 1, (8 * np.log1p(np.array(x))).astype(np.int64))
+            bins = np.minimum(_BINS - 1, (12 * np.log1p(np.array(x))).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), b.column(1)], names=["bin", "label"])
 
     binned = sample.mapInArrow(weigh, "bin bigint, label int").groupBy("bin").agg(F.sum("label").alias("t"), F.count("*").alias("n")).toPandas()
-    x = np.where(binned["bin"] > 0, (binned["bin"] + 0.5) / 8, 0.0)
+    x = np.where(binned["bin"] > 0, (binned["bin"] + 0.5) / 12, 0.0)
     model.base, model.slope = _logistic(x, binned["t"].to_numpy(float), binned["n"].to_numpy(float))
     return model
 

@@ -21,8 +21,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
     ship_package(spark)
+    docs = docs.select(*COLUMNS)
     kept = quality.verdicts(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("_id"), "left_semi").select(*COLUMNS)
+    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").select(*COLUMNS)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
