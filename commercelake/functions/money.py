@@ -30,12 +30,13 @@ def as_money(cents_col: Column) -> Column:
 
 
 def half_even_div(num: Column, den: int) -> Column:
-    """num / den to the nearest integer, ties to even, for num >= 0 and even den."""
-    q = _div(num, den)
-    rest = num - q * F.lit(den)
+    """num / den to the nearest integer, ties to even, for even den; the sign does not matter."""
+    size = F.abs(num)
+    q = _div(size, den)
+    rest = size - q * F.lit(den)
     half = den // 2
     up = (rest > half) | ((rest == half) & (q % 2 == 1))
-    return q + up.cast("bigint")
+    return F.signum(num).cast("bigint") * (q + up.cast("bigint"))
 
 
 def _div(num: Column, den: int) -> Column:

@@ -158,7 +158,7 @@ def baseline_trigger(traces: DataFrame, split_at: str, factor: float = 2.0, min_
 
 
 def ice_score(opportunities: DataFrame) -> DataFrame:
-    """Add score and rank. opportunities: id (below 10^12), kind, impact, confidence, ease."""
+    """Add score and rank. opportunities: id, kind, impact, confidence, ease."""
     impact = F.when(F.col("kind") == "blocking_debt", F.greatest("impact", F.lit(BLOCKING_IMPACT).cast("bigint"))).otherwise(F.col("impact"))
     score = (
         F.when(F.col("kind") == "critical_bug", ICE_CRITICAL)
@@ -166,9 +166,8 @@ def ice_score(opportunities: DataFrame) -> DataFrame:
         .otherwise(impact * F.col("confidence") * F.col("ease"))
         .cast("bigint")
     )
-    # Score and id in one number: ties in the score can then be cut into ranges too.
-    scored = opportunities.withColumn("score", score).withColumn("_order", (F.lit(1000) - score) * F.lit(10**12) + F.col("id"))
-    return numbered(scored, ["_order"], name="rank").drop("_order")
+    scored = opportunities.withColumn("score", score).withColumn("_down", -score)
+    return numbered(scored, ["_down", "id"], name="rank").drop("_down")
 
 
 def route_opportunity(opportunities: DataFrame, group: str) -> DataFrame:

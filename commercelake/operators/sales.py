@@ -136,13 +136,13 @@ def orphans(child: DataFrame, checks: dict[str, tuple[DataFrame, str]]) -> DataF
 def with_rate_in_force(sales: DataFrame, campaigns: DataFrame, default_pct: int = STANDARD_PCT) -> DataFrame:
     """Add the commission percentage in force on the day of the sale.
 
-    campaigns: seller_id, starts_on, rate_pct; a campaign ends where the seller's next one
-    starts. Campaigns are spread over the years they touch, so sales meet them by an equi
+    campaigns: seller_id, starts_on, rate_pct and, if they can end by themselves, ends_on (its day
+    no longer counts, NULL is open); a campaign also ends where the seller's next one starts. Campaigns are spread over the years they touch, so sales meet them by an equi
     join on (seller, year) and at most one of the candidates holds the day.
     """
     following = Window.partitionBy("seller_id").orderBy("starts_on")
-    last_day = F.lit("2100-01-01").cast("date")
-    spans = campaigns.withColumn("ends_on", F.coalesce(F.lead("starts_on").over(following), last_day))
+    own_end = F.col("ends_on") if "ends_on" in campaigns.columns else F.lit(None).cast("date")
+    spans = campaigns.withColumn("ends_on", F.least(own_end, F.lead("starts_on").over(following)))
     horizon = sales.agg(F.max(F.year("sold_on"))).scalar()
     binned = spans.select(
         "seller_id",
@@ -161,7 +161,7 @@ def with_rate_in_force(sales: DataFrame, campaigns: DataFrame, default_pct: int
         (left["seller_id"] == binned["seller_id"])
         & (left["_year"] == binned["_year"])
         & (left["sold_on"] >= binned["starts_on"])
-        & (left["sold_on"] < binned["ends_on"])
+        & (binned["ends_on"].isNull() | (left["sold_on"] < binned["ends_on"]))
     )
     return left.join(binned, hit, "left").select(
         *[left[c] for c in sales.columns],

@@ -104,7 +104,7 @@ def parse_test_log(logs: DataFrame) -> DataFrame:
     """Counts from the summary line and counts of lines with a status, and the failing lines."""
 
     def summary(word: str) -> Column:
-        return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("log", rf"(\d+) {word}", 1), F.lit("")), F.lit("999999999")), F.lit(0)).cast("bigint")
+        return F.coalesce(F.regexp_extract("log", rf"(\d+) {word}", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
 
     lines = F.split("log", "\n")
 

@@ -77,7 +77,7 @@ def encode_tagged(fields: dict[str, Column], decimals: set[str] = frozenset()) -
             pairs.append(F.concat(F.lit(f'["{name}",'), tagged, F.lit("]")))
         else:
             one = F.to_json(F.array(value))
-            pairs.append(F.concat(F.lit(f'["{name}",'), F.substring(one, 2, 2**30)))
+            pairs.append(F.concat(F.lit(f'["{name}",'), F.substr(one, F.lit(2))))
     return F.concat(F.lit('{"__dict__":['), F.concat_ws(",", *pairs), F.lit("]}"))
 
 
