@@ -14,7 +14,7 @@ The model is fitted on at most about MAX_LABELLED labelled rows, chosen by hash;
 bounded by theirs, so it is collected and sent to the tasks.
 
 Null, empty and blank texts have no segments and get the score of no evidence. Rows without a
-label, or with labels for unknown texts, do not count in the fit; repeated rows count again. Without
+label, or with labels for unknown texts, do not count in the fit; copies count once there. Without
 labels of both kinds the score is the share of toxic labels (0 without any). Empty tables give an
 empty result; other columns are ignored.
 """

@@ -348,12 +348,14 @@ def test_toxicity_edges(spark, docs, empty):
     model = toxicity.fit(docs, docs.select("doc_id", F.lit(0).alias("label")))
     found = toxicity.score(docs, model).collect()
     assert len(found) == len(rows()) and all(0 <= r["score"] < 0.01 for r in found)
-    toxic = spark.createDataFrame([(i, "aa bb cc vile " * 5 if i % 2 else "aa bb cc dd " * 5) for i in range(60)], "doc_id bigint, text string")
+    # Copies count once in the fit, so every text has a word of its own.
+    texts = {i: f"u{i} " + ("aa bb cc vile " * 5 if i % 2 else "aa bb cc dd " * 5) for i in range(60)}
+    toxic = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     model = toxicity.fit(toxic, toxic.select("doc_id", (F.col("doc_id") % 2).alias("label")))
     for r in toxicity.score(toxic, model).collect():
         assert (r["score"] > 0.5) == (r["doc_id"] % 2 == 1)
         for s in r["segments"]:
-            assert "vile" in ("aa bb cc vile " * 5)[s["start"] : s["end"]]
+            assert "vile" in texts[r["doc_id"]][s["start"] : s["end"]]
 
 
 def test_personal_data(spark, docs):
