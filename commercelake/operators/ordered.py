@@ -1,78 +1,49 @@
 """Running totals and numbering that survive one hot key.
 
 A plain window puts every row of a key into one task. Here the rows of large keys are
-first cut into ranges of the order column with about equal row counts. Ranges are summed
+first cut into ranges of the order columns with about equal row counts. Ranges are summed
 up separately, the small table of range totals is carried forward, and the totals are
-added to windows that never span more than one range.
+added to windows that never span more than one range. Building the plan runs no job.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commercelake.operators.skew import HOT_ROWS, hot_keys, key_hash, salted_join
+from commercelake.operators.skew import PARTS, hot_table, salted_join, with_hot
 
-MAX_RANGES = 16_384
-_SUB = 2**32
+#: Rows looked at per range when cut points are chosen.
+SAMPLE = 50
 
 
-def range_id(df: DataFrame, order: list[str], ranges: int) -> Column:
-    """Number of the range a row falls in, ascending in the order columns (BIGINT, non-null).
+def with_range(df: DataFrame, order: list[str], ranges: int, name: str = "_range", where: str | None = None) -> DataFrame:
+    """Add the number of the range a row falls in, ascending in the order columns (any
+    orderable types). With `where`, a BOOLEAN column, only such rows are cut; others get 0.
 
-    Cut points come from one mergeable sketch of the first column. A value that fills more
-    than one range by itself is cut further by the second column. Cut points are fetched
-    once and used as constants, at most `ranges` of each kind, so a task that is run again
-    after an executor is lost puts its rows into the same ranges.
+    Cut points are a scalar subquery over the rows with the least hashes, SAMPLE per range:
+    a sample that depends on the values alone, so a task that is run again after an
+    executor is lost puts its rows into the same ranges. It only sets where ranges end;
+    every row falls in one of them.
     """
     if ranges <= 1:
-        return F.lit(0).cast("bigint")
-    steps = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(order[0], steps, 10 * ranges).alias("c")).first()["c"] or []
-    cuts = sorted(set(found))
-    if not cuts:
-        return F.lit(0).cast("bigint")
-    position = _position(order[0], cuts)
-    repeats = {value: n for value, n in Counter(found).items() if n > 1}
-    if not repeats or len(order) < 2:
-        return position * F.lit(_SUB)
-    ties = _tie_cuts(df, order, repeats)
-    # A row's position is that of the first cut not below it: a tied value finds its own
-    # cuts there.
-    own = F.get(F.array(*[_longs(ties.get(cut, [])) for cut in cuts]), position)
-    inside = F.size(F.filter(own, lambda c: c < F.col(order[1]))) + 1
-    tied = F.coalesce(F.get(_longs(cuts), position) == F.col(order[0]), F.lit(False))
-    return position * F.lit(_SUB) + F.when(tied, inside).otherwise(0)
-
-
-def _tie_cuts(df: DataFrame, order: list[str], repeats: dict[int, int]) -> dict[int, list[int]]:
-    """For values that fill n ranges or more, about n cut points of the second column."""
-    most = max(repeats.values()) + 1
-    steps = [i / most for i in range(1, most)]
-    rows = (
-        df.where(F.col(order[0]).isin(*repeats))
-        .groupBy(F.col(order[0]).alias("v"))
-        .agg(F.percentile_approx(order[1], steps, 10 * most).alias("c"))
-        .collect()
-    )
-    return {row["v"]: sorted(set(row["c"][:: max(1, most // (repeats[row["v"]] + 1))])) for row in rows}
-
+        return df.withColumn(name, F.lit(0))
+    row = F.struct(*order)
+    chosen = (df.where(where) if where else df).select(row.alias("c"), F.xxhash64(*order).alias("h"))
+    sample = chosen.orderBy("h", "c").limit(SAMPLE * ranges).agg(F.array_sort(F.collect_list("c")).alias("a"))
+    every = F.greatest(F.lit(1), F.ceil(F.size("a") / ranges))
+    cuts = sample.select(F.array_distinct(F.filter("a", lambda c, i: (i + 1) % every == 0)).alias("cuts"))
+    # Two steps of about sqrt(n) comparisons find a row's place among n cuts.
+    cuts = cuts.withColumn("step", F.greatest(F.lit(1), F.sqrt(F.size("cuts")).cast("int")))
+    coarse = F.filter("cuts", lambda c, i: (i + 1) % F.col("step") == 0).alias("coarse")
+    found = df.withColumn("_cuts", cuts.select(F.struct("step", "cuts", coarse)).scalar())
 
-def _longs(values: list[int]) -> Column:
-    """A constant array; one text that is folded builds faster than thousands of literals."""
-    if not values:
-        return F.array().cast("array<bigint>")
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    def below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda c: c < row))
 
-
-def _position(column: str, cuts: list[int]) -> Column:
-    """How many cuts are below the value, in two steps of about sqrt(n) comparisons."""
-    step = max(1, int(len(cuts) ** 0.5))
-    passed = F.size(F.filter(_longs(cuts[step - 1 :: step]), lambda c: c < F.col(column))) * step
-    rest = F.slice(_longs(cuts), passed + 1, F.lit(step))
-    return passed + F.size(F.filter(rest, lambda c: c < F.col(column)))
+    passed = below(F.col("_cuts.coarse")) * F.col("_cuts.step")
+    index = passed + below(F.slice(F.col("_cuts.cuts"), passed + 1, F.col("_cuts.step")))
+    return found.withColumn(name, F.when(F.col(where), index).otherwise(0) if where else index).drop("_cuts")
 
 
 _WHOLE = {"sum": F.sum, "max": F.max, "count": F.count}
@@ -85,20 +56,23 @@ def running(
     order: list[str],
     totals: dict[str, tuple[str, Column]],
     ranges: int | None = None,
-    limit: int = HOT_ROWS,
+    parts: int = PARTS,
 ) -> DataFrame:
     """Add running aggregates over (keys, order), the current row included.
 
-    totals maps a new column to ("sum" | "max" | "count", value). The first order column
-    must be a non-null BIGINT (the second too, if there is one) and the order total, so that
-    ties cannot change a result. Keys of at most `limit` rows use a plain window; only the
-    rows of larger ones are cut into ranges. `ranges` cuts all rows into that many.
+    totals maps a new column to ("sum" | "max" | "count", value). The order must be total,
+    so that ties cannot change a result. Only the rows of keys with more than 1/parts of
+    all rows are cut into ranges, twice as many as there are shuffle partitions; without
+    keys all rows are. `ranges` cuts all rows into that many.
     """
-    cut, several = _cut(df, keys, order, ranges, limit)
+    if ranges is None and keys:
+        marked = with_hot(df, hot_table(df, keys, parts), keys).withColumn("_hot", F.col("_salts").isNotNull()).drop("_salts")
+    else:
+        marked = df.withColumn("_hot", F.lit(True))
+    ranges = ranges or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = with_range(marked, order, ranges, where="_hot")
+
     within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    if not several:
-        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[_WHOLE[fn](v).over(whole).alias(n) for n, (fn, v) in totals.items()])
     rows = cut.select("*", *[_WHOLE[fn](v).over(within).alias(f"_in_{n}") for n, (fn, v) in totals.items()])
 
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,24 +99,6 @@ def running(
     )
 
 
-def _cut(df: DataFrame, keys: list[str], order: list[str], ranges: int | None, limit: int) -> tuple[DataFrame, bool]:
-    """Rows with _range and _hot, and whether any key needs more than one range."""
-    marked = df.withColumn("_hot", F.lit(True))
-    if ranges is None and keys:
-        hot = hot_keys(df, keys, limit)
-        if not hot:
-            return df, False
-        # A key that shares its hash with a hot key is merely cut as well.
-        marked = df.withColumn("_hot", key_hash(df, keys).isin(*hot))
-        ranges = -(-sum(hot.values()) // limit)
-    elif ranges is None:
-        ranges = -(-df.count() // limit)
-        if ranges <= 1:
-            return df, False
-    index = range_id(marked.where("_hot"), order, min(MAX_RANGES, ranges))
-    return marked.withColumn("_range", F.when(F.col("_hot"), index).otherwise(0)), True
-
-
 def numbered(
     df: DataFrame, order: list[str], keys: list[str] | None = None, name: str = "position", ranges: int | None = None
 ) -> DataFrame:

@@ -27,25 +27,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commercelake.functions.money import as_money
-from commercelake.operators.ordered import range_id, running
-from commercelake.operators.skew import hot_keys, key_hash
+from commercelake.operators.ordered import running, with_range
+from commercelake.operators.skew import hot_table, with_hot
 from commercelake.session import cut_lineage
 
 SLICE_ROWS = 2_000_000
-MAX_SLICES = 65_536
 
 _KEYS = ["buyer_id", "_slice"]
 
 
 def wallet_slices(ledger: DataFrame, limit: int = SLICE_ROWS) -> tuple[DataFrame, bool]:
     """(buyer_id, at, event_id, amount_cents, _slice, _hot), and whether any buyer is hot."""
-    hot = hot_keys(ledger, ["buyer_id"], limit)
-    if not hot:
+    hot = hot_table(ledger, ["buyer_id"]).where(F.col("_n") > limit)
+    rows = hot.agg(F.sum("_n")).first()[0]
+    if not rows:
         return ledger.withColumns({"_slice": F.lit(0).cast("bigint"), "_hot": F.lit(False)}), False
-    marked = ledger.withColumn("_hot", key_hash(ledger, ["buyer_id"]).isin(*hot))
-    slices = min(MAX_SLICES, -(-sum(hot.values()) // limit))
-    index = range_id(marked.where("_hot"), ["at", "event_id"], slices)
-    return marked.withColumn("_slice", F.when(F.col("_hot"), index).otherwise(0)), True
+    marked = with_hot(ledger, hot, ["buyer_id"]).withColumn("_hot", F.col("_salts").isNotNull()).drop("_salts")
+    cut = with_range(marked, ["at", "event_id"], -(-rows // limit), "_slice", "_hot")
+    return cut.withColumn("_slice", F.col("_slice").cast("bigint")), True
 
 
 def _in_order(rows: DataFrame) -> DataFrame:

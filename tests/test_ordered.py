@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from commercelake.operators.ordered import dense_rank_by, numbered, range_id, running
+from commercelake.operators.ordered import dense_rank_by, numbered, running, with_range
 from commercelake.operators.skew import salted_join
 
 
@@ -35,11 +35,11 @@ def test_running_matches_a_plain_loop(spark, ranges, times):
     assert {r["id"]: (r["s"], r["n"], r["m"]) for r in out.collect()} == expected(data)
 
 
-@pytest.mark.parametrize("limit", [50, 150, 10_000])
-def test_only_large_keys_are_cut(spark, limit):
-    data = rows(limit, 600, ["a", "b", None], list(range(1000)))
+@pytest.mark.parametrize("parts", [1, 2, 4, 4096])
+def test_only_large_keys_are_cut(spark, parts):
+    data = rows(parts, 600, ["a", "b", None], list(range(1000)))
     df = spark.createDataFrame(data, "k string, at bigint, id bigint, v bigint").repartition(5)
-    out = running(df, ["k"], ["at", "id"], {"s": ("sum", F.col("v")), "n": ("count", F.lit(1)), "m": ("max", F.col("v"))}, limit=limit)
+    out = running(df, ["k"], ["at", "id"], {"s": ("sum", F.col("v")), "n": ("count", F.lit(1)), "m": ("max", F.col("v"))}, parts=parts)
     assert {r["id"]: (r["s"], r["n"], r["m"]) for r in out.collect()} == expected(data)
 
 
@@ -52,7 +52,7 @@ def test_running_keeps_null_keys_and_skips_null_values(spark):
 
 def test_one_tied_value_is_still_cut(spark):
     df = spark.range(2000).select(F.lit(7).cast("bigint").alias("at"), F.col("id"))
-    cut = df.withColumn("r", range_id(df, ["at", "id"], 20))
+    cut = with_range(df, ["at", "id"], 20, "r")
     sizes = [r["count"] for r in cut.groupBy("r").count().collect()]
     assert len(sizes) >= 15 and max(sizes) < 400
     bounds = cut.groupBy("r").agg(F.min("id").alias("a"), F.max("id").alias("b")).orderBy("r").collect()
@@ -71,10 +71,27 @@ def test_dense_rank(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("min_rows", [20, 90, 10_000])
-def test_salted_join_equals_join(spark, how, min_rows):
+@pytest.mark.parametrize("parts", [1, 5, 4096])
+def test_salted_join_equals_join(spark, how, parts):
     large = spark.range(300).select((F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 11)).alias("k"), "id").repartition(6)
     small = spark.createDataFrame([(0, "z"), (4, "f"), (99, "n")], "k int, name string")
-    got = sorted(map(tuple, salted_join(large, small, ["k"], how, min_rows, salts=5).collect()), key=str)
+    got = sorted(map(tuple, salted_join(large, small, ["k"], how, parts).collect()), key=str)
     want = sorted(map(tuple, large.join(small, "k", how).collect()), key=str)
     assert got == want
+
+
+def test_text_and_several_order_columns(spark):
+    data = [(f"n{i % 7}", f"f{i * 37 % 400:03d}", i) for i in range(400)]
+    df = spark.createDataFrame(data, "a string, b string, v int").repartition(4)
+    out = numbered(df, ["a", "b"], ranges=8).collect()
+    assert [r["v"] for r in sorted(out, key=lambda r: r["position"])] == [v for _, _, v in sorted(data)]
+    assert running(df.limit(0), [], ["a"], {"n": ("count", F.lit(1))}).collect() == []
+
+
+def test_building_runs_no_job(spark):
+    spark.sparkContext.setJobGroup("build", "build")
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
+    running(df, ["k"], ["id"], {"s": ("sum", F.col("id"))})
+    numbered(df, ["id"])
+    salted_join(df, df.groupBy("k").count(), ["k"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("build")
