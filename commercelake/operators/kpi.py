@@ -5,7 +5,10 @@ Traces: event_id, ts, phase, cycle, latency_cents, ok, model.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commercelake.functions.money import as_money, ratio
@@ -74,19 +77,49 @@ def paid_ratio(traces: DataFrame, paid_model: int = 0) -> DataFrame:
     return out.withColumn("rate", ratio(F.col("paid"), F.col("calls"))).withColumn("on_target", F.col("rate") < PAID_TARGET)
 
 
-def latency_percentiles(traces: DataFrame, exact: bool = True) -> DataFrame:
-    """p50, p95 and p99 per phase and model.
+def percentiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, float]) -> DataFrame:
+    """Exact interpolated percentiles per group, one column per level.
 
-    Exact ones keep a count per distinct value, which whole cents bound; exact=False keeps
-    a sketch of fixed size instead.
+    Rows are counted per value, the counts run up in value order, and each level picks the
+    values around its place: no group is held in memory. Groups without a value are left out.
     """
-    pick = F.percentile if exact else F.percentile_approx
-    found = traces.groupBy("phase", "model").agg(pick("latency_cents", [0.5, 0.95, 0.99]).alias("_p"))
-    names = ("p50", "p95", "p99")
-    return found.select(
-        "phase", "model", *[F.round(F.col("_p")[i], 2).cast("decimal(18,2)").alias(n) for i, n in enumerate(names)]
+    by_value = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = by_value.select(*keys, "_v", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(group).alias("_all"))
+
+    def place(p: float) -> Column:
+        return (F.col("_all") - 1) * F.lit(p)
+
+    picked = placed.groupBy(*keys, "_all").agg(
+        *[F.min(F.when(F.col("_upto") > F.floor(place(p)), F.col("_v"))).alias(f"_low_{n}") for n, p in levels.items()],
+        *[F.min(F.when(F.col("_upto") > F.ceil(place(p)), F.col("_v"))).alias(f"_high_{n}") for n, p in levels.items()],
     )
 
+    def between(n: str, p: float) -> Column:
+        low, high, part = F.col(f"_low_{n}"), F.col(f"_high_{n}"), place(p) - F.floor(place(p))
+        return F.when(low == high, low.cast("double")).otherwise((1 - part) * low + part * high).alias(n)
+
+    return picked.select(*keys, *[between(n, p) for n, p in levels.items()])
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of two reduced tables; NULL keys are equal."""
+    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(and_, [left[k].eqNullSafe(renamed[f"_k_{k}"]) for k in keys])
+    return left.join(renamed, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
+def latency_percentiles(traces: DataFrame, exact: bool = True) -> DataFrame:
+    """p50, p95 and p99 per phase and model; exact=False keeps a sketch of fixed size."""
+    levels = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    keys = ["phase", "model"]
+    if exact:
+        found = same_keys(traces.select(*keys).distinct(), percentiles(traces, keys, "latency_cents", levels), keys)
+    else:
+        found = traces.groupBy(*keys).agg(*[F.percentile_approx("latency_cents", p).alias(n) for n, p in levels.items()])
+    return found.select(*keys, *[F.round(n, 2).cast("decimal(18,2)").alias(n) for n in levels])
+
 
 def error_rate(traces: DataFrame) -> DataFrame:
     out = traces.groupBy("phase").agg(F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("errors"))
@@ -102,12 +135,13 @@ def daily_volume(traces: DataFrame) -> DataFrame:
 
 def daily_metrics(traces: DataFrame) -> DataFrame:
     """(day, metric, value): uptime and error rate in percent, p95 latency."""
-    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
-    wide = traces.groupBy(day).agg(
+    dated = traces.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "ok", "latency_cents")
+    rates = dated.groupBy("day").agg(
         (F.count_if("ok") * 100.0 / F.count("*")).alias("uptime"),
-        (F.percentile("latency_cents", 0.95) / 100).alias("latency_p95"),
         (F.count_if(~F.col("ok")) * 100.0 / F.count("*")).alias("error_rate"),
     )
+    wide = same_keys(rates, percentiles(dated, ["day"], "latency_cents", {"_p": 0.95}), ["day"])
+    wide = wide.withColumn("latency_p95", F.col("_p") / 100)
     return wide.unpivot("day", ["uptime", "latency_p95", "error_rate"], "metric", "value")
 
 
@@ -143,11 +177,13 @@ def hypothesis_verdict(traces: DataFrame, split_at: str) -> DataFrame:
 def baseline_trigger(traces: DataFrame, split_at: str, factor: float = 2.0, min_success: float = 0.60) -> DataFrame:
     """Per phase and model: is p95 above `factor` times its baseline, or success too low?"""
     later = F.col("ts") >= F.lit(split_at).cast("timestamp")
-    out = traces.groupBy("phase", "model").agg(
-        F.percentile(F.when(~later, F.col("latency_cents")), 0.95).alias("_before"),
-        F.percentile(F.when(later, F.col("latency_cents")), 0.95).alias("_after"),
-        ratio(F.count_if(later & F.col("ok")), F.count_if(later)).alias("success"),
+    keys = ["phase", "model"]
+    rates = traces.groupBy(*keys).agg(ratio(F.count_if(later & F.col("ok")), F.count_if(later)).alias("success"))
+    halves = percentiles(traces.withColumn("_later", later), [*keys, "_later"], "latency_cents", {"_p": 0.95})
+    sides = halves.groupBy(*keys).agg(
+        F.max(F.when(~F.col("_later"), F.col("_p"))).alias("_before"), F.max(F.when(F.col("_later"), F.col("_p"))).alias("_after")
     )
+    out = same_keys(rates, sides, keys)
     return out.select(
         "phase",
         "model",
