@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from commercelake.functions.text import strip
 
@@ -21,14 +22,22 @@ BAD_STOCK = "Stock must be non-negative"
 NO_SKU = "SKU is required"
 
 
-def category_path(raw: Column) -> Column:
-    """'a > b > c' to its trimmed, non-blank levels."""
-    return F.filter(F.transform(F.split(raw, ">"), strip), lambda part: part != "")
+NOT_FOUND = "Item not found"
+
+
+def category_path(raw: Column, listed: bool = False) -> Column:
+    """'a > b > c', or a list of levels, to its trimmed, non-blank levels."""
+    parts = F.coalesce(raw, F.array().cast("array<string>")) if listed else F.split(F.coalesce(raw, F.lit("")), ">")
+    return F.filter(F.transform(parts, strip), lambda part: part != "")
+
+
+def _listed(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.ArrayType)
 
 
 def normalize_category(df: DataFrame, raw: str = "category") -> DataFrame:
     """Add the path and the reason a category is refused (NULL when it is fine)."""
-    path = df.withColumn("path", category_path(F.coalesce(F.col(raw), F.lit(""))))
+    path = df.withColumn("path", category_path(F.col(raw), _listed(df, raw)))
     depth = F.size("path")
     return path.withColumn(
         "category_error",
@@ -45,7 +54,7 @@ def validate_listing(df: DataFrame, present: str | None = None) -> DataFrame:
     def blank(name: str) -> Column:
         return strip(F.coalesce(F.col(name), F.lit(""))) == ""
 
-    depth = F.size(category_path(F.coalesce(F.col("category"), F.lit(""))))
+    depth = F.size(category_path(F.col("category"), _listed(df, "category")))
     photos = F.coalesce(F.size("photos"), F.lit(0))
     rules = [
         ("title", blank("title"), NO_TITLE),
@@ -65,22 +74,37 @@ def validate_listing(df: DataFrame, present: str | None = None) -> DataFrame:
     return df.withColumn("violations", F.array_compact(found))
 
 
-def patch(base: DataFrame, updates: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Overwrite only the fields each update supplies.
+def patch(
+    base: DataFrame, updates: DataFrame, key: str, fields: dict[str, str], order: str, problem: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Overwrite only the fields each update supplies: (changed rows, refused updates with reason).
 
-    updates holds key, keys ARRAY<STRING> and the new values: a field listed in keys is
-    taken even when its value is NULL, a field that is not listed is left alone.
+    updates holds key, order (non-null, distinct per key), keys ARRAY<STRING> and the new
+    values: a field listed in keys is taken even when its value is NULL, a field that is not
+    listed is left alone. fields maps such names to columns. Of several updates the last that
+    lists a field counts for it. An update of an unknown key, or one with a problem, is
+    refused as a whole.
     """
-    new = updates.select(key, F.col("keys").alias("_keys"), *[F.col(f).alias(f"_new_{f}") for f in fields])
+    checked = updates.withColumn("_problem", problem if problem is not None else F.lit(None).cast("string"))
+
+    def last(name: str, column: str) -> Column:
+        listed = F.when(F.array_contains("keys", name), F.col(order))
+        return F.max_by(F.struct(F.col(column).alias("v")), listed).alias(f"_new_{column}")
+
+    new = checked.where("_problem IS NULL").groupBy(key).agg(*[last(*pair) for pair in fields.items()])
     joined = base.join(new, key, "left")
-    return joined.select(
+    changed = joined.select(
         *[
-            F.when(F.array_contains("_keys", c), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
-            if c in fields
+            F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}")["v"]).otherwise(F.col(c)).alias(c)
+            if c in fields.values()
             else F.col(c)
             for c in base.columns
         ]
     )
+    known = base.select(key, F.lit(True).alias("_known"))
+    reason = F.when(F.col("_known").isNull(), NOT_FOUND).otherwise(F.col("_problem"))
+    refused = checked.join(known, key, "left").withColumn("reason", reason).where("reason IS NOT NULL")
+    return changed, refused.select(*updates.columns, "reason")
 
 
 def deactivate(items: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from commercelake.functions.money import as_money, money
-from commercelake.operators import accounts, checkout, dashboard, listings, sales, wallet
+from commercelake.operators import accounts, checkout, dashboard, listings, research, sales, wallet
 from commercelake.plans.registry import query
 
 
@@ -116,23 +116,41 @@ def _(e):
     "p04_patch",
     """SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'new ' || title ELSE title END AS title,
         CASE WHEN item_id % 3 = 0 THEN price - 1 ELSE price END AS price,
-        CASE WHEN item_id % 5 = 0 THEN -1 ELSE CAST(stock AS BIGINT) END AS stock
-    FROM items""",
+        CASE WHEN item_id % 5 = 0 THEN 5 ELSE CAST(stock AS BIGINT) END AS stock, 'kept' AS reason
+    FROM items
+    UNION ALL SELECT item_id, ' ', 0.01, -1, 'Title is required' FROM items WHERE item_id % 7 = 0
+    UNION ALL SELECT item_id + 1000000000, 'old ' || title, 1.00, -1, 'Item not found' FROM items WHERE item_id % 11 = 0""",
 )
 def _(e):
+    """Up to three updates of an item in turn, some overwritten, some refused."""
     i = F.col("item_id")
-    updates = e.items.where((i % 2 == 0) | (i % 3 == 0) | (i % 5 == 0)).select(
-        "item_id",
-        F.array_compact(
-            F.array(F.when(i % 2 == 0, "title"), F.when(i % 3 == 0, "price_cents"), F.when(i % 5 == 0, "stock"))
-        ).alias("keys"),
-        F.concat(F.lit("new "), "title").alias("title"),
-        (F.col("price_cents") - 100).alias("price_cents"),
-        F.lit(None).cast("int").alias("stock"),
+    absent = {c: F.lit(None).cast("string") for c in ("description", "category", "sku")}
+    absent["photos"] = F.lit(None).cast("array<string>")
+
+    def asked(seq, keys, title, price, stock=None):
+        return e.items.select(
+            "item_id", F.lit(seq).alias("seq"), F.array_compact(F.array(*keys)).alias("keys"), title.alias("title"),
+            price.cast("bigint").alias("price_cents"), F.lit(stock).cast("int").alias("stock"),
+        ).withColumns(absent)
+
+    old, blank, new = F.concat(F.lit("old "), "title"), F.lit(" "), F.concat(F.lit("new "), "title")
+    first = asked(1, [F.when(i % 2 == 0, "title"), F.when(i % 3 == 0, "price")], old, F.lit(100))
+    second = asked(
+        2, [F.when(i % 2 == 0, "title"), F.when(i % 3 == 0, "price"), F.when(i % 5 == 0, "stock")], new, F.col("price_cents") - 100, 5
     )
-    out = listings.patch(e.items, updates, "item_id", ["title", "price_cents", "stock"])
+    invalid = asked(3, [F.lit("title"), F.lit("price")], blank, F.lit(1)).where(i % 7 == 0)
+    unknown = asked(4, [F.lit("title")], old, F.lit(100)).where(i % 11 == 0).withColumn("item_id", i + 1000000000)
+    updates = listings.validate_listing(research.union_all(first, second, invalid, unknown), present="keys")
+    fields = {"title": "title", "price": "price_cents", "stock": "stock"}
+    changed, refused = listings.patch(e.items, updates, "item_id", fields, "seq", F.get("violations", F.lit(0)))
+    out = changed.withColumn("reason", F.lit("kept")).select("item_id", "title", "price_cents", "stock", "reason")
+    out = out.unionByName(refused.select("item_id", "title", "price_cents", "stock", "reason"))
     return out.select(
-        "item_id", "title", as_money(F.col("price_cents")).alias("price"), F.coalesce("stock", F.lit(-1)).cast("bigint").alias("stock")
+        "item_id",
+        "title",
+        as_money(F.col("price_cents")).alias("price"),
+        F.coalesce("stock", F.lit(-1)).cast("bigint").alias("stock"),
+        "reason",
     )
 
 

@@ -82,8 +82,29 @@ def test_listing_violations(spark):
 def test_patch_tells_null_from_absent(spark):
     base = spark.createDataFrame([(1, "a", 1500, 2), (2, "b", 5, 5)], "id int, title string, price bigint, stock int")
     new = spark.createDataFrame([(1, ["price", "stock"], "ignored", 1300, None)], "id int, keys array<string>, title string, price bigint, stock int")
-    out = sorted(map(tuple, listings.patch(base, new, "id", ["title", "price", "stock"]).collect()), key=str)
-    assert out == [(1, "a", 1300, None), (2, "b", 5, 5)]
+    fields = {c: c for c in ("title", "price", "stock")}
+    changed, refused = listings.patch(base, new.withColumn("seq", F.lit(1)), "id", fields, "seq")
+    assert sorted(map(tuple, changed.collect()), key=str) == [(1, "a", 1300, None), (2, "b", 5, 5)]
+    assert refused.isEmpty()
+
+
+def test_patch_takes_the_last_update_and_refuses_whole_ones(spark):
+    base = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "id int, title string, price bigint")
+    asked = [
+        (1, 1, ["title", "price"], "x", 11), (1, 2, ["title"], "y", 99), (1, 3, ["title", "price"], "", 12), (9, 1, ["title"], "", 1),
+    ]
+    new = spark.createDataFrame(asked, "id int, seq int, keys array<string>, title string, price bigint")
+    fields = {"title": "title", "price": "price"}
+    changed, refused = listings.patch(base, new, "id", fields, "seq", F.when(F.col("title") == "", "Title is required"))
+    assert sorted(map(tuple, changed.collect())) == [(1, "y", 11), (2, "b", 20)]
+    assert sorted((r["id"], r["seq"], r["reason"]) for r in refused.collect()) == [(1, 3, "Title is required"), (9, 1, "Item not found")]
+
+
+def test_category_as_a_list(spark):
+    rows = [(["a ", " ", "b"],), ([],), (None,), (list("abcd"),)]
+    out = listings.normalize_category(spark.createDataFrame(rows, "category array<string>")).collect()
+    assert [r["path"] for r in out] == [["a", "b"], [], [], list("abcd")]
+    assert [r["category_error"] for r in out] == [None, listings.NO_CATEGORY, listings.NO_CATEGORY, listings.DEEP_CATEGORY]
 
 
 def test_checkout_rules(spark):
