@@ -1,4 +1,7 @@
-"""Search-result research: source fallback, dedup, known names, routing, report."""
+"""Search-result research: source fallback, dedup, known names, routing, report.
+
+Results: query, query_pos (its place in the query list), source_rank, rank, title, url, snippet.
+"""
 
 from __future__ import annotations
 
@@ -46,12 +49,13 @@ def union_all(*sources: DataFrame) -> DataFrame:
 
 
 def dedup_by_url(results: DataFrame) -> DataFrame:
-    """First row per URL in (query, rank) order; rows without a URL are all kept, untagged."""
+    """First row per URL in the order of the query list, then rank; rows without a URL are
+    all kept, without their query's text but at its position."""
     columns = results.columns
     firsts = (
         results.where("url <> ''")
         .groupBy("url")
-        .agg(F.min_by(F.struct(*columns), F.struct("query", "rank")).alias("_row"))
+        .agg(F.min_by(F.struct(*columns), F.struct("query_pos", "rank")).alias("_row"))
         .select("_row.*")
     )
     blanks = results.where("url = ''").withColumn("query", F.lit(""))
@@ -65,7 +69,8 @@ def top_per_query(results: DataFrame, n: int) -> DataFrame:
 
 
 def first_results(results: DataFrame, n: int) -> DataFrame:
-    return results.orderBy("query", "rank").limit(n)
+    """The first n, queries in the order of their list."""
+    return results.orderBy("query_pos", "rank").limit(n)
 
 
 # --- names ------------------------------------------------------------------------
@@ -170,7 +175,7 @@ def render_item() -> Column:
 def format_search_block(results: DataFrame) -> DataFrame:
     """One string with the first 40 results, numbered."""
     first = first_results(results, BLOCK_RESULTS)
-    rows = F.array_sort(F.collect_list(F.struct("query", "rank", "title", "url", "snippet")))
+    rows = F.array_sort(F.collect_list(F.struct("query_pos", "rank", "title", "url", "snippet")))
     entry = F.transform(
         rows,
         lambda r, i: F.concat(
@@ -223,9 +228,9 @@ def digest_message(items: DataFrame, order: str, title: str, footer: str) -> Dat
 def report_sources(results: DataFrame) -> DataFrame:
     """Of the first 20 results, one line per distinct URL; the limit comes first."""
     first = first_results(results, REPORT_SOURCES).where("url <> ''")
-    kept = first.groupBy("url").agg(F.min_by(F.struct("query", "rank", "title"), F.struct("query", "rank")).alias("r"))
+    kept = first.groupBy("url").agg(F.min_by(F.struct("query", "query_pos", "rank", "title"), F.struct("query_pos", "rank")).alias("r"))
     title = F.substring(F.coalesce("r.title", "url"), 1, 80)
-    return kept.select("r.query", "r.rank", F.concat(F.lit("- ["), title, F.lit("]("), "url", F.lit(")")).alias("line"))
+    return kept.select("r.query", "r.query_pos", "r.rank", F.concat(F.lit("- ["), title, F.lit("]("), "url", F.lit(")")).alias("line"))
 
 
 def report(items: DataFrame, order: str, results: DataFrame, queries: DataFrame, run_date: str) -> DataFrame:
@@ -242,7 +247,7 @@ def report(items: DataFrame, order: str, results: DataFrame, queries: DataFrame,
     )
     listed = numbered(items, [order]).select(F.lit(2).alias("section"), "position", render_item().alias("line"))
     asked = queries.select(F.lit(1).alias("section"), "position", F.concat(F.lit("- `"), "query", F.lit("`")).alias("line"))
-    top = Window.orderBy("query", "rank")
+    top = Window.orderBy("query_pos", "rank")
     sources = report_sources(results).select(
         F.lit(3).alias("section"), F.row_number().over(top).alias("position"), "line"
     )
@@ -250,4 +255,6 @@ def report(items: DataFrame, order: str, results: DataFrame, queries: DataFrame,
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    lines.sortWithinPartitions("section", "position").write.mode("append").partitionBy("run_date").json(path)
+    """One folder per run date; a run that is repeated replaces its own."""
+    ordered = lines.sortWithinPartitions("section", "position").write.mode("overwrite")
+    ordered.option("partitionOverwriteMode", "dynamic").partitionBy("run_date").json(path)

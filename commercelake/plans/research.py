@@ -63,7 +63,8 @@ def _(e):
 def _(e):
     path = shared_path(e.spark, "checkpoints")
     prices = e.items.select("item_id", as_money(F.col("price_cents")).alias("price"))
-    snapshots.checkpoint(prices, path, "RB1")
+    for _ in range(2):
+        snapshots.checkpoint(prices, path, "RB1")
     snapshots.checkpoint(prices.withColumn("price", (F.col("price") * 2).cast("decimal(18,2)")), path, "RB2")
     return snapshots.restore(e.spark, path, "RB1", "item_id BIGINT, price DECIMAL(18,2)")
 
@@ -177,26 +178,26 @@ _ITEMS_SQL = """found AS (SELECT page_id, CASE WHEN page_id % 13 <> 0 THEN regex
 _RENDER_SQL = r"""concat_ws(E'\n', '### ' || coalesce(name, 'Unknown'), '- **Tipo:** ' || coalesce(type, '-'),
     '- **Relevancia SDLC:** ' || relevance || '/5', '- **Viabilidade HW:** ' || coalesce(CAST(viability AS VARCHAR), '-') || '/5',
     '- **Descricao:** ' || coalesce(description, ''), CASE WHEN coalesce(source_url, '') <> '' THEN '- **Fonte:** ' || source_url END)"""
-_REPORT_SQL = f"""first20 AS (SELECT * FROM results ORDER BY query, rank LIMIT 20),
-    kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY query, rank) AS n FROM first20 WHERE url <> '') WHERE n = 1)"""
+_REPORT_SQL = f"""first20 AS (SELECT * FROM results ORDER BY query_pos, rank LIMIT 20),
+    kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY query_pos, rank) AS n FROM first20 WHERE url <> '') WHERE n = 1)"""
 
 
 @query(
     "s09_write_report",
-    f"""WITH {_ITEMS_SQL}, {_REPORT_SQL}, q AS (SELECT DISTINCT query FROM results)
+    f"""WITH {_ITEMS_SQL}, {_REPORT_SQL}, q AS (SELECT DISTINCT query, query_pos FROM results)
     SELECT 0 AS section, 1 AS position, '**Queries executadas:** ' || (SELECT count(*) FROM q) AS line, '2024-01-30' AS run_date
     UNION ALL SELECT 0, 2, '**Resultados brutos coletados:** ' || (SELECT count(*) FROM results), '2024-01-30'
     UNION ALL SELECT 0, 3, '**Novos itens identificados:** ' || (SELECT count(*) FROM found), '2024-01-30'
-    UNION ALL SELECT 1, row_number() OVER (ORDER BY query), '- `' || query || '`', '2024-01-30' FROM q
+    UNION ALL SELECT 1, row_number() OVER (ORDER BY query_pos), '- `' || query || '`', '2024-01-30' FROM q
     UNION ALL SELECT 2, row_number() OVER (ORDER BY page_id), {_RENDER_SQL}, '2024-01-30' FROM found
-    UNION ALL SELECT 3, row_number() OVER (ORDER BY query, rank), '- [' || left(title, 80) || '](' || url || ')', '2024-01-30' FROM kept""",
+    UNION ALL SELECT 3, row_number() OVER (ORDER BY query_pos, rank), '- [' || left(title, 80) || '](' || url || ')', '2024-01-30' FROM kept""",
 )
 def _(e):
-    queries = e.results.select("query").distinct()
-    ordered = queries.withColumn("position", F.regexp_extract("query", r"\d+", 0).cast("bigint") + 1)
+    ordered = e.results.select("query", (F.col("query_pos") + 1).alias("position")).distinct()
     lines = research.report(_items(e), "page_id", e.results, ordered, "2024-01-30")
     path = shared_path(e.spark, "report")
-    research.write_report(lines, path)
+    for _ in range(2):
+        research.write_report(lines, path)
     return e.spark.read.schema("section BIGINT, position BIGINT, line STRING, run_date STRING").json(path)
 
 
@@ -221,9 +222,10 @@ def _(e):
 def _(e):
     path = shared_path(e.spark, "logs")
     rows = checkout.logged(checkout.classify(e.checkouts)).select("event_id", "decision", "log")
-    snapshots.append_log(rows.where("decision = 'approved'"), path)
-    snapshots.append_log(rows.where("decision = 'blocked'"), path)
-    held = e.spark.read.schema("event_id BIGINT, decision STRING, log STRING").parquet(path)
+    for _ in range(2):
+        snapshots.append_log(rows.where("decision = 'approved'"), path, "first")
+        snapshots.append_log(rows.where("decision = 'blocked'"), path, "second")
+    held = e.spark.read.schema("event_id BIGINT, decision STRING, batch STRING, log STRING").parquet(path)
     return held.groupBy("log", "decision").agg(F.count("*").alias("events"))
 
 
@@ -241,14 +243,14 @@ def _(e):
 
 # --- fallback, dedup, top-k -----------------------------------------------------
 
-_RESULT_COLUMNS = ["query", "source_rank", "rank", "title", "url", "snippet"]
+_RESULT_COLUMNS = ["query", "query_pos", "source_rank", "rank", "title", "url", "snippet"]
 
 
 @query(
     "d01_dedup_by_url",
-    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY query, rank) AS n FROM results WHERE url <> '')
-    SELECT query, source_rank, rank, title, url, snippet FROM n WHERE n = 1
-    UNION ALL SELECT '', source_rank, rank, title, url, snippet FROM results WHERE url = ''""",
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY query_pos, rank) AS n FROM results WHERE url <> '')
+    SELECT query, query_pos, source_rank, rank, title, url, snippet FROM n WHERE n = 1
+    UNION ALL SELECT '', query_pos, source_rank, rank, title, url, snippet FROM results WHERE url = ''""",
 )
 def _(e):
     return research.dedup_by_url(e.results).select(*_RESULT_COLUMNS)
@@ -267,7 +269,7 @@ def _(e):
     return research.top_per_query(e.results, 8).select("query", "rank", "title")
 
 
-@query("k02_first_results", "SELECT query, rank, title FROM results ORDER BY query, rank LIMIT 40")
+@query("k02_first_results", "SELECT query, rank, title FROM results ORDER BY query_pos, rank LIMIT 40")
 def _(e):
     return research.first_results(e.results, 40).select("query", "rank", "title")
 
@@ -314,7 +316,7 @@ def _(e):
     f"WITH {_REPORT_SQL} SELECT query, rank, '- [' || left(title, 80) || '](' || url || ')' AS line FROM kept",
 )
 def _(e):
-    return research.report_sources(e.results)
+    return research.report_sources(e.results).drop("query_pos")
 
 
 @query("u01_union_sources", "SELECT query, source_rank, count(*) AS results, sum(length(snippet)) AS chars FROM results GROUP BY ALL")
@@ -387,7 +389,7 @@ def _(e):
 
 @query(
     "t06_format_search_block",
-    r"""WITH f AS (SELECT *, row_number() OVER (ORDER BY query, rank) AS n FROM results ORDER BY query, rank LIMIT 40)
+    r"""WITH f AS (SELECT *, row_number() OVER (ORDER BY query_pos, rank) AS n FROM results ORDER BY query_pos, rank LIMIT 40)
     SELECT string_agg(n || '. TITLE: ' || title || E'\n   URL: ' || url || E'\n   SNIPPET: ' || left(snippet, 300), E'\n\n' ORDER BY n) AS block FROM f""",
 )
 def _(e):

@@ -32,7 +32,7 @@ VIEWS = {
         WHERE event_type IN ('signup', 'purchase')""",
     "traces": """SELECT event_id, ts, event_type AS phase, user_id AS cycle, value AS latency,
         k >= 12 AS ok, k % 3 AS model, k FROM activity""",
-    "results": r"""SELECT 'q' || (page_id % 10) AS query, least(2, page_id % 10 % 3 + page_id // 10 % 2) AS source_rank, page_id AS rank,
+    "results": r"""SELECT 'q' || (page_id % 12) AS query, page_id % 12 AS query_pos, least(2, page_id % 10 % 3 + page_id // 10 % 2) AS source_rank, page_id AS rank,
         regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
         CASE WHEN page_id % 11 = 0 THEN '' ELSE 'http://site' || (page_id % 40) || '.example/' END AS url,
         regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS snippet FROM pages""",

@@ -153,9 +153,10 @@ class Entities:
 
     @cached_property
     def results(self) -> DataFrame:
-        """Search results: ten queries, three sources, some rows without a URL."""
+        """Search results: twelve queries, three sources, some rows without a URL."""
         return self.pages.select(
-            F.concat(F.lit("q"), (F.col("page_id") % 10).cast("string")).alias("query"),
+            F.concat(F.lit("q"), (F.col("page_id") % 12).cast("string")).alias("query"),
+            (F.col("page_id") % 12).alias("query_pos"),
             F.least(F.lit(2), F.col("page_id") % 10 % 3 + F.floor(F.col("page_id") / 10) % 2).cast("int").alias("source_rank"),
             F.col("page_id").alias("rank"),
             F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"),

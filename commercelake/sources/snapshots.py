@@ -1,12 +1,14 @@
 """Versioned tables: upsert, checkpoints, append-once and append-only logs.
 
-Nothing is changed in place. A new state is a new folder or a new partition, so a job
-that is run again after a failure cannot mix old and new rows.
+A new state is a new folder or partition that belongs to one run, and a run that is repeated
+replaces its own, so a job run again after a failure neither mixes nor doubles rows.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,35 +35,53 @@ def read_latest(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return rows.where(F.col("version") == rows.agg(F.max("version")).scalar()).drop("version")
 
 
+def _folder(path: str, name: str, value: str) -> str:
+    return f"{path}/{name}={quote(value, safe='')}"
+
+
 def checkpoint(df: DataFrame, path: str, checkpoint_id: str) -> None:
-    """Keep a copy of a table under an id."""
-    df.withColumn("checkpoint_id", F.lit(checkpoint_id)).write.mode("append").partitionBy("checkpoint_id").parquet(path)
+    """Keep a copy of a table under an id; the same id again replaces it.
+
+    The id is put on record once the copy is complete, so a copy of no rows is one too.
+    """
+    df.write.mode("overwrite").parquet(_folder(f"{path}/tables", "checkpoint_id", checkpoint_id))
+    kept = df.sparkSession.createDataFrame([(checkpoint_id,)], "kept STRING")
+    kept.write.mode("overwrite").parquet(_folder(f"{path}/ids", "checkpoint_id", checkpoint_id))
 
 
 def restore(spark: SparkSession, path: str, checkpoint_id: str, schema: str) -> DataFrame:
-    """The table as kept under an id; an unknown id is an error. Reads one partition."""
-    rows = load_or_empty(spark, path, f"{schema}, checkpoint_id STRING").where(F.col("checkpoint_id") == checkpoint_id)
-    if rows.isEmpty():
+    """The table as kept under an id; an unknown id is an error. Reads that copy only."""
+    if load_or_empty(spark, _folder(f"{path}/ids", "checkpoint_id", checkpoint_id), "kept STRING").isEmpty():
         raise LookupError(f"checkpoint not found: {checkpoint_id}")
-    return rows.drop("checkpoint_id")
+    return spark.read.schema(schema).parquet(_folder(f"{path}/tables", "checkpoint_id", checkpoint_id))
 
 
-def append_once(batch: DataFrame, path: str) -> None:
-    """Append the run dates of a batch that the target does not hold yet.
+_NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
-    The dates held come from the target's partition column; no data column is read.
-    """
-    spark = batch.sparkSession
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
-    held = load_or_empty(spark, path, schema).select("run_date").distinct()
-    # One row per day on record: a list that is always small enough to broadcast.
-    fresh = batch.join(F.broadcast(held), "run_date", "left_anti")
+
+def held_partitions(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(column STRING): values of a partition column, from the file listing; no file is opened."""
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], f"{column} STRING")
+    name = F.replace(F.regexp_extract("path", f"/{column}=([^/]+)/", 1), F.lit("+"), F.lit("%2B"))
+    return files.select(F.url_decode(name).alias(column)).distinct()
+
+
+def append_once(batch: DataFrame, path: str) -> None:
+    """Append the run dates of a batch that the target does not hold yet."""
+    held = held_partitions(batch.sparkSession, path, "run_date").withColumnRenamed("run_date", "_held")
+    date = F.coalesce(batch["run_date"].cast("string"), F.lit(_NULL_PARTITION))
+    fresh = batch.join(held, date == held["_held"], "left_anti")
     fresh.write.mode("append").partitionBy("run_date").parquet(path)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Append-only event log, one folder per log."""
-    rows.write.mode("append").partitionBy("log").parquet(path)
+def append_log(rows: DataFrame, path: str, batch: str) -> None:
+    """Event log, one folder per batch and log. A batch that is written again replaces itself."""
+    rows.write.mode("overwrite").partitionBy("log").parquet(_folder(path, "batch", batch))
 
 
 # --- tagged JSON ------------------------------------------------------------------

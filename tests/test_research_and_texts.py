@@ -9,10 +9,10 @@ from commercelake.sources.tables import load_or_empty
 
 
 def test_dedup_is_idempotent_and_keeps_blank_urls(spark):
-    rows = [("q1", 0, "u"), ("q0", 5, "u"), ("q1", 1, ""), ("q1", 2, ""), ("q2", 0, "v")]
-    once = research.dedup_by_url(spark.createDataFrame(rows, "query string, rank int, url string"))
+    rows = [("q10", 9, 0, "u"), ("q2", 1, 5, "u"), ("q10", 9, 1, ""), ("q10", 9, 2, ""), ("q3", 2, 0, "v")]
+    once = research.dedup_by_url(spark.createDataFrame(rows, "query string, query_pos int, rank int, url string"))
     got = sorted(map(tuple, once.collect()))
-    assert got == [("", 1, ""), ("", 2, ""), ("q0", 5, "u"), ("q2", 0, "v")]
+    assert got == [("", 9, 1, ""), ("", 9, 2, ""), ("q2", 1, 5, "u"), ("q3", 2, 0, "v")]
     assert sorted(map(tuple, research.dedup_by_url(once).collect())) == got
 
 
@@ -155,6 +155,29 @@ def test_versions_and_checkpoints(spark):
         snapshots.restore(spark, path, "RB9", "id INT, price STRING")
 
 
+def test_writes_can_be_repeated(spark):
+    df = spark.createDataFrame([(1, "2024-01-30", 0, 1, "approved")], "id int, run_date string, section int, position int, log string")
+    path = shared_path(spark, "again")
+    for _ in range(2):
+        snapshots.checkpoint(df.select("id"), f"{path}/points", "a/b: 1")
+        snapshots.checkpoint(df.select("id").limit(0), f"{path}/points", "none")
+        snapshots.append_log(df.select("id", "log"), f"{path}/log", "run-1")
+        research.write_report(df, f"{path}/report")
+    snapshots.append_log(df.select("id", "log"), f"{path}/log", "run-2")
+    assert snapshots.restore(spark, f"{path}/points", "a/b: 1", "id INT").count() == 1
+    assert snapshots.restore(spark, f"{path}/points", "none", "id INT").isEmpty()
+    assert spark.read.parquet(f"{path}/log").count() == 2
+    assert spark.read.json(f"{path}/report").count() == 1
+
+
+def test_append_once_knows_odd_dates(spark):
+    path = shared_path(spark, "odd")
+    batch = spark.createDataFrame([(1, "01"), (2, "1+1"), (3, "a:b%"), (4, None)], "id int, run_date string")
+    for _ in range(2):
+        snapshots.append_once(batch, path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4]
+
+
 def test_upsert_last_write_wins(spark):
     a = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "id int, version int, v string")
     b = spark.createDataFrame([(1, 2, "c"), (3, 2, "d")], "id int, version int, v string")
