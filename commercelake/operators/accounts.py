@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from commercelake.functions.text import strip
 from commercelake.operators.ordered import numbered
+from commercelake.operators.skew import salted_join
 
 # Roles and why a registration is refused.
 ROLES = ("buyer", "seller", "admin")
 NO_CREDENTIALS = "Email and password are required"
 BAD_ROLE = "Invalid role"
+KNOWN_EMAIL = "Email already registered"
 MEMBER_PROGRAM = "Prime-like"
 
 
@@ -72,8 +74,8 @@ def default_parent(children: DataFrame, parents: DataFrame, key: str) -> DataFra
     )
 
 
-def new_registrations(incoming: DataFrame, registered: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): an e-mail may be registered once, in the store or in the batch.
+def new_registrations(incoming: DataFrame, registered: DataFrame) -> DataFrame:
+    """Add the reason a row is refused: an e-mail is registered once, in the store or in the batch.
 
     Of a batch's rows for one e-mail the lowest seq wins. It is found with an aggregate,
     so an e-mail repeated very often is reduced before the shuffle.
@@ -81,7 +83,9 @@ def new_registrations(incoming: DataFrame, registered: DataFrame) -> tuple[DataF
     mails = incoming.withColumn("email", normalize_email(F.col("email")))
     taken = registered.select(normalize_email(F.col("email")).alias("email")).distinct()
     firsts = mails.groupBy("email").agg(F.min("seq").alias("seq")).join(taken, "email", "left_anti")
-    return mails.join(firsts, ["email", "seq"], "left_semi"), mails.join(firsts, ["email", "seq"], "left_anti")
+    firsts = firsts.withColumnRenamed("seq", "_first")
+    fresh = F.col("_first").isNotNull() & (F.col("seq") == F.col("_first"))
+    return salted_join(mails, firsts, ["email"], "left").withColumn("reason", F.when(~fresh, KNOWN_EMAIL)).drop("_first")
 
 
 def apply_subscriptions(buyers: DataFrame, subscriptions: DataFrame) -> DataFrame:

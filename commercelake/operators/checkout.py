@@ -96,8 +96,11 @@ def quotes(orders: DataFrame, carriers=CARRIERS) -> DataFrame:
     return fanned.withColumn("price_cents", shipping_price(F.col("total_cents"), F.col("base_cents"))).drop("base_cents")
 
 
-def dispatch(requests: DataFrame, orders: DataFrame, carriers=CARRIERS) -> tuple[DataFrame, DataFrame]:
-    """(shipments, rejected requests with a reason). requests: shipment_id, order_id, carrier."""
+def dispatch(requests: DataFrame, orders: DataFrame, carriers=CARRIERS) -> DataFrame:
+    """Shipments with tracking code and status, or the reason a request is refused.
+
+    requests: shipment_id, order_id, carrier.
+    """
     known = orders.select("order_id", F.lit(True).alias("_known"))
     checked = requests.join(known, "order_id", "left").withColumn(
         "reason",
@@ -105,14 +108,15 @@ def dispatch(requests: DataFrame, orders: DataFrame, carriers=CARRIERS) -> tuple
             ~usable(F.col("carrier"), carriers), "Unsupported carrier"
         ),
     )
-    shipments = checked.where("reason IS NULL").select(
+    good = F.col("reason").isNull()
+    return checked.select(
         "shipment_id",
         "order_id",
         "carrier",
-        F.format_string("TRK-%06d", "shipment_id").alias("tracking_code"),
-        F.lit("scheduled").alias("status"),
+        F.when(good, F.format_string("TRK-%06d", "shipment_id")).alias("tracking_code"),
+        F.when(good, "scheduled").alias("status"),
+        "reason",
     )
-    return shipments, checked.where("reason IS NOT NULL").drop("_known")
 
 
 def reconcile(payments: DataFrame, log: DataFrame) -> DataFrame:

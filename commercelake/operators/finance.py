@@ -77,6 +77,16 @@ def escrow_status(splits: DataFrame, orders: DataFrame, open_returns: DataFrame,
     return joined.withColumn("escrow", status).drop("_frozen")
 
 
+def escrow_totals(sales: DataFrame, sellers: DataFrame, orders: DataFrame, open_returns: DataFrame, as_of: Column) -> DataFrame:
+    """(seller_id, escrow, sales, net_cents): sales are reduced per seller and order before they
+    meet the orders, and again before they meet the sellers."""
+    states = escrow_status(seller_totals(sales, "order_id"), orders, open_returns, as_of)
+    totals = states.groupBy("seller_id", "escrow").agg(*[F.sum(c).alias(c) for c in ("sales", "gross", "at_ads", "at_standard")])
+    return with_commission(totals, sellers).select(
+        "seller_id", "escrow", "sales", (F.col("gross") - F.col("commission")).alias("net_cents")
+    )
+
+
 def monthly_tier(sales: DataFrame, reputation: DataFrame, tiers=TIERS) -> DataFrame:
     """Level 1-5 per seller and month: the highest whose revenue and reputation are reached."""
     monthly = sales.groupBy("seller_id", F.date_format("sold_on", "yyyy-MM").alias("month")).agg(F.sum("amount_cents").alias("revenue"))

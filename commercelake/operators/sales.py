@@ -67,8 +67,13 @@ def seller_balance(sales: DataFrame, sellers: DataFrame) -> DataFrame:
     return totals.select("seller_id", as_money(F.col("gross") - F.col("commission")).alias("seller_net"))
 
 
-def cart_totals(lines: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted carts with total_cents, carts refused for a missing item).
+NO_ITEM = "Item not found"
+NO_RETURN = "Return not found"
+
+
+def cart_outcomes(lines: DataFrame, items: DataFrame) -> DataFrame:
+    """(cart_id, total_cents, reason): a cart with a missing item is refused, with a reason and
+    no total.
 
     lines: cart_id, item_id, quantity, total_cents (a stated total wins, NULL if absent).
     """
@@ -83,8 +88,21 @@ def cart_totals(lines: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFram
         )
     )
     refused = F.col("stated").isNull() & F.col("missing")
-    accepted = summed.where(~refused).select("cart_id", F.coalesce("stated", "computed").alias("total_cents"))
-    return accepted, summed.where(refused).select("cart_id")
+    total = F.when(~refused, F.coalesce("stated", "computed"))
+    return summed.select("cart_id", total.alias("total_cents"), F.when(refused, NO_ITEM).alias("reason"))
+
+
+def process_returns(returns: DataFrame, requests: DataFrame) -> DataFrame:
+    """Returns after a batch of requests to process them: (return_id, status, refund_cents, reason).
+
+    A return that is asked for becomes processed, however often it is asked for; others stay
+    requested. A request for an unknown return is a row without status and with a reason.
+    """
+    asked = requests.select("return_id").distinct().withColumn("_asked", F.lit(True))
+    known = returns.select("return_id", "refund_cents", F.lit(True).alias("_known"))
+    both = known.join(asked, "return_id", "full_outer")
+    status = F.when(F.col("_known"), F.when(F.col("_asked"), "processed").otherwise("requested"))
+    return both.select("return_id", status.alias("status"), "refund_cents", F.when(F.col("_known").isNull(), NO_RETURN).alias("reason"))
 
 
 def cart_summary(lines: DataFrame, items: DataFrame) -> DataFrame:

@@ -15,12 +15,13 @@ SPEC_END = "---SPEC-END---"
 FILE_SEPARATOR = "---FILE---"
 UNKNOWN_FILE = "unknown.py"
 
+# Fixed values, in this dialect; the two paths hold any folder name where a caller would put
+# their own (pass `patterns` for that), and the last pattern is an addition.
 SECRET_PATTERNS = {
     "host-specific home paths": r"(?i)/home/[a-z0-9_-]+/[a-z0-9_-]+",
     "tunnel credential UUID paths": r"(?i)/etc/[a-z]+/[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\.json",
     "private key material": r"(?i)BEGIN [A-Z ]+PRIVATE KEY",
-    "likely token values": r"(?i)(bearer\s+[a-z0-9._-]{20,}|(api[_-]?key|client[_-]?secret|auth[_-]?token)"
-    r"\s*[:=]\s*[\"']?[a-z0-9._-]{20,})",
+    "likely token values": r"(?i)(bearer\s+[a-z0-9._-]{20,}|(api[_-]?key|client[_-]?secret|auth[_-]?token)\s*[:=]\s*[\"']?[a-z0-9._-]{20,})",
     "quoted hex tokens": r"(?i)token\s*=\s*\"[0-9a-f]{40}\"",
 }
 # Every match of a pattern holds one of these, in any case.
@@ -212,7 +213,7 @@ def progressive_context(files: DataFrame, run: str, order: str, text: str) -> Da
 def context_of(files: DataFrame, targets: DataFrame, run: str, order: str) -> DataFrame:
     """The rows that form the context of the given (run, order) targets."""
     wanted = targets.select(run, F.col(order).alias("target"))
-    return files.join(wanted, run).where(F.col(order) < F.col("target"))
+    return salted_join(files, wanted, [run]).where(F.col(order) < F.col("target"))
 
 
 def infer_filename(outputs: DataFrame, known: DataFrame, id_column: str, run: str) -> DataFrame:

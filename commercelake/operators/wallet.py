@@ -104,25 +104,21 @@ def _fold_slices(rows: DataFrame) -> DataFrame:
 
 
 def _chain(slices: DataFrame) -> DataFrame:
-    """The opening of each slice that the slices before it imply.
-
-    One short entry per slice comes in, so a buyer's list has (rows / limit) of them.
-    """
-    listed = slices.groupBy("buyer_id").agg(
-        F.array_sort(F.collect_list(F.struct("_slice", "total", "low", "closing"))).alias("s")
-    )
-    empty = F.array().cast("array<struct<_slice:bigint,opening:bigint>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("balance"), empty.alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        free = acc["balance"] + s["low"] >= 0
-        entry = F.struct(s["_slice"].alias("_slice"), acc["balance"].alias("opening"))
-        return F.struct(
-            F.when(free, acc["balance"] + s["total"]).otherwise(s["closing"]).alias("balance"),
-            F.concat(acc["out"], F.array(entry)).alias("out"),
-        )
-
-    return listed.select("buyer_id", F.inline(F.aggregate("s", start, step, lambda acc: acc["out"])))
+    """The opening of each slice that the slices before it imply, one row per slice in order."""
+    def carry(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        buyer, balance = None, 0
+        for pdf in frames:
+            openings = np.empty(len(pdf), dtype=np.int64)
+            columns = (pdf[c].tolist() for c in ("buyer_id", "total", "low", "closing"))
+            for i, (own, total, low, closing) in enumerate(zip(*columns)):
+                if own != buyer:
+                    buyer, balance = own, 0
+                openings[i] = balance
+                balance = balance + total if balance + low >= 0 else closing
+            yield pdf[_KEYS].assign(opening=openings)
+
+    ordered = slices.select(*_KEYS, "total", "low", "closing").repartition("buyer_id").sortWithinPartitions(*_KEYS)
+    return ordered.mapInPandas(carry, "buyer_id bigint, _slice bigint, opening bigint")
 
 
 def opening_balances(hot_rows: DataFrame) -> DataFrame:

@@ -348,10 +348,9 @@ def _cart_lines(e):
     FROM x""",
 )
 def _(e):
-    accepted, refused = sales.cart_totals(_cart_lines(e), e.items.where("stock > 1"))
-    return accepted.select("cart_id", as_money(F.col("total_cents")).alias("total"), F.lit("ok").alias("result")).unionByName(
-        refused.select("cart_id", F.lit(0).cast("decimal(18,2)").alias("total"), F.lit("Item not found").alias("result"))
-    )
+    out = sales.cart_outcomes(_cart_lines(e), e.items.where("stock > 1"))
+    total = as_money(F.coalesce("total_cents", F.lit(0)))
+    return out.select("cart_id", total.alias("total"), F.coalesce("reason", F.lit("ok")).alias("result"))
 
 
 @query(
@@ -400,10 +399,8 @@ def _(e):
         o,
         F.when((o + 1) % 3 == 0, "carrier_a").when((o + 1) % 3 == 1, "carrier_b").otherwise("carrier_x").alias("carrier"),
     )
-    shipped, rejected = checkout.dispatch(requests, e.orders_placed.where("status <> 'P'"))
-    return shipped.select("shipment_id", F.col("tracking_code").alias("outcome")).unionByName(
-        rejected.select("shipment_id", F.col("reason").alias("outcome"))
-    )
+    out = checkout.dispatch(requests, e.orders_placed.where("status <> 'P'"))
+    return out.select("shipment_id", F.coalesce("tracking_code", "reason").alias("outcome"))
 
 
 @query(
@@ -419,10 +416,26 @@ def _(e):
         F.concat(F.lit(" User"), (F.col("c_custkey") % 700).cast("string")).alias("email"),
         (F.col("c_mktsegment") == "BUILDING").alias("registered"),
     )
-    ok, bad = accounts.new_registrations(mails.where("NOT registered"), mails.where("registered"))
-    return ok.select("seq", "email", F.lit("accepted").alias("result")).unionByName(
-        bad.select("seq", "email", F.lit("Email already registered").alias("result"))
-    )
+    out = accounts.new_registrations(mails.where("NOT registered"), mails.where("registered"))
+    return out.select("seq", "email", F.coalesce("reason", F.lit("accepted")).alias("result"))
+
+
+@query(
+    "j17_process_returns",
+    """WITH r AS (SELECT order_id * 10 + line AS return_id, line, item_id, CAST(CASE WHEN i.item_id IS NOT NULL AND x.seller_id IS NOT NULL
+            THEN i.price - round_even(i.price * CASE WHEN x.ads_contracted THEN 0.08 ELSE 0.10 END, 2)
+            ELSE round_even(r.amount * 0.90, 2) END AS DECIMAL(18,2)) AS refund_amount
+        FROM returns r LEFT JOIN (SELECT * FROM items WHERE active) i USING (item_id) LEFT JOIN sellers x ON x.seller_id = r.seller_id)
+    SELECT return_id, CASE WHEN line > 2 THEN 'processed' ELSE 'requested' END AS outcome, refund_amount FROM r
+    UNION ALL SELECT DISTINCT -return_id, 'Return not found', CAST(0 AS DECIMAL(18,2)) FROM r WHERE line = 1""",
+)
+def _(e):
+    refunds = sales.refund_amount(e.returns, e.items.where("active"), e.sellers)
+    held = refunds.select((F.col("order_id") * 10 + F.col("line")).alias("return_id"), "line", "refund_cents")
+    unknown = held.where("line = 1").select((-F.col("return_id")).alias("return_id"))
+    out = sales.process_returns(held, held.where("line > 2").select("return_id").unionByName(unknown))
+    refund = as_money(F.coalesce("refund_cents", F.lit(0)))
+    return out.select("return_id", F.coalesce("status", "reason").alias("outcome"), refund.alias("refund_amount"))
 
 
 @query(

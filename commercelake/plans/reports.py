@@ -333,8 +333,8 @@ def _(e):
 )
 def _(e):
     today = e.orders_placed.agg(F.max("delivered_on")).scalar()
-    out = finance.escrow_status(sales.commission_split(e.sales, e.sellers), e.orders_placed, e.returns, today)
-    return out.groupBy("seller_id", "escrow").agg(F.count("*").alias("sales"), as_money(F.sum("net_cents")).alias("net"))
+    out = finance.escrow_totals(e.sales, e.sellers, e.orders_placed, e.returns, today)
+    return out.select("seller_id", "escrow", "sales", as_money(F.col("net_cents")).alias("net"))
 
 
 _STARS = _ratio_sql("sum(stars) * 4 + count(*) FILTER (NOT returned AND NOT complaint) * 30", "count(*) * 10")

@@ -103,18 +103,22 @@ def _(e):
 
 @query(
     "t05_salvage_json_array",
-    """SELECT page_id, url AS name, 'tool' AS type, page_id % 5 AS relevance FROM pages WHERE page_id % 7 <> 0 AND page_id % 11 <> 0
-    UNION ALL SELECT page_id, url || '#2', 'none', page_id % 3 FROM pages WHERE page_id % 7 <> 0 AND page_id % 11 <> 0""",
+    """SELECT page_id, coalesce(html, '') AS name, 'tool' AS type, page_id % 5 AS relevance FROM pages WHERE page_id % 7 <> 0 AND page_id % 11 <> 0
+    UNION ALL SELECT page_id, coalesce(url, '') || '#2', 'none', page_id % 3 FROM pages WHERE page_id % 7 <> 0 AND page_id % 11 <> 0""",
 )
 def _(e):
     p = F.col("page_id")
-    array = F.concat(
-        F.lit('[{"name": "'), "url", F.lit('", "type": "tool", "relevance": '), (p % 5).cast("string"),
-        F.lit('}, {"name": "'), "url", F.lit('#2", "relevance": '), (p % 3).cast("string"), F.lit("}]"),
-    )
+    html, second = F.coalesce("html", F.lit("")), F.concat(F.coalesce("url", F.lit("")), F.lit("#2"))
+    kind = F.lit(None).cast("string")
+    array = F.to_json(
+        F.array(
+            F.struct(html.alias("name"), F.lit("tool").alias("type"), (p % 5).alias("relevance")),
+            F.struct(second.alias("name"), kind.alias("type"), (p % 3).alias("relevance")),
+        )
+    )
     reply = (
         F.when(p % 11 == 0, "Nothing found.")
-        .when(p % 7 == 0, F.concat(F.lit('Items: [{"name": '), "url", F.lit("}, oops]")))
+        .when(p % 7 == 0, F.concat(F.lit('Items: [{"name": '), html, F.lit("}, oops]")))
         .otherwise(F.concat(F.lit("Here they are:\n```json\n"), array, F.lit("\n```\nDone.")))
     )
     out = texts.salvage_json_array(
@@ -123,7 +127,7 @@ def _(e):
     return out.select("page_id", "name", F.coalesce("type", F.lit("none")).alias("type"), "relevance")
 
 
-_LOG_SQL = r"""logs AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 4 THEN 'no tests ran' ELSE repeat(E'test_x PASSED\n', turn % 4) || repeat(E'FAILED test_y\n', conv_id % 3)
+_LOG_SQL = r"""logs AS (SELECT conv_id, turn, coalesce(text, '') || E'\n' || CASE WHEN conv_id % 5 = 4 THEN 'no tests ran' ELSE repeat(E'test_x PASSED\n', turn % 4) || repeat(E'FAILED test_y\n', conv_id % 3)
         || repeat(E'ERROR test_z\n', (conv_id + turn) % 2) || '=== ' || (conv_id % 3) || ' failed, ' || (turn % 4) || ' passed in 0.24s ===' END AS log FROM conversations),
     parsed AS (SELECT conv_id, turn,
         coalesce(CAST(nullif(regexp_extract(log, '(\d+) passed', 1), '') AS BIGINT), 0) AS passed_summary,
@@ -147,7 +151,7 @@ def _logs(e):
         (t % 4).cast("string"),
         F.lit(" passed in 0.24s ==="),
     )
-    return e.conversations.select("conv_id", "turn", F.when(c % 5 == 4, "no tests ran").otherwise(log).alias("log"))
+    return e.conversations.select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.when(c % 5 == 4, "no tests ran").otherwise(log)).alias("log"))
 
 
 @query("t09_parse_test_log", f"WITH {_LOG_SQL} SELECT * FROM parsed")
@@ -208,13 +212,13 @@ def _(e):
 @query(
     "t16_fix_bundle",
     r"""WITH b AS (SELECT source, doc_id, '--- doc_' || doc_id || E'.txt ---\n' || text AS block FROM documents)
-    SELECT source, row_number() OVER w AS position, CAST(coalesce(sum(length(block) + 2) OVER (PARTITION BY source ORDER BY doc_id
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before, block FROM b WINDOW w AS (PARTITION BY source ORDER BY doc_id)""",
+    SELECT source, row_number() OVER w AS position, CAST(coalesce(sum(length(block) + 2) OVER (PARTITION BY source ORDER BY 'doc_' || doc_id || '.txt'
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before, block FROM b WINDOW w AS (PARTITION BY source ORDER BY 'doc_' || doc_id || '.txt')""",
 )
 def _(e):
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    files = e.documents.select("source", "doc_id", name.alias("filename"), F.col("text").alias("content"))
-    return texts.fix_bundle(files, "source", "doc_id")
+    files = e.documents.select("source", name.alias("filename"), F.col("text").alias("content"))
+    return texts.fix_bundle(files, "source", "filename")
 
 
 _KNOWN_SQL = """known AS (SELECT DISTINCT source, 'mod_' || (doc_id % 7) || '.py' AS filename FROM documents WHERE lang = 'en'
@@ -266,6 +270,16 @@ def _(e):
     return texts.progressive_context(e.conversations, "conv_id", "turn", "text").select("conv_id", "turn", "context_files", "context_chars")
 
 
+@query(
+    "w03_context_of_last",
+    """SELECT d.source, target, doc_id, text FROM documents d JOIN (SELECT source, max(doc_id) AS target FROM documents GROUP BY 1) t
+    ON d.source = t.source WHERE doc_id < target""",
+)
+def _(e):
+    last = e.documents.groupBy("source").agg(F.max("doc_id").alias("doc_id"))
+    return texts.context_of(e.documents.select("source", "doc_id", "text"), last, "source", "doc_id")
+
+
 # --- run logs -------------------------------------------------------------------
 
 KINDS = ["environment", "security", "finance", "gateway", "carrier", "notifier"]

@@ -138,9 +138,15 @@ def test_quotes_and_dispatch(spark):
     down = [("carrier_a", True, False, 850, 3), ("carrier_b", True, True, 725, 5)]
     assert checkout.quotes(orders, down).count() == 2
     requests = spark.createDataFrame([(1, 1, "carrier_a"), (2, 9, "carrier_a"), (3, 2, "x")], "shipment_id bigint, order_id bigint, carrier string")
-    shipped, rejected = checkout.dispatch(requests, orders)
-    assert one(shipped)["tracking_code"] == "TRK-000001"
-    assert {r["reason"] for r in rejected.collect()} == {"Order not found", "Unsupported carrier"}
+    out = {r["shipment_id"]: (r["tracking_code"], r["status"], r["reason"]) for r in checkout.dispatch(requests, orders).collect()}
+    assert out == {1: ("TRK-000001", "scheduled", None), 2: (None, None, "Order not found"), 3: (None, None, "Unsupported carrier")}
+
+
+def test_returns_are_processed_once(spark):
+    held = spark.createDataFrame([(1, 500), (2, 700)], "return_id bigint, refund_cents bigint")
+    asked = spark.createDataFrame([(1,), (1,), (9,)], "return_id bigint")
+    out = sorted(map(tuple, sales.process_returns(held, asked).collect()))
+    assert out == [(1, "processed", 500, None), (2, "requested", 700, None), (9, None, None, "Return not found")]
 
 
 def test_dashboard(spark):
