@@ -44,7 +44,7 @@ def _(e):
     SELECT item_id, strftime(as_of, '%Y-%m-%d %H:%M:%S') AS as_of, CAST(sum(n) AS BIGINT) AS searches, CAST(4 * sum(n) AS BIGINT) AS score FROM x GROUP BY 1, 2""",
 )
 def _(e):
-    out = updated(jobs.hourly_demand(_live(e).navigation), ["item_id", "as_of"])
+    out = jobs.demand(updated(jobs.hourly_searches(_live(e).navigation), ["item_id", "hour"]))
     return out.withColumn("as_of", _stamp("as_of"))
 
 

@@ -43,14 +43,21 @@ def payment_failure_alert(decided: DataFrame) -> DataFrame:
     return _rate_alert(decided, F.col("decision") != "approved", "1 hour", "15 minutes", PAYMENT_ALERT, "ALERT")
 
 
-def hourly_demand(navigation: DataFrame) -> DataFrame:
-    """Searches of the last 24 hours per item, every hour, at weight 4."""
-    per_window = (
-        navigation.withWatermark("ts", "1 hour")
-        .groupBy(F.window("ts", "24 hours", "1 hour").alias("w"), "item_id")
-        .agg(F.count("*").alias("searches"))
+def hourly_searches(navigation: DataFrame) -> DataFrame:
+    """Searches per item and hour: one state and one row for 24 sliding windows."""
+    per_hour = (
+        navigation.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "item_id").agg(F.count("*").alias("searches"))
     )
-    return per_window.select("item_id", F.col("w.end").alias("as_of"), "searches", (F.col("searches") * 4).alias("score"))
+    return per_hour.select("item_id", F.col("w.start").alias("hour"), "searches")
+
+
+def demand(hourly: DataFrame) -> DataFrame:
+    """Searches of the last 24 hours per item, every hour, at weight 4, from the hourly counts."""
+    hours = F.sequence(F.lit(1), F.lit(24))
+    end = F.col("hour") + F.make_dt_interval(hours=F.col("_i"))
+    spread = hourly.select("item_id", "hour", "searches", F.explode(hours).alias("_i")).withColumn("as_of", end)
+    out = spread.groupBy("item_id", "as_of").agg(F.sum("searches").alias("searches"))
+    return out.withColumn("score", F.col("searches") * 4)
 
 
 def navigation_sessions(navigation: DataFrame, gap: str = "30 minutes", delay: str = "15 minutes") -> DataFrame:
@@ -75,8 +82,8 @@ def retained_daily(events: DataFrame) -> DataFrame:
 
 
 # --- per-buyer state ---------------------------------------------------------------
-# State per buyer is a few numbers. Rows of a batch are put in order here; batches must
-# arrive in order.
+# State per buyer is a few numbers. Rows of a batch, which its reader bounds, are put in order
+# here; batches must arrive in order.
 
 WALLET_SCHEMA = "buyer_id bigint, balance_cents bigint, accepted bigint, refused bigint"
 VIEW_SCHEMA = "event_id bigint, buyer_id bigint, value_cents bigint, age_seconds bigint"
@@ -86,6 +93,11 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(["at", "event_id"])
 
 
+def _expiry(view: int) -> int:
+    """The millisecond after which a view at this microsecond counts for no purchase."""
+    return (view + 3600 * 10**6) // 1000 + 1
+
+
 class WalletProcessor(StatefulProcessor):
     """Applies credits and debits; a debit larger than the balance is refused."""
 
@@ -109,9 +121,13 @@ class WalletProcessor(StatefulProcessor):
 
 
 class LastViewProcessor(StatefulProcessor):
-    """Purchases with the buyer's last view, if it is at most an hour old."""
+    """Purchases with the buyer's last view, if it is at most an hour old.
+
+    A timer drops the state of a buyer once the watermark is more than an hour past the view.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("last_view", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -120,7 +136,9 @@ class LastViewProcessor(StatefulProcessor):
         start = self.state.get()[0] if self.state.exists() else never
         views = np.where(pdf["event_type"] == "view", pdf["at"], never)
         last = np.maximum(np.maximum.accumulate(views), start)
-        self.state.update((int(last[-1]),))
+        if last[-1] > start:
+            self.state.update((int(last[-1]),))
+            self.handle.registerTimer(_expiry(int(last[-1])))
         age = pdf["at"].to_numpy() - last
         hit = (pdf["event_type"] == "purchase").to_numpy() & (age <= 3600 * 10**6)
         yield pd.DataFrame(
@@ -132,6 +150,12 @@ class LastViewProcessor(StatefulProcessor):
             }
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # A later view has a timer of its own.
+        if self.state.exists() and _expiry(self.state.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        yield pd.DataFrame({"event_id": [], "buyer_id": [], "value_cents": [], "age_seconds": []}, dtype=np.int64)
+
     def close(self) -> None:
         pass
 
@@ -141,7 +165,7 @@ def live_wallet(ledger: DataFrame) -> DataFrame:
 
 
 def live_attribution(events: DataFrame) -> DataFrame:
-    rows = events.where("event_type IN ('view', 'purchase')").select(
-        "event_id", F.col("user_id").alias("buyer_id"), "event_type", "value_cents", F.unix_micros("ts").alias("at")
+    rows = events.withWatermark("ts", "1 hour").where("event_type IN ('view', 'purchase')").select(
+        "event_id", F.col("user_id").alias("buyer_id"), "event_type", "value_cents", "ts", F.unix_micros("ts").alias("at")
     )
-    return rows.groupBy("buyer_id").transformWithStateInPandas(LastViewProcessor(), VIEW_SCHEMA, "Append", "None")
+    return rows.groupBy("buyer_id").transformWithStateInPandas(LastViewProcessor(), VIEW_SCHEMA, "Append", "EventTime")

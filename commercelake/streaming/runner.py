@@ -19,16 +19,19 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class StreamEntities(Entities):
     """The entity views over a stream of events."""
 
-    def __init__(self, spark: SparkSession, folder: str, files_per_batch: int | None = None):
+    def __init__(self, spark: SparkSession, folder: str, files_per_batch: int | None = None, bytes_per_batch: int = 2**30):
         super().__init__(spark, folder)
-        self.files_per_batch = files_per_batch
+        self.files_per_batch, self.bytes_per_batch = files_per_batch, bytes_per_batch
 
     def __getattr__(self, name: str) -> DataFrame:
         if name != "events":
             return super().__getattr__(name)
         reader = self.spark.readStream.schema(SCHEMAS[name])
+        # A batch is bounded, and with it what one key can bring to a task at a time.
         if self.files_per_batch:
             reader = reader.option("maxFilesPerTrigger", self.files_per_batch)
+        else:
+            reader = reader.option("maxBytesPerTrigger", self.bytes_per_batch)
         # A glob lets the table be one file or a folder of files.
         return reader.parquet(f"{self.folder}/{name}.parque[t]")
 

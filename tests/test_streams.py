@@ -45,7 +45,7 @@ def test_error_windows(live, con):
 
 
 def test_demand(live, con):
-    out = updated(jobs.hourly_demand(live.navigation), ["item_id", "as_of"])
+    out = jobs.demand(updated(jobs.hourly_searches(live.navigation), ["item_id", "hour"]))
     assert compare(_stamped(out, "as_of"), con, oracle_sql()["st03_hourly_demand"]) is None
 
 
