@@ -54,8 +54,11 @@ def _run(stream: DataFrame, mode: str, table: str | None) -> DataFrame:
         .start()
     )
     running.awaitTermination()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
-    return load_or_empty(spark, out, f"{schema}, batch BIGINT")
+    return load_or_empty(spark, out, f"{_columns(stream)}, batch BIGINT")
+
+
+def _columns(stream: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
 
 
 def appended(stream: DataFrame, table: str | None = None) -> DataFrame:
@@ -68,8 +71,25 @@ def appended(stream: DataFrame, table: str | None = None) -> DataFrame:
 
 
 def updated(stream: DataFrame, keys: list[str], table: str | None = None) -> DataFrame:
-    """The last version of each key the stream has emitted; table as for appended."""
+    """The last version of each key the stream has emitted; table as for appended.
+
+    In a table that is kept, each run ends with the last versions under `last`, so the next
+    one reads these and its own batches, not every version there ever was.
+    """
+    spark, kept = stream.sparkSession, table is not None
+    table = table or shared_path(spark, "stream")
     rows = _run(stream, "update", table)
+    if kept:
+        held = load_or_empty(spark, f"{table}/last", _columns(stream) + ", batch BIGINT, through BIGINT")
+        through = held.agg(F.max("through")).first()[0]
+        if through is not None:
+            rows = rows.where(F.col("batch") > through).unionByName(held.where(F.col("through") == through).drop("through"))
     values = [c for c in stream.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
-    return last.select(*keys, "_last.*")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"), F.max("batch").alias("batch"))
+    last = last.select(*keys, "_last.*", "batch")
+    newest = rows.agg(F.max("batch")).first()[0] if kept else None
+    if newest is not None and newest != through:
+        path = f"{table}/last/through={newest}"
+        last.write.mode("overwrite").parquet(path)
+        last = spark.read.schema(last.schema).parquet(path)
+    return last.select(*keys, *values)

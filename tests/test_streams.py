@@ -77,6 +77,9 @@ def test_a_second_run_goes_on_where_the_first_ended(spark):
         out = updated(jobs.live_wallet(StreamEntities(spark, folder).ledger), ["buyer_id"], table).first()
         spent.append((out["balance_cents"], out["accepted"], out["refused"]))
     assert spent == [(5000, 1, 0), (2000, 2, 0), (2000, 2, 1)]
+    # Without new events the last versions stand.
+    again = updated(jobs.live_wallet(StreamEntities(spark, folder).ledger), ["buyer_id"], table).first()
+    assert (again["balance_cents"], again["accepted"], again["refused"]) == spent[-1]
 
 
 def test_rows_later_than_the_retention_are_dropped(spark):
