@@ -66,21 +66,26 @@ def seller_finance(sales: DataFrame, sellers: DataFrame) -> DataFrame:
 
 def escrow_status(splits: DataFrame, orders: DataFrame, open_returns: DataFrame, as_of: Column) -> DataFrame:
     """Add escrow: frozen with an open return, held less than 8 days after delivery, else available."""
+    joined = salted_join(splits, _order_states(orders, open_returns), ["order_id"])
+    return joined.withColumn("escrow", _escrow(as_of)).drop("_frozen")
+
+
+def _order_states(orders: DataFrame, open_returns: DataFrame) -> DataFrame:
     frozen = open_returns.select("order_id", F.lit(True).alias("_frozen")).distinct()
-    state = orders.select("order_id", "delivered_on").join(frozen, "order_id", "left")
-    joined = salted_join(splits, state, ["order_id"])
-    status = (
-        F.when(F.col("_frozen"), "frozen")
-        .when(F.datediff(as_of, "delivered_on") < HOLD_DAYS, "held")
-        .otherwise("available")
-    )
-    return joined.withColumn("escrow", status).drop("_frozen")
+    return orders.select("order_id", "delivered_on").join(frozen, "order_id", "left")
+
+
+def _escrow(as_of: Column) -> Column:
+    late = F.when(F.datediff(as_of, "delivered_on") < HOLD_DAYS, "held").otherwise("available")
+    return F.when(F.col("_frozen"), "frozen").otherwise(late)
 
 
 def escrow_totals(sales: DataFrame, sellers: DataFrame, orders: DataFrame, open_returns: DataFrame, as_of: Column) -> DataFrame:
     """(seller_id, escrow, sales, net_cents): sales are reduced per seller and order before they
-    meet the orders, and again before they meet the sellers."""
-    states = escrow_status(seller_totals(sales, "order_id"), orders, open_returns, as_of)
+    meet the orders, so no order brings more rows than it has sellers, and again before they
+    meet the sellers."""
+    per_order = seller_totals(sales, "order_id").drop("cashback")
+    states = per_order.join(_order_states(orders, open_returns), "order_id").withColumn("escrow", _escrow(as_of))
     totals = states.groupBy("seller_id", "escrow").agg(*[F.sum(c).alias(c) for c in ("sales", "gross", "at_ads", "at_standard")])
     return with_commission(totals, sellers).select(
         "seller_id", "escrow", "sales", (F.col("gross") - F.col("commission")).alias("net_cents")
