@@ -147,6 +147,15 @@ def test_exact_dedup(docs, ranges):
             assert r["kept"] == (r["doc_id"] == keep_id)
 
 
+def test_jaccard_join_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(ORACLES["op1_ngram_jaccard_join"]).fetchall()
+    found = QUERIES["op1_ngram_jaccard_join"](spark, SF).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+    assert any(component < doc_id for doc_id, _, component in want)
+
+
 def test_exact_dedup_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
