@@ -6,7 +6,10 @@ source) times. The rest of the budget goes to documents in ascending order of -l
 from a hash of the identifier and w a quality weight, up to the prefix sum nearest to it.
 
 Prefix sums are taken in two steps: keys fall into buckets, a monotone function of the key,
-and windows span one bucket or the bucket totals of one source, so a hot source is spread.
+and windows span one bucket or the bucket totals of one source, so a hot source is spread. A key
+is exponential with its document's weight as rate, so the function is the distribution of keys
+under the weights that occur, each rounded down to a power of two: no bucket expects more than
+twice its share, however the weights are spread.
 
 Null texts have size 0 and are never taken. A null source is a source, last in order. Rows
 that share an identifier share a key and may be taken apart. Empty tables give an empty
@@ -63,6 +66,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = 1.5, cap: fl
     )
 
 
+def bucket_of(key: Column, octaves: dict[int, int], buckets: int) -> Column:
+    """0 to buckets - 1, ascending in the key; octaves: rows by floor(log2(weight)), one or two thousand at most."""
+    rows = max(1, sum(octaves.values()))
+    below = sum((F.lit(n / rows) * -F.expm1(F.lit(-(2.0**o)) * key) for o, n in sorted(octaves.items())), F.lit(0.0))
+    return F.least(F.lit(buckets - 1), F.floor(F.lit(buckets) * below)).cast("bigint")
+
+
 def mix_counts(
     docs: DataFrame, weights=WEIGHTS, total_share: float = 1.5, cap: float = 2.0, weight: str | None = None, seed: int = 17
 ) -> DataFrame:
@@ -71,12 +81,13 @@ def mix_counts(
     sized = docs.select("doc_id", "source", size.alias("size"), F.length("text").alias("_len"), *([F.col(weight).alias("_q")] if weight else []))
     mean = F.coalesce(F.col("_len"), F.lit(0)) / F.greatest(F.col("size"), F.lit(1))
     quality = F.col("_q").cast("double") if weight else 1 / (1 + F.abs(F.log(F.greatest(mean, F.lit(0.01)) / 6)))
+    quality = F.greatest(F.least(F.nanvl(F.coalesce(quality, F.lit(0.0)), F.lit(0.0)), F.lit(1e300)), F.lit(1e-6))
+    sized = cut_lineage(sized.select("doc_id", "source", "size", quality.alias("_w")))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    keyed = sized.select("doc_id", "source", "size", (-F.log(u) / F.greatest(F.coalesce(quality, F.lit(0.0)), F.lit(1e-6))).alias("_key"))
-    keyed = cut_lineage(keyed)
-    rows = keyed.count()
-    buckets = max(16, -(-rows // BUCKET_ROWS))
-    keyed = keyed.withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor(F.lit(buckets) * (1 - F.exp(-F.col("_key"))))).cast("bigint"))
+    keyed = sized.select("doc_id", "source", "size", (-F.log(u) / F.col("_w")).alias("_key"), F.floor(F.log2("_w")).cast("int").alias("_octave"))
+    octaves = {r["_octave"]: r["n"] for r in keyed.groupBy("_octave").agg(F.count("*").alias("n")).collect()}
+    buckets = max(16, -(-sum(octaves.values()) // BUCKET_ROWS))
+    keyed = keyed.select("doc_id", "source", "size", "_key", bucket_of(F.col("_key"), octaves, buckets).alias("_bucket"))
     per_bucket = keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("_in_bucket"))
     per_source = per_bucket.groupBy("source").agg(F.sum("_in_bucket").cast("bigint").alias("source_size"))
     goal = targets(per_source, weights, total_share, cap).select(

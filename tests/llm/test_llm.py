@@ -241,6 +241,24 @@ def test_mixing(docs):
     assert sorted(map(str, records(mixing.mix_counts(docs.repartition(5))))) == sorted(map(str, found))
 
 
+@pytest.mark.parametrize("weight", ["0.01 + 0.99 * (id % 2)", "1 / (1 + id % 97)", "pow(2, id % 30)", "1"])
+def test_mixing_buckets_are_even(spark, weight):
+    """No bucket holds much more than twice its share, and buckets ascend with the key."""
+    drawn = spark.range(100_000).selectExpr("id", f"cast({weight} as double) AS w")
+    drawn = drawn.selectExpr("w", "-ln((pmod(xxhash64(id), 1000003) + 0.5) / 1000003) / w AS key")
+    octaves = {r["o"]: r["count"] for r in drawn.groupBy(F.floor(F.log2("w")).cast("int").alias("o")).count().collect()}
+    placed = drawn.select("key", mixing.bucket_of(F.col("key"), octaves, 100).alias("b")).toPandas().sort_values("key")
+    assert placed["b"].is_monotonic_increasing and placed["b"].between(0, 99).all()
+    assert placed["b"].value_counts().max() < 2.3 * 1000
+
+
+@pytest.mark.parametrize("value", [None, float("nan"), float("inf"), -1.0, 0.0])
+def test_mixing_odd_weights(docs, value):
+    weighted = docs.withColumn("w", F.lit(value).cast("double"))
+    found = records(mixing.mix_counts(weighted, weight="w"))
+    assert len(found) == len(rows()) and all(r["taken"] <= 2 * r["size"] for r in found)
+
+
 def statistics(text):
     w = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
