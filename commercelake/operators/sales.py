@@ -137,18 +137,17 @@ def refund_amount(returns: DataFrame, items: DataFrame, sellers: DataFrame, basi
 
 
 def orphans(child: DataFrame, checks: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """Rows whose reference does not resolve, one copy per reason.
+    """Rows whose reference does not resolve, one copy per reason; child is read once.
 
-    checks: reason -> (parent table, shared key).
+    checks: reason -> (parent table, shared key), where a parent holds each key once, as its
+    identifier. A NULL reference does not resolve.
     """
-    found = [
-        child.join(parent.select(key), key, "left_anti").select(*child.columns, F.lit(reason).alias("reason"))
-        for reason, (parent, key) in checks.items()
-    ]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    joined, missing = child, []
+    for i, (reason, (parent, key)) in enumerate(checks.items()):
+        known = parent.select(F.col(key).alias(f"_key{i}"))
+        joined = joined.join(known, F.col(key) == F.col(f"_key{i}"), "left")
+        missing.append(F.when(F.col(f"_key{i}").isNull(), reason))
+    return joined.select(*child.columns, F.explode(F.array_compact(F.array(*missing))).alias("reason"))
 
 
 def with_rate_in_force(sales: DataFrame, campaigns: DataFrame, default_pct: int = STANDARD_PCT) -> DataFrame:

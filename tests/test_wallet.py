@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from commercelake.operators import wallet
@@ -53,6 +54,36 @@ def test_hot_buyer_is_sliced(spark):
     assert sum(1 for b, _ in sizes if b == 0) > 4
 
 
+SHAPES = {
+    "alternating refusals": lambda i: (7, -5, -9)[i % 3],
+    "growing debits": lambda i: 50 + i % 7 if i % 2 == 0 else -(40 + i // 3),
+    "slow drain": lambda i: 5000 if i == 0 else (-13 if i % 4 else 3),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_openings_take_three_passes_at_most(spark, shape, monkeypatch):
+    data = [(b, i, i * 2 + b, SHAPES[shape](i)) for i in range(400) for b in (0, 1)]
+    df = spark.createDataFrame(data, "buyer_id bigint, at bigint, event_id bigint, amount_cents bigint").repartition(4)
+    passes = []
+    for name in ("_fold_slices", "_walk_on"):
+        monkeypatch.setattr(wallet, name, lambda *a, f=getattr(wallet, name), n=name: passes.append(n) or f(*a))
+    sliced, several = wallet.wallet_slices(df, 20)
+    wallet.opening_balances(sliced.where("_hot"))
+    assert several and len(passes) <= 3
+    _, _, steps = walk(data)
+    assert {r["event_id"]: (r["accepted"], r["balance_cents"]) for r in wallet.wallet_statement(df, 20).collect()} == steps
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_steps_over_blocks_match_a_plain_loop(seed):
+    amounts = np.random.default_rng(seed).integers(-30, 30 + 5 * seed, 128 * 3 + seed)
+    balance, refused, cents, sums = 100, 0, 0, np.cumsum(amounts)
+    for a in amounts.tolist():
+        balance, refused, cents = (balance + a, refused, cents) if balance + a >= 0 else (balance, refused + 1, cents - a)
+    assert wallet._settle(100, amounts) == (balance, refused, cents, sums.min(), sums[-1])
+
+
 def test_credit_then_payment(spark):
     df = spark.createDataFrame([(1, 1, 1, 5000), (1, 2, 2, -3000)], "buyer_id bigint, at bigint, event_id bigint, amount_cents bigint")
     assert str(wallet.wallet_fold(df).first()["balance"]) == "20.00"
