@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from commercelake.functions.text import strip
 from commercelake.operators.ordered import numbered
-from commercelake.operators.skew import salted_join
 
 BLOCK_RESULTS = 40
 BLOCK_SNIPPET = 300
@@ -109,15 +108,14 @@ def known_set(names: DataFrame, discarded: DataFrame) -> DataFrame:
 def new_items(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """Candidates whose trimmed, lower-case name is not known.
 
-    Names can be long texts, so their digests are compared. Candidates may be copies of one
-    text to a large part, so the join is salted.
+    Names can be long texts, so their digests are compared. Both sides come straight from a
+    shuffle, so adaptive execution splits a text that many candidates share.
     """
 
     def key() -> Column:
         return F.sha2(F.lower(strip(F.col("name"))), 256).alias("_key")
 
-    seen = known.select(key()).distinct()
-    return salted_join(candidates.withColumn("_key", key()), seen, ["_key"], "left_anti").drop("_key")
+    return candidates.withColumn("_key", key()).join(known.select(key()), "_key", "left_anti").select(*candidates.columns)
 
 
 def known_list(known: DataFrame, n: int = KNOWN_NAMES) -> DataFrame:

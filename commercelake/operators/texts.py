@@ -239,5 +239,8 @@ def infer_filename(outputs: DataFrame, known: DataFrame, id_column: str, run: st
 
 
 def discard_unknown_targets(outputs: DataFrame, known: DataFrame, run: str) -> DataFrame:
-    """Keep outputs whose file already exists in the run."""
-    return salted_join(outputs, known.select(run, "filename").distinct(), [run, "filename"], "left_semi")
+    """Keep outputs whose file already exists in the run.
+
+    Both sides come straight from a shuffle, so adaptive execution splits a hot file.
+    """
+    return outputs.join(known.select(run, "filename"), [run, "filename"], "left_semi").select(*outputs.columns)

@@ -56,6 +56,7 @@ def shared_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="commercelake-")
+    discard_at_exit(spark, root)
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
@@ -65,8 +66,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def discard_at_exit(spark: SparkSession, path: str) -> None:
+    """Have Hadoop delete an existing folder when the application's driver ends.
+
+    Not earlier: plans that read it may still run.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def cut_lineage(df):
-    """Write to the shared folder and read back.
+    """Write to the shared folder, for as long as the application runs, and read back.
 
     The files outlive lost executors, and unlike a checkpointed plan the new one starts
     with file statistics and without the old one's constraints, which grow with each round
@@ -74,4 +84,5 @@ def cut_lineage(df):
     """
     path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
+    discard_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

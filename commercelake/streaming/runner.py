@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commercelake.session import shared_path
+from commercelake.session import discard_at_exit, shared_path
 from commercelake.sources.entities import Entities
 from commercelake.sources.tables import SCHEMAS, load_or_empty
 
@@ -38,7 +38,7 @@ class StreamEntities(Entities):
 
 def _run(stream: DataFrame, mode: str, table: str | None) -> DataFrame:
     spark = stream.sparkSession
-    table = table or shared_path(spark, "stream")
+    kept, table = table is not None, table or shared_path(spark, "stream")
     out = f"{table}/rows"
     # The number of state partitions is that of the first run and stays with the state.
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -54,6 +54,8 @@ def _run(stream: DataFrame, mode: str, table: str | None) -> DataFrame:
         .start()
     )
     running.awaitTermination()
+    if not kept:
+        discard_at_exit(spark, table)
     return load_or_empty(spark, out, f"{_columns(stream)}, batch BIGINT")
 
 
@@ -65,7 +67,8 @@ def appended(stream: DataFrame, table: str | None = None) -> DataFrame:
     """All rows the stream has emitted.
 
     table is a folder in shared storage that holds rows and state; a later run with the same
-    folder goes on where the last one ended. Without it the run starts afresh.
+    folder goes on where the last one ended. Without it the run starts afresh, and its folder
+    goes when the application ends.
     """
     return _run(stream, "append", table).drop("batch")
 
@@ -77,7 +80,6 @@ def updated(stream: DataFrame, keys: list[str], table: str | None = None) -> Dat
     one reads these and its own batches, not every version there ever was.
     """
     spark, kept = stream.sparkSession, table is not None
-    table = table or shared_path(spark, "stream")
     rows = _run(stream, "update", table)
     if kept:
         held = load_or_empty(spark, f"{table}/last", _columns(stream) + ", batch BIGINT, through BIGINT")
