@@ -7,8 +7,9 @@ covariance of the rows below it. All groups take a step in the same few aggregat
 group is only a larger sum. Texts too far from their group by Mahalanobis distance are rejected.
 
 Groups of fewer than MIN_GROUP vectors use those of their language, then of all rows; with
-fewer than that in all, nothing is rejected by distance. Spreads have a floor (FLOORS), since a
-statistic that is zero in nearly all texts would make any other value an outlier.
+fewer than that in all, nothing is rejected by distance. To the covariance comes the sampling
+noise of the one text (FLOORS, larger for short texts), since a statistic that is zero in half of the
+texts has no spread of its own. The half's covariance counts times CONSISTENCY in the cutoff.
 
 Null and empty texts have no words and fail the base rules. Null languages or sources form
 groups of their own. A repeated row counts again. An empty table gives an empty result; other
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commercelake.llm.words import chunks, text_bytes, windows, word_hashes, word_spans
@@ -31,10 +32,15 @@ from commercelake.session import cut_lineage
 MIN_WORDS = 50
 MIN_GROUP = 200
 STEPS = 6
-#: Least standard deviations of the four transformed statistics.
-FLOORS = (0.10, 0.50, 0.35, 0.12)
-#: Squared distance beyond which a text is rejected: far above the 0.999999 quantile for 4 degrees.
-CUTOFF = 60.0
+#: A normal covariance in 4 dimensions by that of its inner half: 0.5 / P(chi2(6) < median of chi2(4)).
+CONSISTENCY = 2.109
+#: Standard deviations by chance in a text of NOISE_WORDS words and NOISE_LINES lines, by the root of CONSISTENCY:
+#: mean word length, and a quarter of an event (the variance of a root of a count) of symbols, lines, and 6 words at once.
+#: Longer texts have them too: what tells texts apart does not vanish with length.
+NOISE_WORDS, NOISE_LINES = 200, 10
+FLOORS = tuple(x / CONSISTENCY**0.5 for x in (0.04, 0.81, 0.16, 0.087))
+#: Squared distance under the half's covariance beyond which a text is rejected: the 0.9999 quantile for 4 degrees.
+CUTOFF = CONSISTENCY * 23.51
 BINS_PER_E = 64
 _X = ("x0", "x1", "x2", "x3")
 _SYMBOL = np.zeros(256, bool)
@@ -106,41 +112,42 @@ def _vector(df: DataFrame) -> DataFrame:
             "x1": F.log1p(1000.0 * F.col("n_symbols") / words),
             "x2": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
             "x3": F.sqrt(F.col("n_repeat_words") / words),
+            # Variances by chance, as multiples of those in FLOORS.
+            "_vw": F.greatest(F.lit(1.0), NOISE_WORDS / words),
+            "_vl": F.greatest(F.lit(1.0), NOISE_LINES / F.greatest(F.col("n_lines"), F.lit(1))),
         }
     )
 
 
+_PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
+
+
 def _moments(rows: DataFrame) -> DataFrame:
-    """Per group: count, mean, and the inverse covariance as one flat array, spreads floored."""
-    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
-    sums = rows.groupBy("_group").agg(
-        F.count("*").alias("_n"),
+    """Per group: mean and covariance."""
+    return rows.groupBy(F.col("_group").alias("_g")).agg(
         *[F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)],
-        *[F.avg(F.col(_X[i]) * F.col(_X[j])).alias(f"c{i}{j}") for i, j in pairs],
+        *[F.covar_pop(_X[i], _X[j]).alias(f"c{i}{j}") for i, j in _PAIRS],
     )
 
-    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d = b.to_pydict()
-            inverse = []
-            for r in range(b.num_rows):
-                c = np.zeros((4, 4))
-                for i, j in pairs:
-                    c[i, j] = c[j, i] = d[f"c{i}{j}"][r] - d[f"m{i}"][r] * d[f"m{j}"][r]
-                # A ridge of the floors keeps every direction at least that wide.
-                inverse.append(np.linalg.inv(c + np.diag(np.square(FLOORS))).ravel().tolist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("_group"), b.column("_n"), *[b.column(f"m{i}") for i in range(4)], pa.array(inverse, pa.list_(pa.float64()))],
-                names=["_g", "_n", "m0", "m1", "m2", "m3", "inverse"],
-            )
 
-    return sums.mapInArrow(invert, "_g string, _n bigint, m0 double, m1 double, m2 double, m3 double, inverse array<double>")
+def _measure(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """rows with _d, the squared distance under the covariance of the group and the noise of the text."""
+    floors, names = np.square(FLOORS), rows.columns
 
+    def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = {k: b.column(k).to_numpy(zero_copy_only=False) for k in (*_X, "_vw", "_vl", *[f"m{i}" for i in range(4)], *[f"c{i}{j}" for i, j in _PAIRS])}
+            c = np.zeros((b.num_rows, 4, 4))
+            for i, j in _PAIRS:
+                c[:, i, j] = c[:, j, i] = v[f"c{i}{j}"]
+            for i in range(4):
+                c[:, i, i] += floors[i] * v["_vl" if i == 2 else "_vw"]
+            off = np.stack([v[x] - v[f"m{i}"] for i, x in enumerate(_X)], axis=1)
+            d = (off * np.linalg.solve(c, off[:, :, None])[:, :, 0]).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in names], pa.array(d)], names=[*names, "_d"])
 
-def _distance() -> Column:
-    d = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(_X)]
-    terms = [d[i] * d[j] * F.col("inverse")[4 * i + j] for i in range(4) for j in range(4)]
-    return sum(terms[1:], terms[0])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return _with_model(rows, model).mapInArrow(distance, f"{schema}, _d double")
 
 
 def _with_model(rows: DataFrame, model: DataFrame, group: str = "_group") -> DataFrame:
@@ -168,14 +175,14 @@ def verdicts(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP
     )
     spread = level.select(F.col("_name").alias("_g"), "_group")
     rows = _with_model(rows, spread, "_fine")
-    rows = cut_lineage(rows.select("doc_id", "_fine", "_lang", *_X, "_group"))
+    rows = cut_lineage(rows.select("doc_id", "_fine", "_lang", *_X, "_vw", "_vl", "_group"))
     # A group's model is learned from all rows of its level, not only from those that use it.
     used = level.select(F.col("_group").alias("_u")).distinct()
-    members = rows.select(*_X, "doc_id", F.explode(F.array("_fine", "_lang", F.lit("all"))).alias("_group"))
+    members = rows.select(*_X, "_vw", "_vl", "doc_id", F.explode(F.array("_fine", "_lang", F.lit("all"))).alias("_group"))
     members = cut_lineage(members.join(used, F.col("_group") == F.col("_u"), "left_semi"))
     model = cut_lineage(_moments(members))
     for _ in range(steps):
-        far = _with_model(members, model).select("doc_id", *_X, "_group", _distance().alias("_d"))
+        far = _measure(members.select("doc_id", *_X, "_vw", "_vl", "_group"), model)
         binned = far.withColumn("_bin", F.floor(F.log(F.col("_d") + 1e-6) * BINS_PER_E))
         order = Window.partitionBy("_group").orderBy("_bin")
         counts = binned.groupBy("_group", "_bin").agg(F.count("*").alias("_c"))
@@ -184,9 +191,9 @@ def verdicts(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP
         near = _with_model(binned, median).where(F.col("_bin") <= F.col("_mid"))
         model = cut_lineage(_moments(near))
     sizes = members.groupBy(F.col("_group").alias("_gs")).agg(F.count("*").alias("_members"))
-    model = model.join(sizes, F.col("_g") == F.col("_gs")).drop("_gs")
-    judged = _with_model(rows, model).select("doc_id", F.when(F.col("_members") >= min_group, _distance()).alias("distance"), *[F.col(x) for x in _X])
-    judged = judged.select(F.col("doc_id").alias("_id"), "distance").groupBy("_id").agg(F.max("distance").alias("distance"))
+    model = model.join(sizes.where(F.col("_members") >= min_group), F.col("_g") == F.col("_gs"), "left_semi")
+    judged = _measure(rows.select("doc_id", *_X, "_vw", "_vl", "_group"), model)
+    judged = judged.select(F.col("doc_id").alias("_id"), F.col("_d").alias("distance")).groupBy("_id").agg(F.max("distance").alias("distance"))
     joined = stats.join(judged, stats["doc_id"] == F.col("_id"), "left").drop("_id")
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
     return joined.withColumn("kept", kept)

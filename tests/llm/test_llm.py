@@ -302,6 +302,28 @@ def test_quality_rejects_outliers_only(spark):
     assert [r["distance"] for r in sorted(found, key=lambda r: r["doc_id"])] == pytest.approx(d.tolist(), rel=1e-6, abs=1e-9)
 
 
+@pytest.mark.parametrize("kind", ["lines", "words", "symbols"])
+def test_quality_each_statistic_rejects(spark, kind):
+    rng = random.Random(3)
+    words = [a + b + c for a in ("ka", "ri", "to", "sen") for b in ("l", "nd", "s", "ver") for c in ("a", "e", "in", "o", "ul", "ir")]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    page = lambda n: "\n".join(" ".join(some(20)) for _ in range(n))
+    texts = [(i, page(rng.randint(3, 40))) for i in range(400)]
+    # A clean text with one line twice stays.
+    texts += [(500, f"{page(9)}\nend\n{page(9)}\nend")]
+    phrase = " ".join(some(9))
+    odd = {
+        "lines": "\n".join(f"{rng.choice(words[:12])}" for _ in range(300)),
+        "words": page(6) + f" {phrase} " + " ".join(some(20)) + (f" {phrase}" * 9),
+        "symbols": " ".join(w + "&" for w in some(400)),
+    }[kind]
+    stats = statistics(odd)
+    assert stats[0] >= 50 and stats[4] <= 0.5 * stats[0]
+    texts += [(1000, odd)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert [r["doc_id"] for r in quality.verdicts(df).where("not kept").collect()] == [1000]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=25))
 def test_pack(sizes):
