@@ -4,8 +4,9 @@ A page is cut into blocks at block-level tags. First pass: blocks inside contain
 never article text (by tag, role or class) are out; of the others, link density, length and stop
 word density decide good or bad, and the rest stay undecided: short blocks, or middling ones.
 Second pass: an undecided block takes the label of its nearest decided neighbours; where both
-sides differ, the nearer one counts, a heading leans to what follows, and a tie is good inside an
-article element. Containers that mark the article pull undecided blocks to good.
+sides differ, the nearer one counts, and a heading leans to what follows. Inside a container that
+marks the article only neighbours that are not out count, and the container decides between sides
+that differ; a run of undecided blocks as long as a long block stays, as verse or talk does.
 
 Stop words are learned from nothing: the list is fixed, a few of the commonest words of
 English, German, French and Spanish.
@@ -171,6 +172,20 @@ def labels_of(blocks: list[Block]) -> list[bool]:
     for i in range(n - 1, -1, -1):
         after[i] = last
         last = i if first[i] is not None else last
+    words = [len(_WORD.findall(b.text)) for b in blocks]
+    # Words of the run of undecided blocks around each, and the nearest decided labels that are not out, on either side.
+    run, inner = [0] * n, [(None, None)] * n
+    a, left = 0, None
+    while a < n:
+        z = a
+        while z < n and (first[z] is None or blocks[z].outside):
+            z += 1
+        right = first[z] if z < n else None
+        whole = sum(words[i] for i in range(a, z) if first[i] is None)
+        for i in range(a, z):
+            run[i], inner[i] = whole, (left, right)
+        left, a = right, z + 1
+    has_good = True in first
     out = []
     for i, b in enumerate(blocks):
         if first[i] is not None:
@@ -179,8 +194,9 @@ def labels_of(blocks: list[Block]) -> list[bool]:
         left = first[before[i]] if before[i] is not None else None
         right = first[after[i]] if after[i] is not None else None
         if b.article:
-            # Inside an article element only what is decided bad on both sides, and outside, is bad.
-            out.append(True)
+            sides = inner[i]
+            bad = sides == (False, False) or False in sides and None in sides and has_good
+            out.append(not bad or run[i] >= LONG_WORDS)
         elif left is None or right is None:
             out.append(bool(left if right is None else right))
         elif left == right:

@@ -447,6 +447,19 @@ def test_main_text(spark):
     assert main_text.extract(df.limit(0)).count() == 0
 
 
+LONG = "This is a text of the words that are in it and for the one with this, as it was to be in the end. "
+
+
+def test_main_text_short_blocks_in_an_article_follow_their_neighbours():
+    links = "<p><a href='/a'>Other news of the day</a></p>"
+    page = f"<nav><a>n</a></nav><div id=content><h1>Title</h1><p>{LONG}</p><p>He said no.</p><p>{LONG}</p>{links}<p>Share this</p>{links}<p>Read more</p></div><footer>f</footer>"
+    assert main_text.main_text(page).split("\n") == ["Title", LONG.strip(), "He said no.", LONG.strip()]
+    verse = "".join(f"<p>Line {i} of short verse</p>" for i in range(12))
+    assert main_text.main_text(f"<article>{links}{verse}{links}</article>").count("verse") == 12
+    assert main_text.main_text(f"<article>{links}<p>Share this</p>{links}</article>") == ""
+    assert main_text.main_text("<nav>n</nav><article><p>Short.</p></article><footer>f</footer>") == "Short."
+
+
 def test_license_scan(docs, spark):
     noise = "tokens of a text that comes before "
     grant = licenses.TEMPLATES["mit-grant"].replace("sublicense,", "sub-license,").replace("deal in", "deal freely in")
