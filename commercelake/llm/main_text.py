@@ -2,11 +2,15 @@
 
 A page is cut into blocks at block-level tags. First pass: blocks inside containers that are
 never article text (by tag, role or class) are out; of the others, link density, length and stop
-word density decide good or bad, and the rest stay undecided: short blocks, or middling ones.
+word density decide good or bad, and the rest stay undecided: short blocks, or middling ones. On a
+page whose long blocks hold few of the listed stop words, so in another language, length and link
+density decide alone. An article or main element inside a wrapper with a name of a page's layout is
+not out; inside one that names comments, ads and the like an article is, a main is not.
 Second pass: an undecided block takes the label of its nearest decided neighbours; where both
 sides differ, the nearer one counts, and a heading leans to what follows. Inside a container that
 marks the article only neighbours that are not out count, and the container decides between sides
-that differ; a run of undecided blocks as long as a long block stays, as verse or talk does.
+that differ; a run of undecided blocks as long as a long block stays, as verse or talk does. Blocks
+with no decided neighbours but such that are out are good if the page has nothing else or the run is long.
 
 Stop words are learned from nothing: the list is fixed, a few of the commonest words of
 English, German, French and Spanish.
@@ -48,6 +52,13 @@ OUTSIDE_NAMES = re.compile(
     r"related|recommend\w*|share|sharing|social|widget|login|signup|search|pagination|pager|toolbar|copyright|legal)(?:$|[-_\s\d])",
     re.I,
 )
+# Names that say what a page has or lacks, not what the element is.
+LAYOUT_NAMES = re.compile(r"(?:^|[-_\s])(?:has|have|no|with|without)[-_]+[a-z]+", re.I)
+# Names of containers that hold article elements which are not the page's own.
+OTHERS_NAMES = re.compile(
+    r"(?:^|[-_\s])(?:ad|ads|advert\w*|adbox|sponsor\w*|promo\w*|comment|comments|disqus|reply|replies|respond|related|recommend\w*|share|sharing|social|widget|newsletter)(?:$|[-_\s\d])",
+    re.I,
+)
 ARTICLE_NAMES = re.compile(r"(?:^|[-_\s])(?:article|post|entry|content|main|story|body-?text)(?:$|[-_\s])", re.I)
 
 LINK_DENSITY = 0.33
@@ -130,11 +141,18 @@ def blocks_of(page: str) -> list[Block]:
                     break
         if name not in BLOCKS and name not in _HEADINGS:
             continue
-        _, outside, article, _ = open_[-1] if open_ else ("", False, False, False)
+        # others: out for good below, by tag or by a name in OTHERS_NAMES, but for a main element.
+        _, outside, article, others = open_[-1] if open_ else ("", False, False, False)
         said = " ".join(next(g for g in a.groups()[1:] if g is not None) for a in _ATTRIBUTE.finditer(rest)) if "=" in rest else ""
         inner = name in ("article", "main") or bool(said and ARTICLE_NAMES.search(said))
-        out_here = name in OUTSIDE or bool(said and name not in ("html", "body", "article", "main") and OUTSIDE_NAMES.search(said))
-        open_.append((name, outside or out_here, article or inner, False))
+        named = LAYOUT_NAMES.sub(" ", said) if name not in ("html", "body", "article", "main") else ""
+        out_here = name in OUTSIDE or bool(named and OUTSIDE_NAMES.search(named))
+        if name == "main":
+            outside = others = False
+        elif name == "article" and not others:
+            outside = False
+        others = others or name in OUTSIDE or bool(named and OTHERS_NAMES.search(named))
+        open_.append((name, outside or out_here, article or inner, others))
     close()
     return out
 
@@ -143,7 +161,14 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORD = re.compile(r"\w+")
 
 
-def _first_pass(b: Block) -> bool | None:
+def _lists_fit(blocks: list[Block]) -> bool:
+    """Whether the page's longer unlinked blocks hold as many stop words as one in a listed language would."""
+    said = [_WORD.findall(b.text.lower()) for b in blocks if not b.outside and b.linked <= LINK_DENSITY * len(b.text)]
+    words = [w for x in said if len(x) >= SHORT_WORDS for w in x]
+    return sum(w in STOP_WORDS for w in words) >= STOP_LOW * len(words)
+
+
+def _first_pass(b: Block, fit: bool = True) -> bool | None:
     if b.outside:
         return False
     size = max(1, len(b.text))
@@ -155,12 +180,15 @@ def _first_pass(b: Block) -> bool | None:
     stops = sum(w in STOP_WORDS for w in words) / len(words)
     if stops >= STOP_HIGH or len(words) >= LONG_WORDS and stops >= STOP_LOW:
         return True
-    return None if b.article or stops >= STOP_LOW else False
+    if len(words) >= LONG_WORDS:
+        return None if fit else True
+    return None if b.article or stops >= STOP_LOW or not fit else False
 
 
 def labels_of(blocks: list[Block]) -> list[bool]:
     """Good or not, after both passes."""
-    first = [_first_pass(b) for b in blocks]
+    fit = _lists_fit(blocks)
+    first = [_first_pass(b, fit) for b in blocks]
     n = len(blocks)
     before: list[int | None] = [None] * n
     after: list[int | None] = [None] * n
@@ -197,6 +225,12 @@ def labels_of(blocks: list[Block]) -> list[bool]:
             sides = inner[i]
             bad = sides == (False, False) or False in sides and None in sides and has_good
             out.append(not bad or run[i] >= LONG_WORDS)
+        elif not has_good and inner[i] != (False, False):
+            # Nothing on the page is known to be text, and links on one side at most speak against this.
+            out.append(True)
+        elif False not in inner[i] and (run[i] >= LONG_WORDS or words[i] >= SHORT_WORDS and True in inner[i]):
+            # Only text, or what is out, stands beside it, and it is more than a short line.
+            out.append(True)
         elif left is None or right is None:
             out.append(bool(left if right is None else right))
         elif left == right:

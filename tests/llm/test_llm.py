@@ -460,6 +460,28 @@ def test_main_text_short_blocks_in_an_article_follow_their_neighbours():
     assert main_text.main_text("<nav>n</nav><article><p>Short.</p></article><footer>f</footer>") == "Short."
 
 
+def test_main_text_of_other_languages():
+    text = "Nel mezzo cammin nostra vita ritrovai una selva oscura ché diritta via era smarrita quanto dir qual cosa dura questa selva selvaggia aspra forte nel pensier rinova paura tant amara poco più morte trattar ben vidi trovai"
+    assert main_text.main_text(f"<nav>a b</nav><div><p>{text}</p></div><footer>c</footer>") == text
+    medium = "Ritrovai una selva oscura ché diritta via era smarrita quanto dir qual cosa dura"
+    assert main_text.main_text(f"<nav>a b</nav><div><p>{medium}</p><p>{text}</p></div><footer>c</footer>") == f"{medium}\n{text}"
+    assert main_text.main_text(f"<div><p><a>{text}</a></p></div>") == ""
+
+
+def test_main_text_of_short_paragraphs_without_decided_neighbours():
+    short = [f"Line {i} is short." for i in range(3)]
+    for page in ("<nav><a>n</a></nav>{}<footer>f</footer>", "{}"):
+        for tag in ("p", "div"):
+            assert main_text.main_text(page.format("".join(f"<{tag}>{x}</{tag}>" for x in short))).split("\n") == short
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "with-header", "page header-wrap"])
+def test_main_text_of_wrapper_names(name):
+    page = f"<div class='{name}'><div class=sidebar><p>{LONG}</p></div><article><p>{LONG}</p></article></div>"
+    assert main_text.main_text(page) == LONG.strip()
+    assert main_text.main_text(f"<main><p>{LONG}</p><div class=comments><article><p>A reader: {LONG}</p></article></div></main>") == LONG.strip()
+
+
 def test_license_scan(docs, spark):
     noise = "tokens of a text that comes before "
     grant = licenses.TEMPLATES["mit-grant"].replace("sublicense,", "sub-license,").replace("deal in", "deal freely in")
