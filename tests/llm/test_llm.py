@@ -493,6 +493,34 @@ def test_license_scan(docs, spark):
     assert licenses.scan(docs).count() == 0
 
 
+def test_license_scan_whole_texts(spark):
+    names = ["mit", "mit-0", "isc", "0bsd", "bsd-2-clause", "bsd-3-clause", "unlicense", "zlib", "apache-2.0", "gpl-2.0", "gpl-3.0", "mpl-2.0", "cc0-1.0", "agpl-3.0-notice", "epl-2.0-notice"]
+    before = "Copyright (c) 2020 Someone\n\n"
+    texts = [(i, before + licenses.TEMPLATES[n] + "\nmore text") for i, n in enumerate(names)]
+    # Some words more and others changed; two copies; a variant or version that is no template.
+    changed = licenses.TEMPLATES["mit"].replace("The above copyright", "The very above copyright").replace("AUTHORS OR COPYRIGHT HOLDERS", "OWNERS OF IT")
+    texts += [(100, before + changed), (101, licenses.TEMPLATES["mit"] + "\n\n" + licenses.TEMPLATES["mit"])]
+    texts += [(200, "This work is licensed under the GNU General Public License, version 2."), (201, "Released under the BSD License."), (202, "Licensed under CC BY-ND 4.0."), (203, "This work is licensed under the GNU Lesser General Public License, version 3.")]
+    found = defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect():
+        found[r["doc_id"]].append(r)
+    for i, n in enumerate(names):
+        (r,) = found[i]
+        assert r["license"] == n and r["coverage"] == 1 and r["start"] == len(before), n
+        assert licenses.TEMPLATES[n].strip()[: r["end"] - r["start"]].split()[-20:] == licenses.TEMPLATES[n].split()[-20:] or r["end"] >= len(texts[i][1]) - 15
+    assert [r["license"] for r in found[100]] == ["mit"] and 0.9 < found[100][0]["coverage"] < 1 and found[100][0]["start"] == len(before)
+    assert [r["license"] for r in found[101]] == ["mit", "mit"]
+    assert not any(found[i] for i in range(200, 204))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=8), st.lists(st.integers(0, 4), max_size=10))
+def test_alignment_of_long_templates(template, text):
+    m, first, last = licenses.align_long(np.array(template), np.array(text, np.int64), 0, 12)
+    assert m == licenses.align(template, text, 0, 12)[0]
+    assert m == 0 or text[first] in template and text[last] in template and last - first + 1 >= m
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=8), st.lists(st.integers(0, 4), max_size=10))
 def test_alignment(template, text):
