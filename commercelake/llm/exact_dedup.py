@@ -91,6 +91,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", ranges: int | None = No
 
 
 def keep_one(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The rows of docs that stay, all columns; a repeated row stays once."""
-    found = exact_dedup(docs, keep).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi")
+    """The rows of docs that stay, all columns: those of a group's kept identifier that have its text."""
+    found = exact_dedup(docs, keep).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    same = docs["doc_id"].eqNullSafe(found["_id"]) & (F.sha2(normalised(docs["text"]), 256) == found["_sha"])
+    return docs.join(found, same, "left_semi")

@@ -27,8 +27,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that with the least identifier."""
-    return exact_dedup.keep_one(docs).select(*COLUMNS).dropDuplicates(["doc_id"])
+    """One document of each group of equal texts, that with the least identifier; different texts never merge."""
+    kept = exact_dedup.keep_one(docs).select(*COLUMNS)
+    kept = kept.withColumn("_sha", F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    return kept.dropDuplicates(["doc_id", "_sha"]).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

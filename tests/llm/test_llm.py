@@ -572,5 +572,12 @@ def test_pipeline_stages(spark, docs, empty):
         assert f(spark, empty, SF).count() == 0
 
 
+def test_pipeline_exact_copies_keeps_texts_that_share_an_identifier(spark):
+    texts = [(1, "b x"), (2, "a y"), (2, "B x"), (2, "c z"), (2, "c z"), (2, "C Z")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = sorted((r["doc_id"], r["text"].lower()) for r in corpus_pipeline.exact_copies(spark, df, SF).collect())
+    assert found == [(1, "b x"), (2, "a y"), (2, "c z")]
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
