@@ -166,18 +166,25 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED)
                 raw, own = data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
                 starts, ends, at = word_spans(raw, own)
                 row = np.repeat(np.arange(z - a), np.diff(at))
+                words = tokens_of(raw, starts, ends)
+                clean_word = label[a:z][row] != 1
                 # Token 0 counts the texts.
-                code = np.concatenate([*tokens_of(raw, starts, ends), np.zeros(z - a, np.int64)])
+                code = np.concatenate([*words, np.zeros(z - a, np.int64)])
                 row = np.concatenate([row, row, row, np.arange(z - a)])
                 names, back = np.unique(code, return_inverse=True)
                 pairs = np.unique(row * len(names) + back)
                 toxic = label[a:z][pairs // len(names)] == 1
                 which = pairs % len(names)
-                parts.append((names, np.bincount(which[toxic], minlength=len(names)), np.bincount(which[~toxic], minlength=len(names))))
+                # Occurrences in words of clean texts; those of token 0 are all words.
+                seen = back[: 3 * len(starts)][np.concatenate([clean_word] * 3)]
+                times = np.bincount(seen, minlength=len(names))
+                times[np.searchsorted(names, 0)] = clean_word.sum()
+                parts.append((names, np.bincount(which[toxic], minlength=len(names)), np.bincount(which[~toxic], minlength=len(names)), times))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts, strict=True)], names=["token", "toxic", "clean"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts, strict=True)], names=["token", "toxic", "clean", "times"])
 
-    counts = sample.mapInArrow(count, "token bigint, toxic bigint, clean bigint").groupBy("token").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counts = sample.mapInArrow(count, "token bigint, toxic bigint, clean bigint, times bigint").groupBy("token")
+    counts = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.sum("times").alias("w"))
     counts = counts.where((F.col("t") >= LEAST_TOXIC) | (F.col("token") == 0)).toPandas()
     texts = counts[counts["token"] == 0]
     n_toxic, n_clean = (int(texts[x].sum()) for x in ("t", "c"))
@@ -195,8 +202,8 @@ def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED)
     if not keep.any():
         return none
     tokens, odds = own["token"].to_numpy(np.int64)[keep], odds[keep]
-    # Share of clean words with each score, at least half a text's word.
-    per_word = (c[keep] + 0.5) / (n_clean * 200.0)
+    # Share of the words of clean texts with each score, at least half a word.
+    per_word = (own["w"].to_numpy(float)[keep] + 0.5) / max(1.0, float(texts["w"].sum()))
     model = Model(tokens, odds, _rate(odds, per_word), 0.0, 1.0)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

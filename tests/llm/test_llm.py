@@ -393,6 +393,18 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(r["predicted"] == r["toxic"] for r in found) >= 0.97 * len(found)
 
 
+@pytest.mark.parametrize("size", [20, 600])
+def test_toxicity_rate_follows_the_words_of_clean_texts(spark, size):
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice(["kal", "rin", "tos", "sen"]) for _ in range(size)) + (" zuvex zuvex" if i % 2 or i % 20 == 0 else ""), i % 2) for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, label int")
+    model = toxicity.fit(df, df.select("doc_id", "label"))
+    assert len(model.odds) == 3
+    clean = [t.split() for _, t, toxic in texts if not toxic]
+    share = (sum(t.count("zuvex") for t in clean) + 0.5) / sum(map(len, clean))
+    assert model.rate == pytest.approx(toxicity._rate(model.odds, np.full(3, share)))
+
+
 def test_toxicity_edges(spark, docs, empty):
     model = toxicity.fit(docs, docs.select("doc_id", F.lit(0).alias("label")))
     found = toxicity.score(docs, model).collect()
