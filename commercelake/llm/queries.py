@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and the pipeline."""
+"""The registered queries of the thirteen operators and the pipeline."""
 
 from __future__ import annotations
 
@@ -91,6 +91,12 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from commercelake.llm.merkle import verified_documents
+
+    return verified_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -104,6 +110,7 @@ QUERIES = {
         op8_packing,
         op9_personal_data,
         op10_main_text,
+        op12_merkle_manifest,
     )
 }
 
@@ -143,4 +150,62 @@ ORACLES: dict[str, str] = {
                sha256(t) AS text_sha256
         FROM d
     """,
+    "op12_merkle_manifest": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, text,
+                   concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                       coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+                   xor(list_reduce(
+                       list_transform(range(8 * strlen(doc_id::VARCHAR)), lambda i: (ascii(substr(doc_id::VARCHAR, i // 8 + 1, 1)) >> (i % 8)::INT) & 1),
+                       lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384), 4294967295), 1) & 1 = 0 AS tampered
+            FROM documents
+        ),
+        leaf AS (
+            SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n,
+                   sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   CASE WHEN tampered THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS changed
+            FROM d
+        ),
+        low(source, level, idx, digest, n) AS (
+            SELECT source, 0, idx, leaf, n FROM leaf
+            UNION ALL
+            SELECT source, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 2) // 3
+            FROM low WHERE n > 1 GROUP BY source, level, idx // 3
+        ),
+        subroots AS (
+            SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1
+        ),
+        high(level, idx, digest, n) AS (
+            SELECT 0, idx, digest, n FROM subroots
+            UNION ALL
+            SELECT level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 2) // 3
+            FROM high WHERE n > 1 GROUP BY level, idx // 3
+        ),
+        low_steps AS (
+            SELECT x.source, x.level, x.idx, coalesce(string_agg(y.digest, '' ORDER BY y.idx) FILTER (y.idx < x.idx), '') || '.'
+                || coalesce(string_agg(y.digest, '' ORDER BY y.idx) FILTER (y.idx > x.idx), '') AS step
+            FROM low x JOIN low y ON x.source IS NOT DISTINCT FROM y.source AND x.level = y.level AND x.idx // 3 = y.idx // 3
+            WHERE x.n > 1 GROUP BY ALL
+        ),
+        high_steps AS (
+            SELECT x.level, x.idx, coalesce(string_agg(y.digest, '' ORDER BY y.idx) FILTER (y.idx < x.idx), '') || '.'
+                || coalesce(string_agg(y.digest, '' ORDER BY y.idx) FILTER (y.idx > x.idx), '') AS step
+            FROM high x JOIN high y ON x.level = y.level AND x.idx // 3 = y.idx // 3 WHERE x.n > 1 GROUP BY ALL
+        ),
+        steps AS (
+            SELECT doc_id, level, step FROM leaf l JOIN low_steps s
+                ON l.source IS NOT DISTINCT FROM s.source AND s.idx = l.idx // power(3, level)::BIGINT
+            UNION ALL
+            SELECT doc_id, 100 + level, step FROM leaf l JOIN subroots r ON l.source IS NOT DISTINCT FROM r.source
+                JOIN high_steps s ON s.idx = r.idx // power(3, level)::BIGINT
+        ),
+        proof AS (SELECT doc_id, list(step ORDER BY level) AS p FROM steps GROUP BY doc_id),
+        ends AS (
+            SELECT l.doc_id, leaf, r.digest AS subroot, h.digest AS root,
+                   sha256(replace(array_to_string(coalesce(p, []), ''), '.', '')) AS proof_sha256,
+                   list_reduce(coalesce(p, []), lambda c, x: sha256(split_part(x, '.', 1) || c || split_part(x, '.', 2)), coalesce(changed, leaf)) AS folded_root
+            FROM leaf l JOIN subroots r ON l.source IS NOT DISTINCT FROM r.source JOIN high h ON h.n = 1 LEFT JOIN proof p ON p.doc_id = l.doc_id
+        )
+        SELECT *, folded_root = root AS verified FROM ends
+    """,
 }
