@@ -91,6 +91,12 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from commercelake.llm.lexical import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from commercelake.llm.merkle import verified_documents
 
@@ -110,6 +116,7 @@ QUERIES = {
         op8_packing,
         op9_personal_data,
         op10_main_text,
+        op11_ranked_search,
         op12_merkle_manifest,
     )
 }
@@ -150,6 +157,30 @@ ORACLES: dict[str, str] = {
                sha256(t) AS text_sha256
         FROM d
     """,
+    "op11_ranked_search": r"""
+        WITH t AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents
+        ),
+        i AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ),
+        q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+        n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY ALL),
+        all_ AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS length FROM n),
+        m AS (SELECT doc_id, 25 + (75 * n * n_docs) // length AS m FROM n, all_),
+        p AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM p, all_ GROUP BY term, n_docs),
+        s AS (
+            SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY ALL
+        ),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
     "op12_merkle_manifest": """
         WITH RECURSIVE d AS (
             SELECT doc_id, source, text,

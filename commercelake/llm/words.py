@@ -8,6 +8,7 @@ of two sums.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,3 +112,61 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         out = mix(out * np.uint64(_BASE) + hashes[k : k + count])
     return out
+
+
+def spans_of(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_spans, for any table of 256 flags that says which bytes separate words."""
+    inside = ~separator[data]
+    # A flag on either side of each row keeps words of neighbouring rows apart.
+    edges = np.zeros(len(data) + 1, bool)
+    edges[offsets] = True
+    joined = inside[1:] & inside[:-1] & ~edges[1 : len(data)]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~joined
+    last[:-1] &= ~joined
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
+
+
+class Lanes:
+    """Eight bytes from any position on as one number, for hashes and comparisons of whole words."""
+
+    #: Words longer than this are hashed one by one.
+    MANY = 128
+
+    def __init__(self, data: np.ndarray):
+        self._padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.at = np.ndarray((len(data) + 1,), "<u8", self._padded, strides=(1,))
+
+    @staticmethod
+    def _mask(left: np.ndarray) -> np.ndarray:
+        bits = np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
+        return np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - bits)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+        """64-bit hashes of non-empty words; those of at most eight bytes and one length never collide."""
+        lengths = ends - starts
+        out = mix(lengths.astype(np.uint64) + np.uint64(salt) * np.uint64(_BASE))
+        live, done = np.flatnonzero(lengths <= self.MANY), 0
+        while len(live):
+            left = lengths[live] - done
+            out[live] = mix(out[live] ^ (self.at[starts[live] + done] & self._mask(left)))
+            live, done = live[left > 8], done + 8
+        for i in np.flatnonzero(lengths > self.MANY):
+            word = self._padded[starts[i] : ends[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
+        return out
+
+    def same(self, starts: np.ndarray, other: Lanes, other_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Whether words of equal lengths here and there are the same bytes."""
+        equal = np.ones(len(starts), bool)
+        live, done = np.flatnonzero(lengths <= self.MANY), 0
+        while len(live):
+            left = lengths[live] - done
+            differ = ((self.at[starts[live] + done] ^ other.at[other_starts[live] + done]) & self._mask(left)) != 0
+            equal[live[differ]] = False
+            live, done = live[(left > 8) & ~differ], done + 8
+        for i in np.flatnonzero(lengths > self.MANY):
+            a, b, n = starts[i], other_starts[i], lengths[i]
+            equal[i] = np.array_equal(self._padded[a : a + n], other._padded[b : b + n])
+        return equal
