@@ -103,6 +103,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from commercelake.llm import url_filter
+
+    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.fit(url_filter.labelled_urls(spark)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -118,6 +124,7 @@ QUERIES = {
         op10_main_text,
         op11_ranked_search,
         op12_merkle_manifest,
+        op13_url_filter,
     )
 }
 
