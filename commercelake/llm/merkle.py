@@ -51,7 +51,7 @@ def _joined(digests: Column) -> Column:
 
 
 def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """rows with _rank, from 0, in their group, in a written table.
+    """rows with _rank, from 0, in their group and _n, the rows of the group, in a written table.
 
     One shuffle into ranges of (group, order), which cut a hot group; a row's place in its range
     less that of the group's first row there, plus the group's rows in earlier ranges.
@@ -60,22 +60,23 @@ def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     by = [group, *order, "_tie"]
     placed = tie.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie").withColumn("_at", F.monotonically_increasing_id())
     placed = cut_lineage(placed.withColumn("_part", F.shiftright("_at", 33)))
-    runs = placed.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    earlier = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("_g", "_p", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    runs = placed.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    # A group has at most one row here for each range of rows.
+    own = Window.partitionBy("_g")
+    earlier = own.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")
+    runs = runs.select("_g", "_p", shift.alias("_shift"), F.sum("_rows").over(own).alias("_n"))
     same = F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p"))
     return cut_lineage(placed.join(runs, same).withColumn("_rank", F.col("_at") + F.col("_shift")).drop("_g", "_p", "_shift", "_at", "_part"))
 
 
-def heights(sizes: DataFrame) -> DataFrame:
-    """sizes (_group, _n) with the levels above n leaves."""
-    most = sizes.agg(F.max("_n")).first()[0] or 0
+def _height(most: int) -> Column:
+    """Levels above the _n leaves of a group, where no group has more than `most`."""
     powers, power = [], 1
     while power < most:
         powers.append(power)
         power *= ARITY
-    count = sum((F.when(F.col("_n") > p, 1).otherwise(0) for p in powers), F.lit(0))
-    return sizes.withColumn("_height", count)
+    return sum((F.when(F.col("_n") > p, 1).otherwise(0) for p in powers), F.lit(0))
 
 
 def _records(leaves: Column, steps: Column) -> Column:
@@ -102,40 +103,35 @@ def _records(leaves: Column, steps: Column) -> Column:
 class Tree:
     """A forest: per group its root and height, and per round the segments of all groups."""
 
-    roots: DataFrame  # _group, _n, _height, _root
+    roots: DataFrame  # _group, _height, _root
     segments: list[DataFrame]  # _segment, _records (digest to children)
 
 
 def build(leaves: DataFrame) -> Tree:
-    """The trees over leaves (_group, _rank, _leaf), one round for each SEGMENT levels of the highest."""
-    sizes = heights(leaves.groupBy("_group").agg(F.count("*").alias("_n")))
-    sizes = cut_lineage(sizes)
-    top = sizes.agg(F.max("_height")).first()[0] or 0
-    g = sizes.select(F.col("_group").alias("_g"), "_n", "_height")
-    # A group's nodes meet its one row: broadcast or split by its size, as adaptive execution finds it.
-    lone = leaves.where("_rank = 0").join(g.where("_height = 0"), F.col("_group").eqNullSafe(F.col("_g")))
-    roots = [lone.select("_group", "_n", "_height", F.col("_leaf").alias("_root"))]
-    nodes = leaves.select("_group", "_rank", "_leaf")
+    """The trees over leaves (_group, _rank, _n, _leaf), one round for each SEGMENT levels of the highest."""
+    most = leaves.agg(F.max("_n")).first()[0] or 0
+    nodes = leaves.select("_group", "_rank", _height(most).alias("_height"), "_leaf")
+    roots = nodes.where("_height = 0").select("_group", "_height", F.col("_leaf").alias("_root"))
+    top = 0
+    while ARITY**top < most:
+        top += 1
     segments = []
     for base in range(0, top, SEGMENT):
-        blocks = nodes.groupBy("_group", _div(F.col("_rank"), SPAN).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("_rank", "_leaf"))).alias("_run"))
-        blocks = blocks.join(g.where(f"_height > {base}"), F.col("_group").eqNullSafe(F.col("_g"))).drop("_g")
+        run = F.sort_array(F.collect_list(F.struct("_rank", "_leaf"))).alias("_run")
+        blocks = nodes.where(f"_height > {base}").groupBy("_group", _div(F.col("_rank"), SPAN).alias("_block"), "_height").agg(run)
         steps = F.least(F.lit(SEGMENT), F.col("_height") - base)
-        levels = blocks.select("_group", "_block", "_n", "_height", _records(F.col("_run._leaf"), steps).alias("_levels"))
+        levels = blocks.select("_group", "_block", "_height", _records(F.col("_run._leaf"), steps).alias("_levels"))
         made = cut_lineage(
             levels.select(
-                "_group", "_block", "_n", "_height",
+                "_group", "_block", "_height",
                 F.element_at("_levels", -1)[0]["digest"].alias("_top"),
                 F.map_from_entries(F.array_distinct(F.flatten(F.slice("_levels", 2, SEGMENT)))).alias("_records"),
             )
         )
         segments.append(made.select(F.col("_top").alias("_segment"), "_records"))
-        roots.append(made.where(f"_height <= {base + SEGMENT}").select("_group", "_n", "_height", F.col("_top").alias("_root")))
-        nodes = made.where(f"_height > {base + SEGMENT}").select("_group", F.col("_block").alias("_rank"), F.col("_top").alias("_leaf"))
-    out = roots[0]
-    for more in roots[1:]:
-        out = out.unionByName(more)
-    return Tree(cut_lineage(out), segments)
+        roots = roots.unionByName(made.where(f"_height <= {base + SEGMENT}").select("_group", "_height", F.col("_top").alias("_root")))
+        nodes = made.select("_group", F.col("_block").alias("_rank"), "_height", F.col("_top").alias("_leaf")).where(f"_height > {base + SEGMENT}")
+    return Tree(roots, segments)
 
 
 def _path(records: Column, start: Column, rank: Column, steps: Column) -> Column:
@@ -159,10 +155,10 @@ def _path(records: Column, start: Column, rank: Column, steps: Column) -> Column
     return F.aggregate(F.sequence(steps - 1, F.lit(0)), begin, down)
 
 
-def _finder(steps: Column):
+def _finder(steps: Column, last: bool):
     def found(wanted: Column) -> Column:
-        path = _path(F.col("_records"), F.col("_at"), wanted["_unit"], steps)
-        return F.struct(wanted["_unit"].alias("unit"), wanted["_asked"].alias("asked"), path.alias("path"))
+        path = _path(F.col("_records"), F.col("_at"), wanted["unit"], steps)
+        return F.struct(wanted["unit"].alias("unit"), path.alias("path"), *([wanted["_asked"].alias("asked")] if last else []))
 
     return found
 
@@ -182,24 +178,18 @@ def descend(tree: Tree, starts: DataFrame, requests: DataFrame) -> DataFrame:
         begun = begun.select("_group", F.lit(0).cast("bigint").alias("_block"), "_height", "_at", "_above", "_carried")
         frontier = begun if frontier is None else frontier.unionByName(begun)
         # Where the requests go on: units of this depth, each once, but the requests themselves at the end.
-        if depth == 1:
-            asked = requests.select("_group", F.col("_rank").alias("_unit"), "_asked")
-        else:
-            asked = requests.select("_group", _div(F.col("_rank"), SPAN ** (depth - 1)).alias("_unit")).distinct().withColumn("_asked", F.lit(None))
-        asked = asked.groupBy(F.col("_group").alias("_g"), _div(F.col("_unit"), SPAN).alias("_b")).agg(
-            F.collect_list(F.struct("_unit", "_asked")).alias("_wanted")
-        )
+        unit = _div(F.col("_rank"), SPAN ** (depth - 1))
+        wanted = F.collect_list(F.struct(unit.alias("unit"), "_asked")) if depth == 1 else F.collect_set(F.struct(unit.alias("unit")))
+        asked = requests.groupBy(F.col("_group").alias("_g"), _div(F.col("_rank"), SPAN**depth).alias("_b")).agg(wanted.alias("_wanted"))
         held = tree.segments[depth - 1].groupBy("_segment").agg(F.first("_records").alias("_records"))
         here = frontier.join(asked, own & (F.col("_block") == F.col("_b"))).join(held, F.col("_at") == F.col("_segment"))
         steps = F.least(F.lit(SEGMENT), F.col("_height") - (depth - 1) * SEGMENT)
 
-        each = here.select("_group", "_height", "_above", "_carried", F.explode(F.transform("_wanted", _finder(steps))).alias("_f"))
+        each = here.select("_group", "_height", "_above", "_carried", F.explode(F.transform("_wanted", _finder(steps, depth == 1))).alias("_f"))
         climbed = F.transform(F.reverse(F.slice("_f.path", 2, SEGMENT)), lambda s: F.struct(s["before"].alias("before"), s["after"].alias("after")))
         at, above = F.element_at("_f.path", -1)["at"], F.concat(climbed, "_above")
         if depth > 1:
-            frontier = cut_lineage(
-                each.select("_group", F.col("_f.unit").alias("_block"), "_height", at.alias("_at"), above.alias("_above"), "_carried")
-            )
+            frontier = each.select("_group", F.col("_f.unit").alias("_block"), "_height", at.alias("_at"), above.alias("_above"), "_carried")
         else:
             leaves = each.select("_group", F.col("_f.unit").alias("_rank"), F.col("_f.asked").alias("_asked"), at.alias("_leaf"), above.alias("_proof"), "_carried")
             out = out.unionByName(leaves)
@@ -226,11 +216,11 @@ class Manifest:
 
 
 def manifest(leaves: DataFrame) -> Manifest:
-    """The manifest of leaves (_group, _rank, _leaf)."""
+    """The manifest of leaves (_group, _rank, _n, _leaf), as ranked() gives them."""
     below = build(leaves)
     subroots = below.roots.select(F.lit(0).alias("_all"), F.col("_group").alias("_name"), F.col("_root").alias("_leaf"))
     placed = ranked(subroots, "_all", ["_name"])
-    above = build(placed.select(F.col("_all").alias("_group"), "_rank", "_leaf"))
+    above = build(placed.select(F.col("_all").alias("_group"), "_rank", "_n", "_leaf"))
     return Manifest(below, above, placed.select(F.col("_name").alias("_group"), "_rank"))
 
 
@@ -275,7 +265,7 @@ def verified_documents(docs: DataFrame) -> DataFrame:
     """
     leaves = cut_lineage(document_leaves(docs))
     placed = ranked(leaves, "_group", ["doc_id", "_leaf"])
-    held = manifest(placed.select("_group", "_rank", "_leaf"))
+    held = manifest(placed.select("_group", "_rank", "_n", "_leaf"))
     requests = placed.select("_group", "_rank", F.struct("doc_id", "_tampered").alias("_asked"))
     root = folded(F.coalesce("_asked._tampered", "_leaf"), F.col("_proof"))
     out = proofs(held, requests).select(

@@ -98,7 +98,7 @@ def test_some_requests_descend_alone(spark):
     some = sorted({r[0]: r for r in rows() if r[0] is not None}.values())
     leaves = merkle.document_leaves(docs(spark, some))
     placed = merkle.ranked(leaves, "_group", ["doc_id", "_leaf"])
-    held = merkle.manifest(placed.select("_group", "_rank", "_leaf"))
+    held = merkle.manifest(placed.select("_group", "_rank", "_n", "_leaf"))
     asked = placed.where("doc_id IN (0, 81, 249, 1003, 2004)").select("_group", "_rank", F.struct("doc_id").alias("_asked"))
     found = merkle.proofs(held, asked).select(
         F.col("_asked.doc_id").alias("doc_id"), "_leaf", "_root", merkle.folded(F.col("_leaf"), F.col("_proof")).alias("end")
