@@ -68,7 +68,7 @@ FOLD_SCHEMA = (
 )
 
 
-def _settle(balance: int, amounts: np.ndarray) -> tuple[int, int, int, int, int]:
+def settle_amounts(balance: int, amounts: np.ndarray) -> tuple[int, int, int, int, int]:
     """Balance after the amounts, number and sum of the refused, lowest running sum and total.
 
     A block in which nothing is refused is one step.
@@ -108,7 +108,7 @@ def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 assumed, balance, accepted, refused, refused_cents, total, low = opening, opening, 0, 0, 0, 0, 0
             else:
                 assumed, balance, accepted, refused, refused_cents, total, low = state
-            balance, n, cents, lowest, change = _settle(balance, amounts[a:b])
+            balance, n, cents, lowest, change = settle_amounts(balance, amounts[a:b])
             low, total = min(low, total + lowest), total + change
             accepted, refused, refused_cents = accepted + b - a - n, refused + n, refused_cents + cents
             state = (assumed, balance, accepted, refused, refused_cents, total, low)
@@ -155,7 +155,7 @@ def _walk_on(rows: DataFrame, first: DataFrame) -> DataFrame:
                 if parts[a] != part:
                     part = parts[a]
                     found.append((buyer, part, balance))
-                balance = _settle(balance, amounts[a:b])[0]
+                balance = settle_amounts(balance, amounts[a:b])[0]
             if found:
                 yield pd.DataFrame(found, columns=[*_KEYS, "_walked"])
 

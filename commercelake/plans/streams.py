@@ -97,5 +97,5 @@ def _(e):
     WHERE event_type = 'purchase' AND last_view >= bought_at - INTERVAL 1 HOUR""",
 )
 def _(e):
-    out = appended(jobs.live_attribution(_live(e).activity))
+    out = updated(jobs.live_attribution(_live(e).activity, mode="Update"), ["event_id"])
     return out.select("event_id", "buyer_id", as_money(F.col("value_cents")).alias("amount"), "age_seconds")

@@ -12,6 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from commercelake.functions.money import ratio
 from commercelake.operators.checkout import metrics
+from commercelake.operators.wallet import settle_amounts
+from commercelake.streaming.waiting import HOUR, Slots, Waiting, columns_of
 
 ERROR_ALERT = 0.05
 PAYMENT_ALERT = 0.01
@@ -82,90 +84,166 @@ def retained_daily(events: DataFrame) -> DataFrame:
 
 
 # --- per-buyer state ---------------------------------------------------------------
-# State per buyer is a few numbers. Rows of a batch, which its reader bounds, are put in order
-# here; batches must arrive in order.
+# Rows wait in state until the watermark has passed them, so batches may come in any order within
+# `delay`; rows later than that are dropped. Buyers are dealt into `groups`, a few for each state
+# partition, whose number stays with the table like that of the partitions. A result is given at
+# once, from what is settled and what still waits, and again when rows that come later change it.
 
+GROUPS = 64
+DELAY = "1 day"
 WALLET_SCHEMA = "buyer_id bigint, balance_cents bigint, accepted bigint, refused bigint"
 VIEW_SCHEMA = "event_id bigint, buyer_id bigint, value_cents bigint, age_seconds bigint"
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["at", "event_id"])
+def _by_buyer(rows: np.ndarray, buyer: int) -> Iterator[tuple[int, slice, np.ndarray]]:
+    """Rows in order of time as runs of one buyer each: the buyer, the run's place, and the rows by buyer."""
+    rows = rows[:, np.argsort(rows[buyer], kind="stable")]
+    edges = np.flatnonzero(np.diff(rows[buyer])) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), rows.shape[1]], strict=True):
+        yield int(rows[buyer, a]), slice(a, b), rows
 
 
-def _expiry(view: int) -> int:
-    """The millisecond after which a view at this microsecond counts for no purchase."""
-    return (view + 3600 * 10**6) // 1000 + 1
+class _Released(StatefulProcessor):
+    """Keeps rows waiting, and settles them in order once the watermark has passed."""
 
-
-class WalletProcessor(StatefulProcessor):
-    """Applies credits and debits; a debit larger than the balance is refused."""
+    columns: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("wallet", "balance bigint, accepted bigint, refused bigint")
+        self.handle = handle
+        self.waiting = Waiting(handle, self.columns)
+
+    def receive(self, rows: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        """Put each frame of a batch into state, and give it back as columns."""
+        first = None
+        for pdf in rows:
+            new = columns_of(pdf, self.columns)
+            self.waiting.add(new)
+            first = min(x for x in (first, int(new[0].min())) if x is not None)
+            yield new
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        balance, accepted, refused = self.state.get() if self.state.exists() else (0, 0, 0)
-        for amount in _in_order(rows)["amount_cents"].tolist():
-            if balance + amount >= 0:
-                balance, accepted = balance + amount, accepted + 1
-            else:
-                refused += 1
-        self.state.update((balance, accepted, refused))
-        yield pd.DataFrame(
-            {"buyer_id": [key[0]], "balance_cents": [balance], "accepted": [accepted], "refused": [refused]}
-        )
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # Once per batch: the first timer settles all, and those after it find nothing.
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        for rows in self.waiting.take(upto):
+            self.settle(rows, upto)
+        first = self.waiting.first()
+        if first is not None:
+            self.handle.registerTimer(max(first, upto) // 1000 + 1)
+        return iter(())
+
+    def settle(self, rows: np.ndarray, upto: int) -> None:
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-class LastViewProcessor(StatefulProcessor):
-    """Purchases with the buyer's last view, if it is at most an hour old.
+class WalletProcessor(_Released):
+    """Applies credits and debits in order of time; a debit larger than the balance is refused."""
 
-    A timer drops the state of a buyer once the watermark is more than an hour past the view.
-    """
+    columns = ["at", "event_id", "buyer_id", "amount_cents"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("last_view", "at bigint")
+        super().init(handle)
+        self.wallets = Slots(handle, "wallets", 3)
+
+    def _apply(self, rows: np.ndarray, held: dict[int, dict[int, tuple[int, ...]]]) -> None:
+        for buyer, run, ordered in _by_buyer(rows, 2):
+            own = held[self.wallets.slot(buyer)]
+            balance, accepted, refused = own.get(buyer, (0, 0, 0))
+            amounts = ordered[3, run]
+            balance, n, *_ = settle_amounts(balance, amounts)
+            own[buyer] = (balance, accepted + len(amounts) - n, refused + n)
+
+    def settle(self, rows: np.ndarray, upto: int) -> None:
+        held = self.wallets.load(np.unique(rows[2]))
+        self._apply(rows, held)
+        self.wallets.save(held)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows)
-        never = np.iinfo(np.int64).min // 2
-        start = self.state.get()[0] if self.state.exists() else never
-        views = np.where(pdf["event_type"] == "view", pdf["at"], never)
-        last = np.maximum(np.maximum.accumulate(views), start)
-        if last[-1] > start:
-            self.state.update((int(last[-1]),))
-            self.handle.registerTimer(_expiry(int(last[-1])))
-        age = pdf["at"].to_numpy() - last
-        hit = (pdf["event_type"] == "purchase").to_numpy() & (age <= 3600 * 10**6)
-        yield pd.DataFrame(
-            {
-                "event_id": pdf["event_id"].to_numpy()[hit],
-                "buyer_id": np.full(hit.sum(), key[0], dtype=np.int64),
-                "value_cents": pdf["value_cents"].to_numpy()[hit],
-                "age_seconds": age[hit] // 10**6,
-            }
-        )
+        buyers = np.unique(np.concatenate([np.unique(new[2]) for new in self.receive(rows)]))
+        held = self.wallets.load(buyers)
+        for some in self.waiting.in_order():
+            self._apply(some[:, np.isin(some[2], buyers)], held)
+        found = [(b, *held[self.wallets.slot(b)][b]) for b in buyers.tolist()]
+        yield pd.DataFrame(found, columns=["buyer_id", "balance_cents", "accepted", "refused"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # A later view has a timer of its own.
-        if self.state.exists() and _expiry(self.state.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.state.clear()
-        yield pd.DataFrame({"event_id": [], "buyer_id": [], "value_cents": [], "age_seconds": []}, dtype=np.int64)
 
-    def close(self) -> None:
-        pass
+class LastViewProcessor(_Released):
+    """Purchases with the buyer's last view, if it is at most an hour old.
 
+    Of the settled rows only each buyer's last view stays, until the watermark is an hour past it.
+    """
 
-def live_wallet(ledger: DataFrame) -> DataFrame:
-    return ledger.groupBy("buyer_id").transformWithStateInPandas(WalletProcessor(), WALLET_SCHEMA, "Update", "None")
+    columns = ["at", "event_id", "buyer_id", "is_view", "value_cents"]
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = Slots(handle, "last_view", 1)
+
+    def settle(self, rows: np.ndarray, upto: int) -> None:
+        held = self.last.load(np.unique(rows[2]))
+        for slot, own in held.items():
+            held[slot] = {b: v for b, v in own.items() if v[0] >= upto - HOUR}
+        views = rows[:, rows[3] == 1]
+        for buyer, at in zip(views[2].tolist(), views[0].tolist(), strict=True):
+            if at >= upto - HOUR:
+                held[self.last.slot(buyer)][buyer] = (at,)
+        self.last.save(held)
 
-def live_attribution(events: DataFrame) -> DataFrame:
-    rows = events.withWatermark("ts", "1 hour").where("event_type IN ('view', 'purchase')").select(
-        "event_id", F.col("user_id").alias("buyer_id"), "event_type", "value_cents", "ts", F.unix_micros("ts").alias("at")
-    )
-    return rows.groupBy("buyer_id").transformWithStateInPandas(LastViewProcessor(), VIEW_SCHEMA, "Append", "EventTime")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ids, buyers, since = [], [], None
+        for new in self.receive(rows):
+            ids.append(new[1])
+            buyers.append(np.unique(new[2]))
+            since = min(x for x in (since, int(new[0].min())) if x is not None)
+        ids, buyers = np.sort(np.concatenate(ids)), np.unique(np.concatenate(buyers))
+        never = np.iinfo(np.int64).min // 2
+        # The last view of each buyer and whether it came with this batch.
+        last = {b: (v[0], False) for own in self.last.load(buyers).values() for b, v in own.items()}
+        for some in self.waiting.in_order(since - HOUR):
+            some = some[:, np.isin(some[2], buyers)]
+            if not some.shape[1]:
+                continue
+            fresh = np.isin(some[1], ids)
+            some = np.concatenate([some, fresh[None].astype(np.int64)])
+            for buyer, run, ordered in _by_buyer(some, 2):
+                at, event_id, _, is_view, value, new = ordered[:, run]
+                seen, seen_new = last.get(buyer, (never, False))
+                place = np.maximum.accumulate(np.where(is_view == 1, np.arange(len(at)), -1))
+                view = np.where(place >= 0, at[place], seen)
+                from_new = np.where(place >= 0, new[place] == 1, seen_new)
+                last[buyer] = (int(view[-1]), bool(from_new[-1]))
+                # What is no news was given before.
+                hit = (is_view == 0) & (at - view <= HOUR) & ((new == 1) | from_new)
+                if hit.any():
+                    yield pd.DataFrame(
+                        {"event_id": event_id[hit], "buyer_id": buyer, "value_cents": value[hit], "age_seconds": (at - view)[hit] // 10**6}
+                    )
+
+
+def _grouped(rows: DataFrame, delay: str, groups: int):
+    """Rows with ts by groups of buyers, under a watermark."""
+    group = F.pmod(F.xxhash64("buyer_id"), F.lit(groups)).alias("_group")
+    return rows.withWatermark("ts", delay).select("*", group).groupBy("_group")
+
+
+def live_wallet(ledger: DataFrame, delay: str = DELAY, groups: int = GROUPS) -> DataFrame:
+    """Balance, accepted and refused movements per buyer, over all movements so far in order of time."""
+    rows = ledger.select("at", "event_id", "buyer_id", "amount_cents", F.timestamp_micros("at").alias("ts"))
+    return _grouped(rows, delay, groups).transformWithStateInPandas(WalletProcessor(), WALLET_SCHEMA, "Update", "EventTime")
+
+
+def live_attribution(events: DataFrame, delay: str = DELAY, groups: int = GROUPS, mode: str = "Append") -> DataFrame:
+    """Purchases with the age of the last view within an hour.
+
+    A purchase is given once it and such a view are there, and again if a later view turns up
+    afterwards; with mode "Update" the last row of an event_id counts.
+    """
+    rows = events.where("event_type IN ('view', 'purchase')").select(
+        F.unix_micros("ts").alias("at"), "event_id", F.col("user_id").alias("buyer_id"),
+        (F.col("event_type") == "view").cast("bigint").alias("is_view"), "value_cents", "ts",
+    )
+    return _grouped(rows, delay, groups).transformWithStateInPandas(LastViewProcessor(), VIEW_SCHEMA, mode, "EventTime")

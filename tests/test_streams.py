@@ -1,14 +1,16 @@
 """Streams fed in several batches must agree with the batch SQL."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql
 from commercelake.functions.money import as_money
-from commercelake.operators import checkout
+from commercelake.operators import checkout, wallet
 from commercelake.session import shared_path
+from commercelake.sources.entities import Entities
 from commercelake.sources.tables import SCHEMAS
-from commercelake.streaming import jobs
+from commercelake.streaming import jobs, waiting
 from commercelake.streaming.runner import StreamEntities, appended, updated
 from tests.oracle import TESTDATA, compare, connect
 
@@ -66,6 +68,39 @@ def test_attribution(live, con):
     assert compare(out, con, oracle_sql()["st09_live_attribution"]) is None
 
 
+@pytest.fixture(scope="module")
+def shuffled(spark):
+    """The events in four files, later days first, and half of all rows by one buyer: folder and rows."""
+    folder = shared_path(spark, "events-out-of-order")
+    events = spark.read.schema(SCHEMAS["events"]).parquet(f"{TESTDATA}/sf0.001/events.parquet")
+    events = events.withColumn("user_id", F.when(F.col("event_id") % 2 == 0, 7).otherwise(F.col("user_id")))
+    events.write.parquet(f"{folder}/all/events.parquet")
+    for part in (1, 0, 3, 2):
+        rows = events.where((F.hour("ts") % 2 == part % 2) & ((F.dayofmonth("ts") <= 15) == (part < 2)))
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/parts/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("delay", ["40 days", "16 days"])
+def test_wallet_in_any_order_within_the_watermark(spark, shuffled, delay, monkeypatch):
+    monkeypatch.setattr(waiting, "PIECE", 50)
+    live = StreamEntities(spark, f"{shuffled}/parts", files_per_batch=1)
+    out = updated(jobs.live_wallet(live.ledger, delay, groups=3), ["buyer_id"])
+    want = wallet.wallet_fold(Entities(spark, f"{shuffled}/all").ledger).select("buyer_id", "balance", "accepted", "refused")
+    got = out.select("buyer_id", as_money(F.col("balance_cents")).alias("balance"), "accepted", "refused")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("delay", ["40 days", "16 days"])
+def test_attribution_in_any_order_within_the_watermark(spark, shuffled, delay):
+    live = StreamEntities(spark, f"{shuffled}/parts", files_per_batch=1)
+    out = updated(jobs.live_attribution(live.activity, delay, groups=3, mode="Update"), ["event_id"])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{shuffled}/all/events.parquet/*.parquet')")
+    out = out.select("event_id", "buyer_id", as_money(F.col("value_cents")).alias("amount"), "age_seconds")
+    assert compare(out, con, oracle_sql()["st09_live_attribution"]) is None
+
+
 def test_a_second_run_goes_on_where_the_first_ended(spark):
     folder, table = shared_path(spark, "growing"), shared_path(spark, "wallets")
     spent = []

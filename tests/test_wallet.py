@@ -81,7 +81,7 @@ def test_steps_over_blocks_match_a_plain_loop(seed):
     balance, refused, cents, sums = 100, 0, 0, np.cumsum(amounts)
     for a in amounts.tolist():
         balance, refused, cents = (balance + a, refused, cents) if balance + a >= 0 else (balance, refused + 1, cents - a)
-    assert wallet._settle(100, amounts) == (balance, refused, cents, sums.min(), sums[-1])
+    assert wallet.settle_amounts(100, amounts) == (balance, refused, cents, sums.min(), sums[-1])
 
 
 def test_credit_then_payment(spark):
