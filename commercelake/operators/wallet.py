@@ -24,13 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commercelake.functions.money import as_money
 from commercelake.operators.ordered import running, with_range
 from commercelake.operators.skew import hot_table, with_hot
 from commercelake.session import cut_lineage
+from commercelake.sources import versioned
+from commercelake.sources.snapshots import held_partitions
 
 SLICE_ROWS = 2_000_000
 #: Movements that are looked at as one step.
@@ -45,8 +47,10 @@ def wallet_slices(ledger: DataFrame, limit: int = SLICE_ROWS) -> tuple[DataFrame
     rows = hot.agg(F.sum("_n")).first()[0]
     if not rows:
         return ledger.withColumns({"_slice": F.lit(0).cast("bigint"), "_hot": F.lit(False)}), False
+    # A slice is folded as a stream, so there need not be more of them than tasks.
+    ranges = min(-(-rows // limit), 2 * int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marked = with_hot(ledger, hot, ["buyer_id"]).withColumn("_hot", F.col("_salts").isNotNull()).drop("_salts")
-    cut = with_range(marked, ["at", "event_id"], -(-rows // limit), "_slice", "_hot")
+    cut = with_range(marked, ["at", "event_id"], ranges, "_slice", "_hot")
     return cut.withColumn("_slice", F.col("_slice").cast("bigint")), True
 
 
@@ -209,6 +213,22 @@ def wallet_fold(ledger: DataFrame, limit: int = SLICE_ROWS) -> DataFrame:
     )
 
 
+def steps(balance: int, amounts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each movement whether it is accepted, and the balance after it; blocks without refusals are one step."""
+    accepted, balances = np.ones(len(amounts), bool), np.empty(len(amounts), np.int64)
+    for a in range(0, len(amounts), BLOCK):
+        some = slice(a, min(a + BLOCK, len(amounts)))
+        after = balance + np.cumsum(amounts[some])
+        if after.min() < 0:
+            for i, amount in enumerate(amounts[some].tolist()):
+                accepted[a + i] = balance + amount >= 0
+                balance += amount if accepted[a + i] else 0
+                after[i] = balance
+        balances[some] = after
+        balance = int(after[-1])
+    return accepted, balances
+
+
 STATEMENT_SCHEMA = "buyer_id bigint, event_id bigint, amount_cents bigint, accepted boolean, balance_cents bigint"
 
 
@@ -217,17 +237,13 @@ def _statement(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         balances = np.empty(len(pdf), dtype=np.int64)
         accepted = np.empty(len(pdf), dtype=bool)
-        amounts, openings = pdf["amount_cents"].tolist(), pdf["opening"].tolist()
+        amounts, openings = pdf["amount_cents"].to_numpy(), pdf["opening"].tolist()
         buyers, parts = pdf["buyer_id"].tolist(), pdf["_slice"].tolist()
         for a, b in _pieces(pdf):
             if key != (buyers[a], parts[a]):
                 key, balance = (buyers[a], parts[a]), openings[a]
-            for i in range(a, b):
-                after = balance + amounts[i]
-                accepted[i] = after >= 0
-                if after >= 0:
-                    balance = after
-                balances[i] = balance
+            accepted[a:b], balances[a:b] = steps(balance, amounts[a:b])
+            balance = int(balances[b - 1])
         yield pdf[["buyer_id", "event_id", "amount_cents"]].assign(accepted=accepted, balance_cents=balances)
 
 
@@ -254,3 +270,55 @@ def signed_balance(*movements: DataFrame) -> DataFrame:
     for more in movements[1:]:
         total = total.unionByName(more.select("buyer_id", "amount_cents"))
     return total.groupBy("buyer_id").agg(as_money(F.sum("amount_cents")).alias("balance"))
+
+
+CLOSING = "buyer_id bigint, balance_cents bigint, accepted bigint, refused bigint, refused_cents bigint"
+
+
+def write_ledger(ledger: DataFrame, path: str, days: int = 1) -> None:
+    """Put movements into a ledger of periods of some days, numbered from 1970; the periods written are replaced."""
+    period = F.floor(F.col("at") / (days * 86_400 * 10**6)).cast("bigint")
+    rows = ledger.select("buyer_id", "at", "event_id", "amount_cents", period.alias("period"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
+
+
+def close_periods(spark: SparkSession, path: str, closings: str, limit: int = SLICE_ROWS) -> list[int]:
+    """Fold the periods of a ledger that are not closed yet, in order, and return them.
+
+    closings is a versioned table: a period's version holds the buyers that moved in it, so a run
+    reads the new periods and the balances of their buyers, not the ledger before them. A buyer's
+    balance opens its next period as a credit ahead of all movements, which is always accepted. What
+    one task must take in order is one buyer's rows of one period at most. A period is closed once:
+    movements that reach its folder later are not seen.
+    """
+    last = versioned.newest(spark, closings)
+    periods = held_partitions(spark, path, "period").select(F.col("period").cast("bigint"))
+    fresh = sorted(r[0] for r in (periods if last is None else periods.where(F.col("period") > last)).collect())
+    for period in fresh:
+        rows = spark.read.parquet(f"{path}/period={period}").select("buyer_id", "at", "event_id", "amount_cents")
+        before = versioned.read_version(spark, closings, CLOSING, "buyer_id")
+        opened = before.join(rows.select(F.col("buyer_id").alias("_b")), F.col("buyer_id") == F.col("_b"), "left_semi")
+        least = F.lit(-(2**63)).cast("bigint")
+        credit = opened.select("buyer_id", least.alias("at"), least.alias("event_id"), F.col("balance_cents").alias("amount_cents"))
+        folded = _fold_slices(_with_openings(rows.unionByName(credit), limit)).groupBy(F.col("buyer_id").alias("_b"))
+        folded = folded.agg(
+            F.max_by("closing", "_slice").alias("balance_cents"),
+            *[F.sum(c).alias(f"_{c}") for c in ("accepted", "refused", "refused_cents")],
+        )
+        known = opened.select("buyer_id", "accepted", "refused", "refused_cents")
+        joined = folded.join(known, F.col("_b") == F.col("buyer_id"), "left")
+        # The opening is a movement that was counted before.
+        opening = F.when(F.col("buyer_id").isNull(), 0).otherwise(1)
+        total = {c: F.col(f"_{c}") + F.coalesce(c, F.lit(0)) for c in ("accepted", "refused", "refused_cents")}
+        total["accepted"] -= opening
+        closed = joined.select(F.col("_b").alias("buyer_id"), "balance_cents", *[v.cast("bigint").alias(c) for c, v in total.items()])
+        versioned.write_changes(closed, closings, period, "buyer_id")
+    return fresh
+
+
+def closing_balances(spark: SparkSession, closings: str, period: int | None = None) -> DataFrame:
+    """Balance and counts per buyer as of a closed period, the last by default."""
+    found = versioned.read_version(spark, closings, CLOSING, "buyer_id", period)
+    return found.select(
+        "buyer_id", as_money(F.col("balance_cents")).alias("balance"), "accepted", "refused", as_money(F.col("refused_cents")).alias("refused_amount")
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from commercelake.functions.money import as_money, money
 from commercelake.operators import accounts, checkout, dashboard, listings, research, sales, wallet
 from commercelake.plans.registry import query
+from commercelake.session import shared_path
 
 
 def _text(flag):
@@ -642,6 +643,24 @@ def _(e):
     return wallet.wallet_fold(e.ledger)
 
 
+@query(
+    "w01_wallet_periods",
+    _FOLD
+    + """ SELECT buyer_id, CAST(arg_max(balance, n) AS DECIMAL(18,2)) AS balance, count(*) FILTER (accepted) AS accepted,
+        count(*) FILTER (NOT accepted) AS refused,
+        CAST(coalesce(sum(-amount) FILTER (NOT accepted), 0) AS DECIMAL(18,2)) AS refused_amount FROM f GROUP BY 1""",
+)
+def _(e):
+    """Closed twice: what is there at first, then the period that was added."""
+    path, closings = shared_path(e.spark, "ledger"), shared_path(e.spark, "closings")
+    period = F.floor(F.col("at") / (10 * 86_400 * 10**6)).cast("bigint")
+    last = e.ledger.agg(F.max(period)).scalar()
+    for rows in (e.ledger.where(period < last), e.ledger.where(period == last)):
+        wallet.write_ledger(rows, path, days=10)
+        wallet.close_periods(e.spark, path, closings)
+    return wallet.closing_balances(e.spark, closings)
+
+
 @query(
     "w01_wallet_statement",
     _FOLD

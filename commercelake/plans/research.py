@@ -9,7 +9,7 @@ from commercelake.functions.text import strip_tags
 from commercelake.operators import checkout, research
 from commercelake.plans.registry import query
 from commercelake.session import shared_path
-from commercelake.sources import payloads, snapshots
+from commercelake.sources import payloads, snapshots, versioned
 from commercelake.sources.tables import SCHEMAS, load_entities
 
 # --- sources and sinks ----------------------------------------------------------
@@ -39,7 +39,11 @@ def _(e):
     added = e.customer.where("c_mktsegment = 'MACHINERY'").select(
         (-F.col("c_custkey") - 1).alias("c_custkey"), F.lit(2).alias("version"), raised
     )
-    return snapshots.upsert(base, changed.unionByName(added), "c_custkey", "version")
+    root, schema = shared_path(e.spark, "balances"), "c_custkey BIGINT, version INT, balance DECIMAL(18,2)"
+    versioned.write_changes(base, root, 1, "c_custkey")
+    versioned.compact(e.spark, root, schema, "c_custkey")
+    versioned.write_changes(changed.unionByName(added), root, 2, "c_custkey")
+    return versioned.read_version(e.spark, root, schema, "c_custkey")
 
 
 @query(

@@ -30,9 +30,9 @@ def write_version(df: DataFrame, root: str, version: int) -> None:
 
 
 def read_latest(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Newest version; the version filter prunes all other folders."""
-    rows = load_or_empty(spark, root, f"{schema}, version INT")
-    return rows.where(F.col("version") == rows.agg(F.max("version")).scalar()).drop("version")
+    """Newest version, by the listing; only its folder is opened."""
+    last = held_partitions(spark, root, "version").agg(F.max(F.col("version").cast("bigint"))).first()[0]
+    return load_or_empty(spark, f"{root}/version={last}", schema)
 
 
 def _folder(path: str, name: str, value: str) -> str:

@@ -4,7 +4,7 @@ import pytest
 
 from commercelake.operators import research, runs, texts
 from commercelake.session import shared_path
-from commercelake.sources import payloads, snapshots
+from commercelake.sources import payloads, snapshots, versioned
 from commercelake.sources.tables import load_or_empty
 
 
@@ -178,6 +178,42 @@ def test_append_once_knows_odd_dates(spark):
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4]
 
 
+def test_a_version_holds_its_changes_only(spark):
+    root, schema = shared_path(spark, "versioned"), "id INT, v STRING"
+    table = spark.createDataFrame([(i, "a") for i in range(100)], schema)
+    assert versioned.read_version(spark, root, schema, "id").isEmpty()
+    assert versioned.newest(spark, root) is None
+    versioned.write_changes(table, root, 1, "id")
+    versioned.compact(spark, root, schema, "id")
+    with pytest.raises(ValueError):
+        versioned.write_changes(table, root, 1, "id")
+    for _ in range(2):
+        versioned.write_changes(spark.createDataFrame([(3, "b")], schema), root, 2, "id")
+    versioned.write_changes(spark.createDataFrame([(3, "c"), (200, "c")], schema), root, 3, "id", spark.createDataFrame([(4,)], "id INT"))
+    assert spark.read.parquet(f"{root}/rows/kind=delta/version=2").count() == 1
+    found = versioned.read_version(spark, root, schema, "id")
+    assert {r["id"]: r["v"] for r in found.collect()} == {i: "a" for i in range(100) if i not in (3, 4)} | {3: "c", 200: "c"}
+    assert len({f.split("version=")[1].split("/")[0] for f in found.inputFiles()}) == 3
+    assert {r["v"] for r in versioned.read_version(spark, root, schema, "id", 2).where("id = 3").collect()} == {"b"}
+    assert versioned.read_version(spark, root, schema, "id", 1).where("v = 'a'").count() == 100
+    with pytest.raises(ValueError):
+        versioned.write_changes(table, root, 2, "id")
+
+
+def test_deltas_become_a_base(spark):
+    root, schema = shared_path(spark, "compacted"), "id INT, v INT"
+    for version in range(1, 8):
+        versioned.write_changes(spark.createDataFrame([(version % 3, version)], schema), root, version, "id", every=3)
+    base, deltas = versioned.held(spark, root)
+    assert base == 6 and deltas == [7]
+    found = versioned.read_version(spark, root, schema, "id")
+    assert {r["id"]: r["v"] for r in found.collect()} == {1: 7, 2: 5, 0: 6}
+    assert {f.split("kind=")[1].rsplit("/", 1)[0] for f in found.inputFiles()} == {"base/version=6", "delta/version=7"}
+    # A folder without its entry was never finished, and is not seen.
+    spark.createDataFrame([(9, 9, False)], "id INT, v INT, _removed BOOLEAN").write.parquet(f"{root}/rows/kind=delta/version=8")
+    assert versioned.newest(spark, root) == 7
+
+
 def test_upsert_last_write_wins(spark):
     a = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "id int, version int, v string")
     b = spark.createDataFrame([(1, 2, "c"), (3, 2, "d")], "id int, version int, v string")

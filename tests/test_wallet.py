@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from commercelake.operators import wallet
+from commercelake.session import shared_path
 
 
 def ledger(seed, n, debit_share, hot_share=0.5):
@@ -87,3 +88,42 @@ def test_steps_over_blocks_match_a_plain_loop(seed):
 def test_credit_then_payment(spark):
     df = spark.createDataFrame([(1, 1, 1, 5000), (1, 2, 2, -3000)], "buyer_id bigint, at bigint, event_id bigint, amount_cents bigint")
     assert str(wallet.wallet_fold(df).first()["balance"]) == "20.00"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_steps_of_a_statement_match_a_plain_loop(seed):
+    amounts = np.random.default_rng(seed).integers(-30, 31, 128 * 3 + seed)
+    accepted, balances = wallet.steps(20, amounts)
+    balance, want = 20, []
+    for a in amounts.tolist():
+        ok = balance + a >= 0
+        balance += a if ok else 0
+        want.append((ok, balance))
+    assert list(zip(accepted.tolist(), balances.tolist(), strict=True)) == want
+
+
+DAY = 86_400 * 10**6
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_a_closed_period_is_not_read_again(spark, shape):
+    """Each run gets a ledger that holds the new period alone."""
+    schema = "buyer_id bigint, at bigint, event_id bigint, amount_cents bigint"
+    data = [(b, i * DAY // 100, i * 3 + b, SHAPES[shape](i)) for i in range(300) for b in (0, 1) if b == 0 or i % 7 == 0 or i > 250]
+    data += [(5, 10, 5000, 40), (6, 250 * DAY // 100, 5001, -40)]
+    closings = shared_path(spark, "closings")
+    for day in range(3):
+        path = shared_path(spark, "ledger")
+        some = [r for r in data if r[1] // DAY == day]
+        wallet.write_ledger(spark.createDataFrame(some, schema).repartition(3), path)
+        assert wallet.close_periods(spark, path, closings, limit=25) == [day]
+        assert wallet.close_periods(spark, path, closings, limit=25) == []
+        balance, counts, _ = walk([r for r in data if r[1] // DAY <= day])
+        found = wallet.closing_balances(spark, closings).collect()
+        got = {r["buyer_id"]: (int(r["balance"] * 100), r["accepted"], r["refused"], int(r["refused_amount"] * 100)) for r in found}
+        assert got == {b: (balance[b], *counts[b]) for b in balance}
+    first = {r["buyer_id"]: r["accepted"] + r["refused"] for r in wallet.closing_balances(spark, closings, period=0).collect()}
+    assert first == {b: sum(r[0] == b and r[1] < DAY for r in data) for b in (0, 1, 5)}
+    # Buyers without movements in a period take no room in its version.
+    moved = spark.read.parquet(f"{closings}/rows/kind=delta/version=1")
+    assert {r["buyer_id"] for r in moved.collect()} == {0, 1}
