@@ -6,13 +6,13 @@ Traces: event_id, ts, phase, cycle, latency_cents, ok, model.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commercelake.functions.money import as_money, ratio
-from commercelake.operators.ordered import numbered
+from commercelake.operators.ordered import numbered, with_range
 from commercelake.operators.skew import salted_join
 
 # Documented targets.
@@ -77,37 +77,62 @@ def paid_ratio(traces: DataFrame, paid_model: int = 0) -> DataFrame:
     return out.withColumn("rate", ratio(F.col("paid"), F.col("calls"))).withColumn("on_target", F.col("rate") < PAID_TARGET)
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, float]) -> DataFrame:
-    """Exact interpolated percentiles per group, one column per level.
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys, NULLs equal; a semi or anti join, or an inner or left one without the right side's keys."""
+    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(and_, [left[k].eqNullSafe(renamed[f"_k_{k}"]) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def values_by_range(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
+    """keys, _v (a value), _n (its rows), the sums and _range: values of all groups cut into ranges of about equal numbers."""
+    counts = [F.count(value).alias("_n"), *[F.sum(c).alias(n) for n, c in (sums or {}).items()]]
+    by_value = df.groupBy(*keys, F.col(value).alias("_v")).agg(*counts)
+    ranges = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return with_range(by_value, ["_v"], ranges, draw=by_value.columns)
 
-    Rows are counted per value, the counts run up in value order, and each level picks the
-    values around its place: no group is held in memory. Groups without a value are left out.
+
+def percentiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, float], sums: dict[str, Column] | None = None) -> DataFrame:
+    """Exact interpolated percentiles per group, one column per level, from one read of df.
+
+    Rows are counted per value, and values are cut into ranges, which are put in order each by
+    itself. Of the ranges of a group only their counts meet: they show which range holds each wanted
+    place, and the value is picked there. So no task takes a whole group. With `sums`, columns to be
+    summed per group, groups without a value stay, with NULL percentiles; else they are left out.
     """
-    by_value = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    sums = sums or {}
+    # Rows without a value keep their group, at a count of 0.
+    cut = values_by_range(df, keys, value, sums)
     group = Window.partitionBy(*keys)
-    upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = by_value.select(*keys, "_v", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(group).alias("_all"))
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys, "_range").agg(F.sum("_n").alias("_here"), *[F.sum(n).alias(n) for n in sums])
+    totals = totals.select(
+        *keys, "_range", "_here", F.sum("_here").over(group).alias("_all"), F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_ahead"),
+        *[F.sum(n).over(group).alias(n) for n in sums],
+    )
 
     def place(p: float) -> Column:
         return (F.col("_all") - 1) * F.lit(p)
 
-    picked = placed.groupBy(*keys, "_all").agg(
-        *[F.min(F.when(F.col("_upto") > F.floor(place(p)), F.col("_v"))).alias(f"_low_{n}") for n, p in levels.items()],
-        *[F.min(F.when(F.col("_upto") > F.ceil(place(p)), F.col("_v"))).alias(f"_high_{n}") for n, p in levels.items()],
-    )
+    ends = {f"_{end}_{n}": f(place(p)) for n, p in levels.items() for end, f in (("low", F.floor), ("high", F.ceil))}
+    holds = [(F.col("_ahead") <= at) & (at < F.col("_ahead") + F.col("_here")) for at in ends.values()]
+    wanted = totals.where(reduce(or_, holds) | (F.col("_all") == 0) if sums else reduce(or_, holds)).drop("_here")
+    within = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = _same(cut.select(*keys, "_range", "_v", "_n"), wanted, [*keys, "_range"], "inner")
+    placed = placed.withColumn("_upto", F.col("_ahead") + F.sum("_n").over(within))
+    # The least value past a place is in the range that holds the place; ranges after it have larger ones.
+    picked = placed.groupBy(*keys, "_all", *sums).agg(*[F.min(F.when(F.col("_upto") > at, F.col("_v"))).alias(n) for n, at in ends.items()])
 
     def between(n: str, p: float) -> Column:
         low, high, part = F.col(f"_low_{n}"), F.col(f"_high_{n}"), place(p) - F.floor(place(p))
         return F.when(low == high, low.cast("double")).otherwise((1 - part) * low + part * high).alias(n)
 
-    return picked.select(*keys, *[between(n, p) for n, p in levels.items()])
+    return picked.select(*keys, *sums, *[between(n, p) for n, p in levels.items()])
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of two reduced tables; NULL keys are equal."""
-    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    same = reduce(and_, [left[k].eqNullSafe(renamed[f"_k_{k}"]) for k in keys])
-    return left.join(renamed, same, "left").drop(*[f"_k_{k}" for k in keys])
+    return _same(left, right, keys, "left")
 
 
 def latency_percentiles(traces: DataFrame, exact: bool = True) -> DataFrame:
@@ -115,7 +140,7 @@ def latency_percentiles(traces: DataFrame, exact: bool = True) -> DataFrame:
     levels = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     keys = ["phase", "model"]
     if exact:
-        found = same_keys(traces.select(*keys).distinct(), percentiles(traces, keys, "latency_cents", levels), keys)
+        found = percentiles(traces, keys, "latency_cents", levels, {"_calls": F.lit(1)})
     else:
         found = traces.groupBy(*keys).agg(*[F.percentile_approx("latency_cents", p).alias(n) for n, p in levels.items()])
     return found.select(*keys, *[F.round(n, 2).cast("decimal(18,2)").alias(n) for n in levels])
@@ -136,11 +161,9 @@ def daily_volume(traces: DataFrame) -> DataFrame:
 def daily_metrics(traces: DataFrame) -> DataFrame:
     """(day, metric, value): uptime and error rate in percent, p95 latency."""
     dated = traces.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "ok", "latency_cents")
-    rates = dated.groupBy("day").agg(
-        (F.count_if("ok") * 100.0 / F.count("*")).alias("uptime"),
-        (F.count_if(~F.col("ok")) * 100.0 / F.count("*")).alias("error_rate"),
-    )
-    wide = same_keys(rates, percentiles(dated, ["day"], "latency_cents", {"_p": 0.95}), ["day"])
+    sums = {"_calls": F.lit(1), "_ok": F.when(F.col("ok"), 1).otherwise(0), "_failed": F.when(~F.col("ok"), 1).otherwise(0)}
+    wide = percentiles(dated, ["day"], "latency_cents", {"_p": 0.95}, sums)
+    wide = wide.withColumns({"uptime": F.col("_ok") * 100.0 / F.col("_calls"), "error_rate": F.col("_failed") * 100.0 / F.col("_calls")})
     wide = wide.withColumn("latency_p95", F.col("_p") / 100)
     return wide.unpivot("day", ["uptime", "latency_p95", "error_rate"], "metric", "value")
 
@@ -178,12 +201,16 @@ def baseline_trigger(traces: DataFrame, split_at: str, factor: float = 2.0, min_
     """Per phase and model: is p95 above `factor` times its baseline, or success too low?"""
     later = F.col("ts") >= F.lit(split_at).cast("timestamp")
     keys = ["phase", "model"]
-    rates = traces.groupBy(*keys).agg(ratio(F.count_if(later & F.col("ok")), F.count_if(later)).alias("success"))
-    halves = percentiles(traces.withColumn("_later", later), [*keys, "_later"], "latency_cents", {"_p": 0.95})
-    sides = halves.groupBy(*keys).agg(
-        F.max(F.when(~F.col("_later"), F.col("_p"))).alias("_before"), F.max(F.when(F.col("_later"), F.col("_p"))).alias("_after")
-    )
-    out = same_keys(rates, sides, keys)
+    sums = {"_calls": F.lit(1), "_ok": F.when(F.col("ok"), 1).otherwise(0)}
+    halves = percentiles(traces.withColumn("_later", later), [*keys, "_later"], "latency_cents", {"_p": 0.95}, sums)
+
+    def side(name: str, which: Column) -> Column:
+        return F.max(F.when(which, F.col(name)))
+
+    out = halves.groupBy(*keys).agg(
+        side("_p", ~F.col("_later")).alias("_before"), side("_p", F.col("_later")).alias("_after"),
+        ratio(F.coalesce(side("_ok", F.col("_later")), F.lit(0)), F.coalesce(side("_calls", F.col("_later")), F.lit(0))).alias("success"),
+    )
     return out.select(
         "phase",
         "model",

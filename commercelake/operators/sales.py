@@ -154,37 +154,28 @@ def with_rate_in_force(sales: DataFrame, campaigns: DataFrame, default_pct: int
     """Add the commission percentage in force on the day of the sale.
 
     campaigns: seller_id, starts_on, rate_pct and, if they can end by themselves, ends_on (its day
-    no longer counts, NULL is open); a campaign also ends where the seller's next one starts. Campaigns are spread over the years they touch, so sales meet them by an equi
-    join on (seller, year) and at most one of the candidates holds the day.
+    no longer counts, NULL is open); a campaign also ends where the seller's next one starts. Campaigns
+    are spread over the years they touch up to the year in which the last of all starts, after which
+    nothing changes but by an end, and later sales look there. So sales are read once and meet
+    campaigns by an equi join on (seller, year), which adaptive execution splits where a seller is
+    hot; at most one of the candidates holds the day.
     """
     following = Window.partitionBy("seller_id").orderBy("starts_on")
     own_end = F.col("ends_on") if "ends_on" in campaigns.columns else F.lit(None).cast("date")
     spans = campaigns.withColumn("ends_on", F.least(own_end, F.lead("starts_on").over(following)))
-    horizon = sales.agg(F.max(F.year("sold_on"))).scalar()
+    last = campaigns.agg(F.max(F.year("starts_on"))).scalar()
+    ends_in = F.least(F.year(F.date_sub("ends_on", 1)), last)
     binned = spans.select(
-        "seller_id",
-        "starts_on",
-        "ends_on",
-        "rate_pct",
-        F.explode(
-            F.sequence(
-                F.year("starts_on"),
-                F.greatest(F.year("starts_on"), F.least(F.year(F.date_sub("ends_on", 1)), horizon)),
-            )
-        ).alias("_year"),
-    )
-    left = sales.withColumn("_year", F.year("sold_on"))
-    hit = (
-        (left["seller_id"] == binned["seller_id"])
-        & (left["_year"] == binned["_year"])
-        & (left["sold_on"] >= binned["starts_on"])
-        & (binned["ends_on"].isNull() | (left["sold_on"] < binned["ends_on"]))
-    )
-    return left.join(binned, hit, "left").select(
-        *[left[c] for c in sales.columns],
-        binned["starts_on"].alias("campaign_start"),
-        F.coalesce(binned["rate_pct"], F.lit(default_pct)).alias("rate_pct"),
+        F.col("seller_id").alias("_seller"),
+        F.col("starts_on").alias("campaign_start"),
+        F.col("ends_on").alias("_ends"),
+        F.col("rate_pct").alias("_rate"),
+        F.explode(F.sequence(F.year("starts_on"), F.greatest(F.year("starts_on"), ends_in))).alias("_bin"),
     )
+    hit = (F.col("seller_id") == F.col("_seller")) & (F.col("_year") == F.col("_bin")) & (F.col("sold_on") >= F.col("campaign_start"))
+    hit &= F.col("_ends").isNull() | (F.col("sold_on") < F.col("_ends"))
+    left = sales.withColumn("_year", F.least(F.year("sold_on"), last))
+    return left.join(binned, hit, "left").select(*sales.columns, "campaign_start", F.coalesce("_rate", F.lit(default_pct)).alias("rate_pct"))
 
 
 def returned_in_window(returns: DataFrame, orders: DataFrame, days: int = 7) -> DataFrame:

@@ -26,14 +26,14 @@ def key_hash(df: DataFrame, keys: list[str], like: DataFrame | None = None) -> C
 
 
 def hot_table(df: DataFrame, keys: list[str], parts: int = PARTS) -> DataFrame:
-    """(_h, _n, _salts): key hashes that hold more than 1/parts of the rows, so fewer than `parts`.
+    """(_h, _n, _share, _salts): key hashes that hold more than 1/parts of the rows, so fewer than `parts`.
 
     That bound makes the table safe to broadcast at any size of df. There is one salt per
     1/parts of the rows. The count pass reads the key columns only.
     """
     counts = df.groupBy(key_hash(df, keys).alias("_h")).agg(F.count("*").alias("_n"))
-    share = F.col("_n").cast("decimal(38,0)") * parts / counts.agg(F.sum("_n")).scalar()
-    return counts.where(share > 1).select("_h", "_n", F.ceil(share).cast("int").alias("_salts"))
+    share = F.col("_n").cast("double") / counts.agg(F.sum("_n")).scalar()
+    return counts.where(share * parts > 1).select("_h", "_n", share.alias("_share"), F.ceil(share * parts).cast("int").alias("_salts"))
 
 
 def with_hot(df: DataFrame, hot: DataFrame, keys: list[str], like: DataFrame | None = None) -> DataFrame:
