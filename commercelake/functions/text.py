@@ -18,7 +18,7 @@ def strip_tags(col: Column) -> Column:
 
 
 def first_line(col: Column) -> Column:
-    return F.split_part(col, F.lit("\n"), F.lit(1))
+    return F.substring_index(col, "\n", 1)
 
 
 def line_count(col: Column) -> Column:

@@ -85,7 +85,7 @@ def _(e):
 @query(
     "s06_flatten_results",
     """SELECT url AS query, i - 1 AS rank, CASE WHEN i % 5 = 0 THEN '' ELSE 'Title ' || i END AS title,
-        url || '#' || i AS url, CASE WHEN i % 3 = 0 THEN '' ELSE left(html, 60) END AS snippet
+        url || '#' || i AS url, CASE WHEN i % 3 = 0 THEN '' ELSE html END AS snippet
     FROM pages, range(1, 13) t(i) WHERE i <= page_id % 12 AND i <= 8""",
 )
 def _(e):
@@ -95,7 +95,7 @@ def _(e):
         lambda x: F.struct(
             F.when(x % 5 != 0, F.concat(F.lit("Title "), i(x))).alias("title"),
             F.concat("url", F.lit("#"), i(x)).alias("url"),
-            F.when(x % 3 != 0, F.substring("html", 1, 60)).alias("content"),
+            F.when(x % 3 != 0, F.col("html")).alias("content"),
         ),
     )
     some = e.pages.where("page_id % 12 > 0").select(
@@ -108,10 +108,10 @@ def _(e):
 @query(
     "s07_flatten_instant_answers",
     """WITH p AS (SELECT *, page_id % 2 = 0 AS has_abstract FROM pages),
-    t AS (SELECT page_id, url, left(html, 120) || i AS text, CASE WHEN i % 2 = 0 THEN '' ELSE url || '/' || i END AS first_url,
+    t AS (SELECT page_id, url, html || i AS text, CASE WHEN i % 2 = 0 THEN '' ELSE url || '/' || i END AS first_url,
         has_abstract, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n
         FROM p, range(1, 10) r(i) WHERE i <= 6 AND i % 3 <> 0)
-    SELECT url AS query, 0 AS rank, CASE WHEN page_id % 4 = 0 THEN 'Heading' ELSE url END AS title, url || '/a' AS url, left(html, 50) AS snippet
+    SELECT url AS query, 0 AS rank, CASE WHEN page_id % 4 = 0 THEN 'Heading' ELSE url END AS title, url || '/a' AS url, html AS snippet
     FROM p WHERE has_abstract
     UNION ALL SELECT url, n - 1 + CASE WHEN has_abstract THEN 1 ELSE 0 END, left(text, 80), first_url, text FROM t""",
 )
@@ -120,14 +120,14 @@ def _(e):
     topics = F.transform(
         F.sequence(F.lit(1), F.lit(9)),
         lambda x: F.struct(
-            F.when(x % 3 != 0, F.concat(F.substring("html", 1, 120), x.cast("string"))).alias("Text"),
+            F.when(x % 3 != 0, F.concat("html", x.cast("string"))).alias("Text"),
             F.when(x % 2 != 0, F.concat("url", F.lit("/"), x.cast("string"))).alias("FirstURL"),
         ),
     )
     payload = F.to_json(
         F.struct(
             F.when(p % 4 == 0, "Heading").alias("Heading"),
-            F.when(p % 2 == 0, F.substring("html", 1, 50)).alias("AbstractText"),
+            F.when(p % 2 == 0, F.col("html")).alias("AbstractText"),
             F.concat("url", F.lit("/a")).alias("AbstractURL"),
             topics.alias("RelatedTopics"),
         )

@@ -226,10 +226,9 @@ _KNOWN_SQL = """known AS (SELECT DISTINCT source, 'mod_' || (doc_id % 7) || '.py
 
 
 def _known_files(e):
-    d = F.col("doc_id")
-    en = e.documents.where("lang = 'en'").select("source", F.concat(F.lit("mod_"), (d % 7).cast("string"), F.lit(".py")).alias("filename"))
-    other = e.documents.where("lang <> 'en'").select("source", F.concat(F.lit("routes_"), "lang", F.lit(".py")).alias("filename"))
-    return en.unionByName(other).distinct()
+    english = F.concat(F.lit("mod_"), (F.col("doc_id") % 7).cast("string"), F.lit(".py"))
+    name = F.when(F.col("lang") == "en", english).when(F.col("lang") != "en", F.concat(F.lit("routes_"), "lang", F.lit(".py")))
+    return e.documents.select("source", name.alias("filename")).where("filename IS NOT NULL").distinct()
 
 
 @query(
