@@ -74,20 +74,20 @@ def bucket_of(key: Column, octaves: dict[int, int], buckets: int) -> Column:
 
 
 def mix_counts(
-    docs: DataFrame, weights=WEIGHTS, total_share: float = 1.5, cap: float = 2.0, weight: str | None = None, seed: int = 17
+    docs: DataFrame, weights=WEIGHTS, total_share: float = 1.5, cap: float = 2.0, weight: str | None = None, seed: int = 17, carry: tuple = ()
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs (times the document is taken), taken."""
+    """doc_id, source, size, source_size, target, epochs (times the document is taken), taken, and columns to carry."""
     size = n_words(F.col("text"))
-    sized = docs.select("doc_id", "source", size.alias("size"), F.length("text").alias("_len"), *([F.col(weight).alias("_q")] if weight else []))
+    sized = docs.select("doc_id", "source", size.alias("size"), F.length("text").alias("_len"), *carry, *([F.col(weight).alias("_q")] if weight else []))
     mean = F.coalesce(F.col("_len"), F.lit(0)) / F.greatest(F.col("size"), F.lit(1))
     quality = F.col("_q").cast("double") if weight else 1 / (1 + F.abs(F.log(F.greatest(mean, F.lit(0.01)) / 6)))
     quality = F.greatest(F.least(F.nanvl(F.coalesce(quality, F.lit(0.0)), F.lit(0.0)), F.lit(1e300)), F.lit(1e-6))
-    sized = cut_lineage(sized.select("doc_id", "source", "size", quality.alias("_w")))
+    sized = cut_lineage(sized.select("doc_id", "source", "size", quality.alias("_w"), *carry))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    keyed = sized.select("doc_id", "source", "size", (-F.log(u) / F.col("_w")).alias("_key"), F.floor(F.log2("_w")).cast("int").alias("_octave"))
+    keyed = sized.select("doc_id", "source", "size", *carry, (-F.log(u) / F.col("_w")).alias("_key"), F.floor(F.log2("_w")).cast("int").alias("_octave"))
     octaves = {r["_octave"]: r["n"] for r in keyed.groupBy("_octave").agg(F.count("*").alias("n")).collect()}
     buckets = max(16, -(-sum(octaves.values()) // BUCKET_ROWS))
-    keyed = keyed.select("doc_id", "source", "size", "_key", bucket_of(F.col("_key"), octaves, buckets).alias("_bucket"))
+    keyed = keyed.select("doc_id", "source", "size", *carry, "_key", bucket_of(F.col("_key"), octaves, buckets).alias("_bucket"))
     per_bucket = keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("_in_bucket"))
     per_source = per_bucket.groupBy("source").agg(F.sum("_in_bucket").cast("bigint").alias("source_size"))
     goal = targets(per_source, weights, total_share, cap).select(
@@ -109,14 +109,22 @@ def mix_counts(
     chosen = (passed < F.col("_rest")) & (2 * (F.col("_rest") - passed) >= F.col("size")) & (F.col("_epochs") < F.lit(cap)) & (F.col("size") > 0)
     epochs = F.when(F.col("size") > 0, F.col("_epochs") + chosen.cast("bigint")).otherwise(F.lit(0)).cast("bigint")
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target", epochs.alias("epochs"), (epochs * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", epochs.alias("epochs"), (epochs * F.col("size")).alias("taken"), *carry
     )
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; identifiers must be unique."""
-    times = mix_counts(docs, **how).where("epochs > 0").select(F.col("doc_id").alias("_id"), "epochs")
-    joined = docs.join(times, docs["doc_id"] == times["_id"])
-    own = [docs[c] for c in docs.columns]
-    repeated = joined.select(F.explode(F.array_repeat(F.struct(*own), times["epochs"].cast("int"))).alias("row"))
+    """The rows of docs, each as often as the mix takes it.
+
+    Rows are told apart by identifier, source and text, whose hash both sides are joined by; of rows
+    equal in all three each gets one of their numbers of times. Null identifiers are as good as others.
+    """
+    row = F.xxhash64("doc_id", "source", "text")
+    same = Window.partitionBy("_row")
+    times = mix_counts(docs.withColumn("_row", row), **how, carry=("_row",)).select("_row", "epochs")
+    times = times.withColumn("_copy", F.row_number().over(same.orderBy("epochs"))).withColumnRenamed("_row", "_of")
+    own = F.struct(*docs.columns).alias("_doc")
+    held = docs.select(own, row.alias("_row")).withColumn("_copy", F.row_number().over(same.orderBy("_row"))).withColumnRenamed("_copy", "_held")
+    joined = held.join(times, (F.col("_row") == F.col("_of")) & (F.col("_held") == F.col("_copy")))
+    repeated = joined.select(F.explode(F.array_repeat("_doc", F.col("epochs").cast("int"))).alias("row"))
     return repeated.select("row.*")
