@@ -76,15 +76,18 @@ class Encoder:
             missing &= ~hit
         return out, missing
 
-    def _other_words(self, lanes: Lanes, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, kept: np.ndarray) -> np.ndarray:
-        """Places of words that are not the kept word of their hash. Short ones of one length and hash never differ."""
-        other = sizes != kept
-        far = np.flatnonzero(~other & (sizes > 8))
+    def _other_words(self, lanes: Lanes, starts: np.ndarray, sizes: np.ndarray, back: np.ndarray, kept: list[np.ndarray]) -> np.ndarray:
+        """Places of words that are not the kept word of their hash, of which back and kept give place and size.
+
+        Short ones of one length and hash never differ.
+        """
+        other = sizes != kept[1][back]
+        far = np.flatnonzero((sizes > 8) & ~other)
         if len(far):
             if len(self._bytes) > 1:
                 self._bytes = [b"".join(self._bytes)]
             known = Lanes(np.frombuffer(self._bytes[0], np.uint8))
-            other[far] = ~lanes.same(starts[far], known, at[far], sizes[far])
+            other[far] = ~lanes.same(starts[far], known, kept[0][back[far]], sizes[far])
         return np.flatnonzero(other)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +107,9 @@ class Encoder:
                 whole = raw.tobytes()
                 self._learn(distinct[missing], [whole[s:e] for s, e in zip(starts[where], ends[where], strict=True)])
                 found, _ = self._find(distinct)
-            begin, per_word, kept_at, kept_size = (x[back] for x in found)
+            begin, per_word = found[0][back], found[1][back]
             # Another word of the same hash is encoded by itself.
-            other = self._other_words(lanes, starts, ends - starts, kept_at, kept_size)
+            other = self._other_words(lanes, starts, ends - starts, back, found[2:])
             if len(other):
                 begin[other], per_word[other] = self._keep([raw[s:e].tobytes() for s, e in zip(starts[other], ends[other], strict=True)])
             done = np.concatenate([[0], np.cumsum(per_word)])

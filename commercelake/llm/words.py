@@ -128,6 +128,9 @@ def spans_of(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tu
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+_LANE_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 class Lanes:
     """Eight bytes from any position on as one number, for hashes and comparisons of whole words."""
 
@@ -138,19 +141,19 @@ class Lanes:
         self._padded = np.concatenate([data, np.zeros(8, np.uint8)])
         self.at = np.ndarray((len(data) + 1,), "<u8", self._padded, strides=(1,))
 
-    @staticmethod
-    def _mask(left: np.ndarray) -> np.ndarray:
-        bits = np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
-        return np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - bits)
+    def _lane(self, places: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The bytes at places, of which `left` or eight count."""
+        return self.at[places] & _LANE_MASKS[np.minimum(left, 8)]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
         """64-bit hashes of non-empty words; those of at most eight bytes and one length never collide."""
         lengths = ends - starts
-        out = mix(lengths.astype(np.uint64) + np.uint64(salt) * np.uint64(_BASE))
-        live, done = np.flatnonzero(lengths <= self.MANY), 0
+        seeds = lengths.astype(np.uint64) * np.uint64(_BASE) + np.uint64(mix(np.array([salt], np.uint64))[0])
+        out = mix(self._lane(starts, lengths) ^ seeds)
+        live, done = np.flatnonzero((lengths > 8) & (lengths <= self.MANY)), 8
         while len(live):
             left = lengths[live] - done
-            out[live] = mix(out[live] ^ (self.at[starts[live] + done] & self._mask(left)))
+            out[live] = mix(out[live] ^ self._lane(starts[live] + done, left))
             live, done = live[left > 8], done + 8
         for i in np.flatnonzero(lengths > self.MANY):
             word = self._padded[starts[i] : ends[i]].tobytes()
@@ -163,7 +166,7 @@ class Lanes:
         live, done = np.flatnonzero(lengths <= self.MANY), 0
         while len(live):
             left = lengths[live] - done
-            differ = ((self.at[starts[live] + done] ^ other.at[other_starts[live] + done]) & self._mask(left)) != 0
+            differ = self._lane(starts[live] + done, left) != other._lane(other_starts[live] + done, left)
             equal[live[differ]] = False
             live, done = live[(left > 8) & ~differ], done + 8
         for i in np.flatnonzero(lengths > self.MANY):
