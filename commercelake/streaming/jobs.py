@@ -89,7 +89,7 @@ def retained_daily(events: DataFrame) -> DataFrame:
 # partition, whose number stays with the table like that of the partitions. A result is given at
 # once, from what is settled and what still waits, and again when rows that come later change it.
 
-GROUPS = 64
+GROUPS = 32
 DELAY = "1 day"
 WALLET_SCHEMA = "buyer_id bigint, balance_cents bigint, accepted bigint, refused bigint"
 VIEW_SCHEMA = "event_id bigint, buyer_id bigint, value_cents bigint, age_seconds bigint"

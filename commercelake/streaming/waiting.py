@@ -9,6 +9,7 @@ a time are those that overlap, not all that waits.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,6 @@ class Waiting:
     def __init__(self, handle: StatefulProcessorHandle, columns: list[str]):
         self.columns = columns
         self._pieces = handle.getMapState("waiting", "first bigint, last bigint, part bigint", "rows binary")
-        self._parts = handle.getValueState("parts", "n bigint")
 
     def add(self, rows: np.ndarray) -> None:
         """Keep rows (a column of the array each) as new pieces."""
@@ -34,11 +34,9 @@ class Waiting:
             return
         rows = rows[:, np.lexsort((rows[1], rows[0]))]
         cuts = np.flatnonzero(np.diff(rows[0] // HOUR)) + 1 if rows.shape[1] > PIECE else []
-        part = self._parts.get()[0] if self._parts.exists() else 0
         for piece in np.split(rows, cuts, axis=1):
-            self._pieces.updateValue((int(piece[0, 0]), int(piece[0, -1]), part), (piece.tobytes(),))
-            part += 1
-        self._parts.update((part,))
+            # The clock tells pieces of one stretch apart; a batch that is run again starts from the state before it.
+            self._pieces.updateValue((int(piece[0, 0]), int(piece[0, -1]), time.time_ns()), (piece.tobytes(),))
 
     def _keys(self) -> list[tuple[int, int, int]]:
         return sorted(tuple(map(int, k)) for k in self._pieces.keys())
@@ -81,17 +79,16 @@ class Waiting:
 class Slots:
     """A few int64 numbers per key of a group, in `slots` arrays of which only those in use are read and written."""
 
-    def __init__(self, handle: StatefulProcessorHandle, name: str, width: int, slots: int = 8):
+    def __init__(self, handle: StatefulProcessorHandle, name: str, width: int, slots: int = 4):
         self._state, self._width, self._slots = handle.getMapState(name, "slot bigint", "rows binary"), width, slots
 
     def load(self, keys: np.ndarray) -> dict[int, dict[int, tuple[int, ...]]]:
         """The values by slot and key, of all slots that hold any of the keys."""
         out = {}
         for slot in np.unique(keys % self._slots).tolist():
-            out[slot] = {}
-            if self._state.containsKey((slot,)):
-                rows = np.frombuffer(bytes(self._state.getValue((slot,))[0]), np.int64).reshape(-1, self._width + 1)
-                out[slot] = {r[0]: tuple(r[1:]) for r in rows.tolist()}
+            found = self._state.getValue((slot,))
+            rows = np.frombuffer(bytes(found[0]) if found else b"", np.int64).reshape(-1, self._width + 1)
+            out[slot] = {r[0]: tuple(r[1:]) for r in rows.tolist()}
         return out
 
     def save(self, held: dict[int, dict[int, tuple[int, ...]]]) -> None:
