@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,7 +67,8 @@ LINK_DENSITY = 0.33
 STOP_LOW, STOP_HIGH = 0.10, 0.25
 SHORT_WORDS, LONG_WORDS = 12, 30
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_MARK = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -81,6 +84,49 @@ class Block:
     article: bool
 
 
+class Tags:
+    """Where tags end: at the first > that is not inside quotes. Each > and quote is looked at once, from the end of the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self._marks = [m.start() for m in _MARK.finditer(page)]
+        self._closes = [i for i in self._marks if page[i] == ">"]
+        self._ends = [-1] * (len(self._marks) + 1)
+        later = {"\"": -1, "'": -1}
+        for k in range(len(self._marks) - 1, -1, -1):
+            c = page[self._marks[k]]
+            if c == ">":
+                self._ends[k] = self._marks[k]
+            else:
+                self._ends[k] = self._ends[later[c] + 1] if later[c] >= 0 else -1
+                later[c] = k
+
+    def at(self, start: int) -> tuple[bool, str, str, int] | None:
+        """Whether the tag at a < is an end tag, its name, the rest, and where it ends; None if it is no tag.
+
+        A quote belongs to the name if the tag ends so, else it begins the rest.
+        """
+        m = _TAG.match(self.page, start)
+        if not m:
+            return None
+        cut = m.end()
+        k = bisect_left(self._marks, cut)
+        while self._ends[k] < 0:
+            k -= 1
+            if k < 0 or self._marks[k] <= m.start(2):
+                return None
+            cut = self._marks[k]
+        return bool(m.group(1)), self.page[m.start(2) : cut], self.page[cut : self._ends[k]], self._ends[k] + 1
+
+    def declaration(self, start: int) -> int:
+        """Where a comment, or what begins with <! or <?, ends; -1 if it does not, unless a comment does at the end of the page."""
+        if self.page.startswith("<!--", start):
+            end = self.page.find("-->", start + 4)
+            return end + 3 if end >= 0 else len(self.page)
+        k = bisect_left(self._closes, start)
+        return self._closes[k] + 1 if self.page.startswith(("<!", "<?"), start) and k < len(self._closes) else -1
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order, character references decoded and white space as one space."""
     out: list[Block] = []
@@ -97,18 +143,32 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
+    tags, unclosed = Tags(page), set()
+    count: Counter[str] = Counter()
+
+    def leave(first: int) -> None:
+        count.subtract(t[0] for t in open_[first:])
+        del open_[first:]
+
     at = 0
     while at < len(page):
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        end, name, rest, text = m.group(1), m.group(2), m.group(3), m.group(4)
-        if text is not None or name is None:
-            said = text if text is not None else ("<" if m.group() == "<" else "")
-            if said:
-                parts.append(said)
-                if links:
-                    linked += len(said)
+        if page[at] == "<":
+            skip = tags.declaration(at)
+            if skip >= 0:
+                at = skip
+                continue
+            tag = tags.at(at)
+        else:
+            tag = None
+        if tag is None:
+            more = page.find("<", at + 1)
+            said = page[at] if page[at] == "<" else page[at : more if more >= 0 else len(page)]
+            at += len(said)
+            parts.append(said)
+            if links:
+                linked += len(said)
             continue
+        end, name, rest, at = tag
         name = name.lower()
         if name in _HEADINGS or name in BLOCKS:
             close()
@@ -117,16 +177,16 @@ def blocks_of(page: str) -> list[Block]:
         elif name == "a":
             links = 0
         if end:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    del open_[i:]
-                    break
+            if count[name]:
+                leave(next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name))
             continue
         if name in SKIPPED:
             if name in ("head", "select"):
                 continue
             if not rest.rstrip().endswith("/"):
-                found = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                found = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at) if name not in unclosed else None
+                if not found:
+                    unclosed.add(name)
                 at = found.end() if found else (len(page) if name in ("script", "style") else at)
             continue
         if name in VOID or rest.rstrip().endswith("/"):
@@ -135,7 +195,7 @@ def blocks_of(page: str) -> list[Block]:
             # These end an open one of their kind, unless a list or table stands between.
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == name:
-                    del open_[i:]
+                    leave(i)
                     break
                 if open_[i][0] in BLOCKS:
                     break
@@ -153,6 +213,7 @@ def blocks_of(page: str) -> list[Block]:
             outside = False
         others = others or name in OUTSIDE or bool(named and OTHERS_NAMES.search(named))
         open_.append((name, outside or out_here, article or inner, others))
+        count[name] += 1
     close()
     return out
 

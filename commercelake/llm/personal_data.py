@@ -18,6 +18,7 @@ Spans are code points, end exclusive.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +35,10 @@ SKIP = 2.0
 DIGITS = 7
 
 # The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+LOCAL = string.ascii_letters + string.digits + "._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# Only where digits begin: from a later one of them the pattern would go on in the same way.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -58,9 +61,25 @@ def _runs(pattern: re.Pattern, text: str, sign: str) -> Iterator[re.Match]:
     return pattern.finditer(text) if sign in text else iter(())
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping matches of LOCAL characters, @ and DOMAIN.
+
+    A match has one @, so each is looked at once, back to the last match or @ and on through the domain.
+    """
+    done, at = 0, text.find("@")
+    while at >= 0:
+        ahead = text[done:at]
+        local = len(ahead) - len(ahead.rstrip(LOCAL))
+        found = DOMAIN.match(text, at + 1) if local else None
+        if found:
+            yield at - local, found.end()
+        done = found.end() if found else at + 1
+        at = text.find("@", done)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base patterns, by kind, then start."""
-    out = [(0, m.start(), m.end()) for m in _runs(EMAIL, text, "@")]
+    out = [(0, start, end) for start, end in _emails(text)]
     if _DIGIT.search(text):
         out += [(1, m.start(), m.end()) for m in _runs(IP, text, ".") if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m.group().split("."))]
         for m in CARD.finditer(text):
