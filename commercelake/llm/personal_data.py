@@ -3,8 +3,8 @@
 Base patterns find emails, addresses, cards and phones. Words that hold a digit or an @, and words
 that repeat one of a found span, are the nodes of a field with labels other, email, ip, card and
 phone. Neighbours in the text share chain potentials; equal words, and words with the same last
-DIGITS digits, share skip potentials with their previous occurrence. Loopy messages run ROUNDS
-times over each document. Words with a marginal of SURE or more for a kind, outside all base spans,
+DIGITS digits, share skip potentials with their previous occurrence. Loopy messages run until they settle
+over each document, ROUNDS times at most. Words with a marginal of SURE or more for a kind, outside all base spans,
 become spans of that kind. Texts without digit and @ have no nodes and need no inference.
 
 The word weights are a softmax regression, and the chain potentials are counts, both from base
@@ -29,7 +29,12 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TRAIN = 4000
-ROUNDS = 8
+#: Rounds of messages at most, and the change below which they have settled. Evidence moves one
+#: link a round, so in all but the longest chains of repeats it is the change that ends them.
+ROUNDS = 200
+SETTLED = 1e-7
+#: Hashes by which documents are drawn.
+SPACE = 1 << 62
 SURE = 0.9
 SKIP = 2.0
 DIGITS = 7
@@ -197,7 +202,9 @@ class Field:
             x = (belief[source] - message[back])[:, :, None] + potential
             top = x.max(axis=1)
             new = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
-            message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+            before, message = message, 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+            if np.abs(message - before).max() < SETTLED:
+                break
         belief = unary.copy()
         np.add.at(belief, target, message)
         return _softmax(belief)
@@ -208,11 +215,15 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def threshold(most: int, rows: int) -> int:
+    """The hashes modulo SPACE below which about `most` of the rows fall; above 0 at any size."""
+    return SPACE * min(most, max(1, rows)) // max(1, rows)
+
+
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Field | None:
     """Weights from the base spans of at most about max_train documents with digits or an @."""
-    rows = docs.select("doc_id").count()
-    share = int(min(1.0, max_train / max(1, rows)) * (1 << 20))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select(F.col("text").cast("string"))
+    marked = docs.select("doc_id", F.col("text").cast("string")).where(F.rlike("text", F.lit("[0-9@]")))
+    picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(SPACE)) < threshold(max_train, marked.count())).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Equal feature vectors with equal labels are counted; pairs of neighbours too."""

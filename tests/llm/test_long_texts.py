@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 from commercelake.llm import main_text, personal_data
@@ -61,3 +62,34 @@ def test_long_runs(text):
     begun = time.process_time()
     personal_data.base_spans(text)
     assert time.process_time() - begun < 15
+
+
+@pytest.mark.parametrize("rows", [0, 1, 3999, 4001, 10**6, 10**10, 10**13])
+def test_some_documents_are_drawn_at_any_size(rows):
+    found = personal_data.threshold(4000, rows)
+    assert 0 < found <= personal_data.SPACE
+    assert found == personal_data.SPACE if rows <= 4000 else abs(found / personal_data.SPACE * rows - 4000) < 1
+
+
+def test_evidence_reaches_all_repeats_of_a_token():
+    """Fifty times one token, of which the first alone is plainly of a kind."""
+    k, n = len(personal_data.KINDS) + 1, 50
+    features = np.zeros((n, 2))
+    features[0, 0] = features[1:, 1] = 1
+    weights = np.zeros((k, 2))
+    weights[2, 0], weights[0, 1] = 200.0, 0.01
+    field = personal_data.Field(weights, np.zeros((k, k)))
+    graph = personal_data.Graph([(i, i + 1) for i in range(n)], features, [], [(i, i + 1) for i in range(n - 1)])
+    found = field.marginals(graph)
+    # A chain of equal potentials has these marginals exactly.
+    step = np.exp(personal_data.SKIP * (np.eye(k) - np.eye(k)[0][:, None] * np.eye(k)[0]))
+    unary = np.exp(features @ weights.T - (features @ weights.T).max(axis=1, keepdims=True))
+    ahead, back = [unary[0]], [np.ones(k)]
+    for i in range(1, n):
+        ahead.append(unary[i] * (ahead[-1] @ step))
+        ahead[-1] /= ahead[-1].sum()
+    for i in range(n - 1, 0, -1):
+        back.append(step @ (unary[i] * back[-1]))
+        back[-1] /= back[-1].sum()
+    want = np.array(ahead) * np.array(back[::-1])
+    assert np.allclose(found, want / want.sum(axis=1, keepdims=True), atol=1e-4)
