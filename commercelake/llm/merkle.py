@@ -225,7 +225,7 @@ def manifest(leaves: DataFrame) -> Manifest:
 
 
 def proofs(held: Manifest, requests: DataFrame) -> DataFrame:
-    """requests (_group, _rank, _asked) with _leaf, _subroot, _root and _proof.
+    """requests (_group, _rank, _asked) with _leaf, _subroot, _root and _proof. A leaf is asked for once.
 
     One descent from the root to the requested groups' roots, one from there to the leaves.
     """
