@@ -9,8 +9,8 @@
    short list are compared with the least class there, its pivot.
 4. Classes connected by short lists form neighbourhoods. In most of them all classes link to the
    pivots, and nothing is left to do. In the others each class outside the largest linked part
-   asks an index of the neighbourhood: short lists are merged by a heap, the long ones that
-   DivideSkip sets aside are probed by binary search, and classes with the required overlap link.
+   asks an index of the neighbourhood: short lists are merged by one sort, the long ones that
+   DivideSkip sets aside are probed by binary search for all candidates at once, and classes with the required overlap link.
    Neighbourhoods of more than BLOCK shingles are cut into blocks of index and of queries.
 5. Components of the links, carried to all texts of a class.
 
@@ -25,7 +25,6 @@ node with several texts. Empty tables give an empty result; other columns are ig
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 from collections.abc import Iterator
 from itertools import groupby
@@ -283,9 +282,9 @@ class InvertedIndex:
     """Lists of set numbers by shingle, for T-occurrence search."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
+        self._lengths = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), self._lengths)
         order = np.argsort(flat, kind="stable")
         self._owner = owner[order]
         self._tokens, first = np.unique(flat[order], return_index=True)
@@ -298,7 +297,7 @@ class InvertedIndex:
         return [self._owner[self._cuts[i] : self._cuts[i + 1]] for i in at[self._tokens[at] == query].tolist()]
 
     def search(self, query: np.ndarray, skip) -> Iterator[int]:
-        """Sets that link with the query, without those for which skip() is true."""
+        """Sets that link with the query, without those for which skip(numbers of sets) is true."""
         lists = sorted(self._lists(query), key=len)
         least = -(-4 * len(query) // 5)
         if len(lists) < least:
@@ -306,45 +305,49 @@ class InvertedIndex:
         # DivideSkip: as many long lists are set aside as pay, fewer than the least overlap.
         long_ = min(least - 1, int(least / (MU * math.log2(max(2, len(lists[-1]))) + 1)))
         short, aside = lists[: len(lists) - long_], lists[len(lists) - long_ :]
-        merged = heapq.merge(*[x.tolist() for x in short])
-        for one, run in groupby(merged):
-            seen = sum(1 for _ in run)
-            if seen < least - long_ or skip(one):
-                continue
-            both = len(query) + len(self.sets[one])
-            need = -(-80 * both // 180)
-            for i, x in enumerate(aside):
-                if seen + len(aside) - i < need:
-                    break
-                at = np.searchsorted(x, one)
-                seen += at < len(x) and x[at] == one
-            if 100 * seen >= 80 * (both - seen):
-                yield one
+        found, seen = np.unique(np.concatenate(short), return_counts=True)
+        live = np.flatnonzero(seen >= least - long_)
+        live = live[~np.broadcast_to(skip(found[live]), live.shape)]
+        found, seen = found[live], seen[live]
+        both = len(query) + self._lengths[found]
+        need = -(-80 * both // 180)
+        for i, x in enumerate(aside):
+            live = seen + len(aside) - i >= need
+            if not live.all():
+                found, seen, both, need = found[live], seen[live], both[live], need[live]
+            if not len(found):
+                return
+            at = np.searchsorted(x, found)
+            seen = seen + (x[np.minimum(at, len(x) - 1)] == found)
+        yield from found[100 * seen >= 80 * (both - seen)].tolist()
 
 
 def _search_units(units: DataFrame) -> DataFrame:
     """Links found by the queries of each unit in its index; a link per pair of parts at most."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        index = rows[rows["indexed"]].reset_index(drop=True)
-        asks = rows[rows["asks"]]
-        lookup = InvertedIndex([np.frombuffer(t, np.uint64) for t in index["tokens"]])
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        parts = index["part"].tolist()
-        names = index["k"].tolist()
+        _, part = np.unique(rows["part"].to_numpy(), return_inverse=True)
+        indexed, asks = (np.flatnonzero(rows[c].to_numpy(bool)) for c in ("indexed", "asks"))
+        names, tokens = rows["k"].to_numpy(), [np.frombuffer(t, np.uint64) for t in rows["tokens"]]
+        lookup = InvertedIndex([tokens[i] for i in indexed])
+        parts, names_there = part[indexed], names[indexed]
+        parent = np.arange(part.max() + 1)
+
+        def roots(x: np.ndarray) -> np.ndarray:
+            root = parent[x]
+            while (parent[root] != root).any():
+                root = parent[root]
+            parent[x] = root
+            return root
+
         out = []
-        for k, part, tokens in zip(asks["k"].tolist(), asks["part"].tolist(), asks["tokens"], strict=True):
-            for i in lookup.search(np.frombuffer(tokens, np.uint64), lambda j, p=part: root(parts[j]) == root(p)):
-                if root(parts[i]) != root(part):
-                    parent[root(parts[i])] = root(part)
-                    out.append((k, names[i]))
+        for i in asks.tolist():
+            own = part[[i]]
+            for j in lookup.search(tokens[i], lambda them, own=own: roots(parts[them]) == roots(own)):
+                here, there = roots(own)[0], roots(parts[[j]])[0]
+                if here != there:
+                    parent[there] = here
+                    out.append((names[i], names_there[j]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return units.groupBy("hood", "ask_block", "index_block").applyInPandas(run, "a bigint, b bigint")
@@ -386,7 +389,9 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     # Texts under one identifier are one node.
     several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("k").alias("b"), F.max("k").alias("_top")).where("b < _top")
     same = rows.where("n > 0").join(several, "doc_id").select(F.col("k").alias("a"), "b")
-    labels = connected(links.unionByName(more).unionByName(same))
+    # The parts stand for their links.
+    stars = parts.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    labels = connected(stars.unionByName(more).unionByName(same))
     least = labels.join(classes.select(F.col("k").alias("node"), "rep"), "node").groupBy("label").agg(F.min("rep").alias("component_id"))
     named = labels.join(least, "label").select(F.col("node").alias("k"), "component_id")
     # Classes of one text without links need no entry; a hot class is salted.
