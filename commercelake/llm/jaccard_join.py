@@ -384,7 +384,8 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     asks = left.where("part <> main").withColumn("ask_block", F.pmod(F.xxhash64("k"), F.col("_ab"))).withColumn("index_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_ib") - 1)))
     columns = ["hood", "ask_block", "index_block", "k", "part", "tokens"]
     units = index.select(*columns, F.lit(True).alias("indexed"), F.lit(False).alias("asks")).unionByName(asks.select(*columns, F.lit(False).alias("indexed"), F.lit(True).alias("asks")))
-    more = _search_units(units)
+    # Written, so that no task holds a Python worker for the search and another for what follows.
+    more = cut_lineage(_search_units(units))
 
     # Texts under one identifier are one node.
     several = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("k").alias("b"), F.max("k").alias("_top")).where("b < _top")
