@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from commercelake.functions.money import ratio
 from commercelake.operators.checkout import metrics
 from commercelake.operators.wallet import settle_amounts
-from commercelake.streaming.waiting import HOUR, Slots, Waiting, columns_of
+from commercelake.streaming.waiting import HOUR, Slots, Waiting, gathered
 
 ERROR_ALERT = 0.05
 PAYMENT_ALERT = 0.01
@@ -113,10 +113,9 @@ class _Released(StatefulProcessor):
         self.waiting = Waiting(handle, self.columns)
 
     def receive(self, rows: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
-        """Put each frame of a batch into state, and give it back as columns."""
+        """Put the frames of a batch into state, and give them back as columns, many rows at a time."""
         first = None
-        for pdf in rows:
-            new = columns_of(pdf, self.columns)
+        for new in gathered(rows, self.columns):
             self.waiting.add(new)
             first = min(x for x in (first, int(new[0].min())) if x is not None)
             yield new
@@ -187,10 +186,9 @@ class LastViewProcessor(_Released):
         held = self.last.load(np.unique(rows[2]))
         for slot, own in held.items():
             held[slot] = {b: v for b, v in own.items() if v[0] >= upto - HOUR}
-        views = rows[:, rows[3] == 1]
+        views = rows[:, (rows[3] == 1) & (rows[0] >= upto - HOUR)]
         for buyer, at in zip(views[2].tolist(), views[0].tolist(), strict=True):
-            if at >= upto - HOUR:
-                held[self.last.slot(buyer)][buyer] = (at,)
+            held[self.last.slot(buyer)][buyer] = (at,)
         self.last.save(held)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -202,26 +200,29 @@ class LastViewProcessor(_Released):
         ids, buyers = np.sort(np.concatenate(ids)), np.unique(np.concatenate(buyers))
         never = np.iinfo(np.int64).min // 2
         # The last view of each buyer and whether it came with this batch.
-        last = {b: (v[0], False) for own in self.last.load(buyers).values() for b, v in own.items()}
+        last_at, last_new = np.full(len(buyers), never), np.zeros(len(buyers), bool)
+        kept = {b: v[0] for own in self.last.load(buyers).values() for b, v in own.items()}
+        for b in np.intersect1d(buyers, np.fromiter(kept, np.int64, len(kept))).tolist():
+            last_at[np.searchsorted(buyers, b)] = kept[b]
         for some in self.waiting.in_order(since - HOUR):
             some = some[:, np.isin(some[2], buyers)]
             if not some.shape[1]:
                 continue
-            fresh = np.isin(some[1], ids)
-            some = np.concatenate([some, fresh[None].astype(np.int64)])
-            for buyer, run, ordered in _by_buyer(some, 2):
-                at, event_id, _, is_view, value, new = ordered[:, run]
-                seen, seen_new = last.get(buyer, (never, False))
-                place = np.maximum.accumulate(np.where(is_view == 1, np.arange(len(at)), -1))
-                view = np.where(place >= 0, at[place], seen)
-                from_new = np.where(place >= 0, new[place] == 1, seen_new)
-                last[buyer] = (int(view[-1]), bool(from_new[-1]))
-                # What is no news was given before.
-                hit = (is_view == 0) & (at - view <= HOUR) & ((new == 1) | from_new)
-                if hit.any():
-                    yield pd.DataFrame(
-                        {"event_id": event_id[hit], "buyer_id": buyer, "value_cents": value[hit], "age_seconds": (at - view)[hit] // 10**6}
-                    )
+            # All buyers at once: rows by buyer, each with the place of the last view up to it.
+            at, event_id, buyer, is_view, value = some[:, np.argsort(some[2], kind="stable")]
+            new, rows_ = np.isin(event_id, ids), np.arange(len(at))
+            begins = np.concatenate([[True], buyer[1:] != buyer[:-1]])
+            place = np.maximum.accumulate(np.where(is_view == 1, rows_, -1))
+            own = place >= np.maximum.accumulate(np.where(begins, rows_, 0))
+            who = np.searchsorted(buyers, buyer)
+            view = np.where(own, at[place], last_at[who])
+            from_new = np.where(own, new[place], last_new[who])
+            ends = np.append(begins[1:], True)
+            last_at[who[ends]], last_new[who[ends]] = view[ends], from_new[ends]
+            # What is no news was given before.
+            hit = (is_view == 0) & (at - view <= HOUR) & (new | from_new)
+            if hit.any():
+                yield pd.DataFrame({"event_id": event_id[hit], "buyer_id": buyer[hit], "value_cents": value[hit], "age_seconds": (at - view)[hit] // 10**6})
 
 
 def _grouped(rows: DataFrame, delay: str, groups: int):

@@ -2,9 +2,9 @@
 
 Keys are dealt into groups, and a group's rows lie in its state as pieces of columns, not row by row:
 a batch costs a few reads and writes a group, whatever the number of keys. A piece holds rows of
-one stretch of time in order. A frame of few rows is one piece; a larger one, as a hot key brings it,
-is cut where the hour changes. Pieces are read one after the other in time, so what is in memory at
-a time are those that overlap, not all that waits.
+one stretch of time in order. Frames are put together up to GATHER rows; what are few rows then is one
+piece, more are cut where the hour changes after PIECE rows, so that there are few pieces. These are read
+one after the other in time, so what is in memory at a time are those that overlap, not all that waits.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessorHandle
 
-#: Rows of a frame that stay one piece.
+#: Rows that stay one piece, rows of frames that are put together, and pieces that are read at a time.
 PIECE = 4096
+GATHER = 1 << 18
+READ = 16
 HOUR = 3600 * 10**6
 
 
@@ -33,7 +35,11 @@ class Waiting:
         if not rows.shape[1]:
             return
         rows = rows[:, np.lexsort((rows[1], rows[0]))]
-        cuts = np.flatnonzero(np.diff(rows[0] // HOUR)) + 1 if rows.shape[1] > PIECE else []
+        hours = np.flatnonzero(np.diff(rows[0] // HOUR)) + 1
+        cuts, last = [], 0
+        while (i := np.searchsorted(hours, last + PIECE)) < len(hours):
+            last = int(hours[i])
+            cuts.append(last)
         for piece in np.split(rows, cuts, axis=1):
             # The clock tells pieces of one stretch apart; a batch that is run again starts from the state before it.
             self._pieces.updateValue((int(piece[0, 0]), int(piece[0, -1]), time.time_ns()), (piece.tobytes(),))
@@ -44,14 +50,22 @@ class Waiting:
     def in_order(self, since: int | None = None) -> Iterator[np.ndarray]:
         """All rows in order of (at, event_id), some at a time; pieces that end before `since` are left out."""
         keys = [k for k in self._keys() if since is None or k[1] >= since]
-        held = np.zeros((len(self.columns), 0), np.int64)
+        yield from self._merged(keys, self._read)
+
+    def _merged(self, keys: list[tuple[int, int, int]], read) -> Iterator[np.ndarray]:
+        """What read gives for each key, in order of (at, event_id)."""
+        held, n, most = [], 0, READ * PIECE
         for i, key in enumerate(keys):
-            held = np.concatenate([held, self._read(key)], axis=1)
-            if i + 1 == len(keys):
-                ready = np.ones(held.shape[1], bool)
-            else:
-                ready = held[0] < keys[i + 1][0]
-            some, held = held[:, ready], held[:, ~ready]
+            held.append(read(key))
+            n += held[-1].shape[1]
+            if i + 1 < len(keys) and n < most:
+                continue
+            rows = np.concatenate(held, axis=1)
+            ready = rows[0] < keys[i + 1][0] if i + 1 < len(keys) else np.ones(n, bool)
+            some, held = rows[:, ready], [rows[:, ~ready]]
+            n = held[0].shape[1]
+            # At least as much again is read before what overlaps is looked at once more.
+            most = max(READ * PIECE, 2 * n)
             if some.shape[1]:
                 yield some[:, np.lexsort((some[1], some[0]))]
 
@@ -60,17 +74,14 @@ class Waiting:
 
     def take(self, upto: int) -> Iterator[np.ndarray]:
         """Rows not later than `upto` in order, which no longer wait; later ones of their pieces stay."""
-        keys = [k for k in self._keys() if k[0] <= upto]
-        held = np.zeros((len(self.columns), 0), np.int64)
-        for i, key in enumerate(keys):
+
+        def read(key: tuple[int, int, int]) -> np.ndarray:
             piece = self._read(key)
             self._pieces.removeKey(key)
             self.add(piece[:, piece[0] > upto])
-            held = np.concatenate([held, piece[:, piece[0] <= upto]], axis=1)
-            ready = held[0] < keys[i + 1][0] if i + 1 < len(keys) else np.ones(held.shape[1], bool)
-            some, held = held[:, ready], held[:, ~ready]
-            if some.shape[1]:
-                yield some[:, np.lexsort((some[1], some[0]))]
+            return piece[:, piece[0] <= upto]
+
+        yield from self._merged([k for k in self._keys() if k[0] <= upto], read)
 
     def first(self) -> int | None:
         return min((k[0] for k in self._keys()), default=None)
@@ -104,3 +115,16 @@ class Slots:
 
 def columns_of(pdf: pd.DataFrame, names: list[str]) -> np.ndarray:
     return np.stack([pdf[n].to_numpy(np.int64) for n in names])
+
+
+def gathered(frames: Iterator[pd.DataFrame], names: list[str]) -> Iterator[np.ndarray]:
+    """The columns of the frames, GATHER rows or a little more at a time."""
+    held, n = [], 0
+    for pdf in frames:
+        held.append(columns_of(pdf, names))
+        n += len(pdf)
+        if n >= GATHER:
+            yield np.concatenate(held, axis=1)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held, axis=1)
